@@ -1,0 +1,5 @@
+"""No streaming operator is part of the scope.
+
+Weekly extracts are read whole; a weekly refresh is the same batch job on the new
+extract.  The package exists so that the layout stays uniform.
+"""

@@ -30,6 +30,11 @@ def ratio(num: Col, den: Col, scale: float = 1.0) -> Column:
     return F.try_divide(_c(num).cast("double"), _c(den).cast("double")) * F.lit(float(scale))
 
 
+def settle(value: Col, digits: int) -> Column:
+    """Round to ``digits`` after removing last-bit noise, so equal sums round equally."""
+    return F.round(F.round(_c(value).cast("double"), 10), digits)
+
+
 def number(value: Col) -> Column:
     """Coercing numeric parse: anything unreadable is null."""
     return _c(value).try_cast("double")

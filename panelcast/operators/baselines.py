@@ -9,9 +9,9 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import skill_score
+from ..functions.scalars import settle, skill_score
 from .metrics import METRICS, metric_columns, metrics_summary
-from .panel import AREA_WINDOW
+from .panel import area_window
 from .ranking import global_rank
 
 # Names of the reference forecasts.
@@ -23,10 +23,10 @@ def baseline_predictions(panel: DataFrame, horizon: int = 1) -> DataFrame:
     """Four forecasts of each week made ``horizon`` weeks earlier (``horizon=1``: last week)."""
     y = F.col("cases")
     season = Window.partitionBy("health_area", "week_").orderBy("week_index")
-    past = AREA_WINDOW.rowsBetween(Window.unboundedPreceding, -horizon)
+    past = area_window().rowsBetween(Window.unboundedPreceding, -horizon)
     return panel.select(
         "health_area", "year", "week_", "week_index", "cases",
-        F.lag(y, horizon).over(AREA_WINDOW).alias(PERSISTENCE), F.lag(y, 52).over(AREA_WINDOW).alias(SEASONAL),
+        F.lag(y, horizon).over(area_window()).alias(PERSISTENCE), F.lag(y, 52).over(area_window()).alias(SEASONAL),
         F.avg(y).over(past).alias(AREA_MEAN),
         F.avg(y).over(season.rowsBetween(Window.unboundedPreceding, -1)).alias(SEASON_MEAN))
 
@@ -86,7 +86,7 @@ def row_order_folds(panel: DataFrame, n_splits: int = 5) -> DataFrame:
     total = panel.count()
     size = total // (n_splits + 1)
     first = total - size * n_splits
-    position = F.col("_start") - 1 + F.row_number().over(AREA_WINDOW) - 1
+    position = F.col("_start") - 1 + F.row_number().over(area_window()) - 1
     placed = panel.join(start, "health_area").withColumn("position", position)
     block = F.when(F.col("position") < first, 0).otherwise(F.floor((F.col("position") - first) / F.lit(size)) + 1)
     return (placed.withColumn("_block", block.cast("int"))
@@ -147,14 +147,14 @@ def origin_truth(panel: DataFrame, origins: Sequence[int], horizons: Sequence[in
     origins; only origin rows are then multiplied by the horizons.
     """
     y = F.col("cases")
-    past = AREA_WINDOW.rowsBetween(Window.unboundedPreceding, 0)
+    past = area_window().rowsBetween(Window.unboundedPreceding, 0)
     if parity:  # historical variant: mean over the whole panel, future included
         past = Window.partitionBy("health_area")
     ahead = panel.select("health_area", F.col("week_index").alias("origin"), y.alias(PERSISTENCE),
                          F.avg(y).over(past).alias(AREA_MEAN), F.array(*[
-                             F.struct(F.lit(h).alias("horizon"), F.lead(y, h).over(AREA_WINDOW).alias("y"),
-                                      (F.lag(y, 52 - h).over(AREA_WINDOW) if h <= 52 else
-                                       F.lead(y, h - 52).over(AREA_WINDOW)).alias(SEASONAL))
+                             F.struct(F.lit(h).alias("horizon"), F.lead(y, h).over(area_window()).alias("y"),
+                                      (F.lag(y, 52 - h).over(area_window()) if h <= 52 else
+                                       F.lead(y, h - 52).over(area_window())).alias(SEASONAL))
                              for h in horizons]).alias("_h"))
     return (ahead.where(F.col("origin").isin([int(o) for o in origins]))
             .select("health_area", "origin", PERSISTENCE, AREA_MEAN, F.inline("_h"))
@@ -182,7 +182,7 @@ def summarise_backtest(forecasts: DataFrame, min_rows: int = 10) -> DataFrame:
     best = (pooled.where(F.col("modele").isin(SEASONAL, AREA_MEAN)).groupBy("horizon")
             .agg(F.min("mae_pool").alias("best_baseline_mae")))
     return (means.join(pooled, keys).join(best, "horizon", "left")
-            .withColumn("skill_mae_vs_baseline", F.round(skill_score("mae_pool", "best_baseline_mae"), 4)))
+            .withColumn("skill_mae_vs_baseline", settle(skill_score("mae_pool", "best_baseline_mae"), 4)))
 
 
 def backtest_baselines(panel: DataFrame, horizons: Sequence[int] = (1, 2, 4, 8), n_origins: int = 12,

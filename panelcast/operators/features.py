@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import isoweek as iso
 from ..functions.scalars import clip, finite, normal_key, ratio
-from .panel import AREA_WINDOW
+from .panel import area_window
 from .quantiles import exact_quantile
 
 # ---------------------------------------------------------------------------
@@ -49,7 +49,7 @@ EWM_DECAY = 0.6
 
 def past_rows(width: int):
     """The ``width`` rows before the current one."""
-    return AREA_WINDOW.rowsBetween(-width, -1)
+    return area_window().rowsBetween(-width, -1)
 
 
 def ewm_of(history: Column) -> Column:
@@ -72,8 +72,8 @@ def add_temporal_features(panel: DataFrame, lags: Sequence[int] = DEFAULT_LAGS,
                           windows: Sequence[int] = DEFAULT_WINDOWS) -> DataFrame:
     """Lags, shifted moving statistics, exponential mean, growth and difference."""
     y = F.col("cases")
-    last, before = F.lag(y, 1).over(AREA_WINDOW), F.lag(y, 2).over(AREA_WINDOW)
-    new = {f"cases_lag_{k}": F.lag(y, k).over(AREA_WINDOW) for k in lags}
+    last, before = F.lag(y, 1).over(area_window()), F.lag(y, 2).over(area_window())
+    new = {f"cases_lag_{k}": F.lag(y, k).over(area_window()) for k in lags}
     new |= {f"cases_ma_{w}": F.avg(y).over(past_rows(w)) for w in windows}
     new["cases_std_4"] = F.stddev_samp(y).over(past_rows(4))
     new["cases_max_4"] = F.max(y).over(past_rows(4))
@@ -86,7 +86,7 @@ def add_temporal_features(panel: DataFrame, lags: Sequence[int] = DEFAULT_LAGS,
 def add_extended_temporal_features(panel: DataFrame) -> DataFrame:
     """Acceleration and rolling extremes described in the user manual."""
     y = F.col("cases")
-    steps = [F.lag(y, k).over(AREA_WINDOW) for k in (1, 2, 3)]
+    steps = [F.lag(y, k).over(area_window()) for k in (1, 2, 3)]
     new = {"acceleration": growth(steps[0], steps[1]) - growth(steps[1], steps[2])}
     for w in (4, 8):
         new[f"cases_min_{w}"] = F.min(y).over(past_rows(w))
@@ -101,11 +101,11 @@ def add_unshifted_features(panel: DataFrame, lags: Sequence[int] = (1, 2, 4)) ->
     measure that leak.
     """
     y = F.col("cases")
-    change = clip(F.coalesce(F.try_divide(y - F.lag(y, 1).over(AREA_WINDOW), F.lag(y, 1).over(AREA_WINDOW)),
+    change = clip(F.coalesce(F.try_divide(y - F.lag(y, 1).over(area_window()), F.lag(y, 1).over(area_window())),
                              F.lit(0.0)), -5.0, 5.0)
     angle = F.lit(2 * math.pi) * F.col("week_") / 52
-    new = {f"lag_{k}": F.lag(y, k).over(AREA_WINDOW) for k in lags}
-    new |= {f"ma_{w}": F.avg(y).over(AREA_WINDOW.rowsBetween(1 - w, 0)) for w in (2, 4)}
+    new = {f"lag_{k}": F.lag(y, k).over(area_window()) for k in lags}
+    new |= {f"ma_{w}": F.avg(y).over(area_window().rowsBetween(1 - w, 0)) for w in (2, 4)}
     return panel.withColumns(new | {"growth": change, "sin_week": F.sin(angle), "cos_week": F.cos(angle)})
 
 
@@ -113,7 +113,7 @@ def add_measles_original_features(panel: DataFrame) -> DataFrame:
     """Lags 1-4, shifted mean and deviation over 4 weeks, one harmonic on 52 weeks."""
     y = F.col("cases")
     angle = F.lit(2 * math.pi) * F.col("week_") / 52
-    new = {f"lag_{k}": F.lag(y, k).over(AREA_WINDOW) for k in (1, 2, 3, 4)}
+    new = {f"lag_{k}": F.lag(y, k).over(area_window()) for k in (1, 2, 3, 4)}
     return panel.withColumns(new | {
         "mean_4": F.avg(y).over(past_rows(4)), "std_4": F.stddev_samp(y).over(past_rows(4)),
         "sin_week": F.sin(angle), "cos_week": F.cos(angle)})
@@ -194,15 +194,15 @@ def with_population_coefficient(df: DataFrame, parity: bool = False) -> DataFram
     running = Window.orderBy("week_index").rowsBetween(Window.unboundedPreceding, -1)
     totals = (df.where(historic).groupBy("week_index").agg(F.sum("cases").alias("_all"), F.sum(pop).alias("_pop"))
               .select("week_index", F.try_divide(F.sum("_all").over(running), F.col("_pop")).alias("_global")))
-    before = AREA_WINDOW.rowsBetween(Window.unboundedPreceding, -1)
+    before = area_window().rowsBetween(Window.unboundedPreceding, -1)
     own = F.sum(cases).over(before)
     if parity:
         own = F.try_divide(own, F.count_if(cases > 0).over(before))
     df = (df.drop("coef_population").join(totals, "week_index", "left")
           .withColumn("_raw", F.when(historic, F.try_divide(F.try_divide(own, pop), F.col("_global")))))
-    known = F.last("_raw", ignorenulls=True).over(AREA_WINDOW.rowsBetween(Window.unboundedPreceding, 0))
+    known = F.last("_raw", ignorenulls=True).over(area_window().rowsBetween(Window.unboundedPreceding, 0))
     if parity:
-        later = F.first("_raw", ignorenulls=True).over(AREA_WINDOW.rowsBetween(0, Window.unboundedFollowing))
+        later = F.first("_raw", ignorenulls=True).over(area_window().rowsBetween(0, Window.unboundedFollowing))
         known = F.coalesce(known, later)
     filled = clip(F.coalesce(known, F.lit(1.0)), 0.5, 2.0)
     df = df.withColumn("coef_population", F.when(historic, filled)).drop("_raw", "_global")
@@ -233,7 +233,7 @@ def add_population_features(panel: DataFrame, parity: bool = False) -> DataFrame
     elif "cases_ma_4" in panel.columns:
         base = F.col("cases_ma_4")
     else:
-        panel = panel.withColumn("_base", F.lag("cases", 1).over(AREA_WINDOW))
+        panel = panel.withColumn("_base", F.lag("cases", 1).over(area_window()))
         base = F.col("_base")
     df = add_population_rates(panel, base).drop("_base")
     if "Pop_Totale" not in df.columns:
@@ -246,26 +246,19 @@ def add_population_features(panel: DataFrame, parity: bool = False) -> DataFrame
 # ---------------------------------------------------------------------------
 # spatial, climate
 # ---------------------------------------------------------------------------
-def neighbour_mean(values: DataFrame, weights: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
-    """Weighted mean of ``value`` over the neighbours present at the same ``keys``."""
-    edges = weights.select("health_area", "neighbor", "weight")
-    other = values.select(F.col("health_area").alias("neighbor"), *keys, F.coalesce(value, F.lit(0.0)).alias("_v"))
-    return (edges.join(other, "neighbor").groupBy("health_area", *keys)
-            .agg(F.try_divide(F.sum(F.col("weight") * F.col("_v")), F.sum("weight")).alias(name)))
-
-
 def spatial_lag(panel: DataFrame, weights: DataFrame, offset: int = 1) -> DataFrame:
     """(health_area, week_index, spatial_lag_<offset>): neighbours' cases ``offset`` weeks earlier.
 
-    The neighbour's week is moved forward before the equi-join.  Week 0 has no
-    earlier week; its lag is 0.  ``offset=0`` is the historical same-week variant,
-    which leaks.
+    The lag is taken inside each area first, so the panel meets the edges on the key
+    it is already partitioned by; the weighted mean counts the neighbours present in
+    the panel.  Weeks before the first one count as 0.  ``offset=0`` is the
+    historical same-week variant, which leaks.
     """
-    shifted = panel.select("health_area", (F.col("week_index") + offset).alias("week_index"), "cases")
-    if offset:
-        first = panel.where(F.col("week_index") < offset).select("health_area", "week_index", F.lit(0.0).alias("cases"))
-        shifted = shifted.unionByName(first)
-    return neighbour_mean(shifted, weights, ["week_index"], "cases", f"spatial_lag_{offset}")
+    value = F.lag("cases", offset).over(area_window()) if offset else F.col("cases")
+    earlier = panel.select(F.col("health_area").alias("neighbor"), "week_index", F.coalesce(value, F.lit(0.0)).alias("_v"))
+    edges = weights.select("health_area", "neighbor", "weight")
+    mean = F.try_divide(F.sum(F.col("weight") * F.col("_v")), F.sum("weight"))
+    return edges.join(earlier, "neighbor").groupBy("health_area", "week_index").agg(mean.alias(f"spatial_lag_{offset}"))
 
 
 def add_spatial_features(panel: DataFrame, weights: DataFrame | None = None,
@@ -303,11 +296,11 @@ def add_climate_features(panel: DataFrame, climate_df: DataFrame | None = None,
                .groupBy(*keys).agg(*[F.avg(c).alias(c) for c in used]))
     df = panel.drop(*used).join(climate, keys, "left")
     if availability_lag > 0:
-        df = df.withColumns({c: F.lag(c, availability_lag).over(AREA_WINDOW) for c in used})
+        df = df.withColumns({c: F.lag(c, availability_lag).over(area_window()) for c in used})
     rain, heat = "precip_api" in used, "temp_api" in used
-    new = {f"precip_lag_{k}": F.lag("precip_api", k).over(AREA_WINDOW) if rain else empty for k in precip_lags}
+    new = {f"precip_lag_{k}": F.lag("precip_api", k).over(area_window()) if rain else empty for k in precip_lags}
     if rain:
-        new["precip_ma_4_8"] = F.avg("precip_api").over(AREA_WINDOW.rowsBetween(-7, -4))
+        new["precip_ma_4_8"] = F.avg("precip_api").over(area_window().rowsBetween(-7, -4))
         new["temp_ma_4"] = F.avg("temp_api").over(past_rows(4)) if heat else empty
     return df.withColumns(new)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels
 from ..functions.isoweek import Col, _c
-from ..functions.scalars import skill_score
+from ..functions.scalars import settle, skill_score
 
 METRICS = ("n", "mae", "rmse", "r2", "smape", "bias", "mae_pct_mean", "mean_observed",
            "total_observed", "total_predicted", "agg_ratio")
@@ -81,7 +81,7 @@ def peak_columns(true_peak: str = "true_peak", pred_peak: str = "pred_peak") ->
     fn, tn = F.count_if(t & ~p), F.count_if(~t & ~p)
 
     def pct(part: Column, whole: Column) -> Column:
-        return F.round(F.try_divide(part, whole) * 100, 1)
+        return settle(F.try_divide(part, whole) * 100, 1)
 
     return [pct(tp, tp + fn).alias("sensitivity"), pct(tn, tn + fp).alias("specificity"),
             pct(fp, fp + tn).alias("false_alarm_pct"), F.count_if(t).alias("n_true_peaks"),
@@ -102,18 +102,18 @@ def fold_metrics(results: DataFrame, threshold_pct: float = 50) -> DataFrame:
     return flagged.groupBy("fold").agg(
         F.count(F.lit(1)).alias("n_test"),
         F.concat_ws("–", F.min("week_index").cast("string"), F.max("week_index").cast("string")).alias("test_weeks"),
-        F.round(F.avg(F.abs(p - y)), 2).alias("mae"), F.round(F.sqrt(F.avg((p - y) * (p - y))), 2).alias("rmse"),
-        F.round(safe_r2(y, p), 3).alias("r2"), F.round(F.avg(p - y), 2).alias("bias"), *peak_columns())
+        settle(F.avg(F.abs(p - y)), 2).alias("mae"), settle(F.sqrt(F.avg((p - y) * (p - y))), 2).alias("rmse"),
+        settle(safe_r2(y, p), 3).alias("r2"), settle(F.avg(p - y), 2).alias("bias"), *peak_columns())
 
 
 def area_metrics(results: DataFrame) -> DataFrame:
     """Per-area quality, to be ordered by MAE; the label uses the validation R2 scale."""
     y, p = F.col("observed"), F.col("predicted")
     table = results.groupBy("health_area").agg(
-        F.round(F.avg(F.abs(p - y)), 1).alias("mae"), F.round(F.sqrt(F.avg((p - y) * (p - y))), 1).alias("rmse"),
-        F.round(safe_r2(y, p), 3).alias("r2"), F.round(F.avg(p - y), 1).alias("bias"),
-        F.count(F.lit(1)).alias("n_weeks"), F.round(F.avg(y), 1).alias("mean_observed"))
-    return table.withColumns({"mae_pct_mean": F.round(F.try_divide("mae", "mean_observed") * 100, 1),
+        settle(F.avg(F.abs(p - y)), 1).alias("mae"), settle(F.sqrt(F.avg((p - y) * (p - y))), 1).alias("rmse"),
+        settle(safe_r2(y, p), 3).alias("r2"), settle(F.avg(p - y), 1).alias("bias"),
+        F.count(F.lit(1)).alias("n_weeks"), settle(F.avg(y), 1).alias("mean_observed"))
+    return table.withColumns({"mae_pct_mean": settle(F.try_divide("mae", "mean_observed") * 100, 1),
                               "quality": labels.r2_label("r2")})
 
 

@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import isoweek as iso
+from ..functions.scalars import settle
 from ..session import materialise
 from .clean import clean_cases, infer_year, select_scope, year_from_clock
 
 KEYS = ["health_area", "year", "week_"]
-#: one shared window spec: every per-area operator sorts and exchanges once
-AREA_WINDOW = Window.partitionBy("health_area").orderBy("week_index")
+
+
+def area_window() -> Window:
+    """The one shared window spec: per-area operators exchange and sort once."""
+    return Window.partitionBy("health_area").orderBy("week_index")
 
 
 def weekly_totals(cases: DataFrame, extras: Sequence[str] = ()) -> DataFrame:
@@ -62,8 +66,8 @@ def build_panel(df_cases: DataFrame, years: Sequence[int] | None = None,
     weekly = weekly.withColumn("week_index", iso.iso_week_index("year", "week_", first))
     if complete_grid:
         n_weeks = iso.calendar_length(first, last)
-        previous = F.coalesce(F.lag("week_index").over(AREA_WINDOW), F.lit(-1))
-        is_last = F.lead("week_index").over(AREA_WINDOW).isNull()
+        previous = F.coalesce(F.lag("week_index").over(area_window()), F.lit(-1))
+        is_last = F.lead("week_index").over(area_window()).isNull()
         span = weekly.select("*", (previous + 1).alias("_from"),
                              F.when(is_last, F.lit(n_weeks - 1)).otherwise(F.col("week_index")).alias("_to"))
         opened = span.withColumn("_slot", F.explode(F.sequence("_from", "_to")))
@@ -94,8 +98,8 @@ def panel_summary(panel: DataFrame) -> DataFrame:
     return panel.agg(
         F.countDistinct("health_area").alias("n_areas"), F.countDistinct("week_index").alias("n_weeks"),
         n.alias("n_rows"), expected.alias("n_rows_expected"),
-        F.round(F.try_divide(n * 100.0, F.greatest(expected, F.lit(1))), 2).alias("completeness_pct"),
-        zero.alias("n_zero_rows"), F.round(F.try_divide(zero * 100.0, n), 2).alias("zero_pct"),
+        settle(F.try_divide(n * 100.0, F.greatest(expected, F.lit(1))), 2).alias("completeness_pct"),
+        zero.alias("n_zero_rows"), settle(F.try_divide(zero * 100.0, n), 2).alias("zero_pct"),
         F.sum("cases").alias("total_cases"),
         F.min("week_index").alias("week_index_min"), F.max("week_index").alias("week_index_max"),
         F.array_sort(F.collect_set("year")).alias("years"))

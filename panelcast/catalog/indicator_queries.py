@@ -245,7 +245,7 @@ _CORR_VIEW = """obs AS (SELECT cases, deaths, temp_api, precip_api, humidity_api
 
 def _corr_base() -> str:
     return sql("", "panel", "climate_weekly").rstrip() + ",\n" + _CORR_VIEW + ",\n m AS (" + " UNION ALL ".join(
-        f"SELECT '{a}' AS variable_1, '{b}' AS variable_2, " + (f"corr({a}, {b})" if a != b else "1.0") + " AS r FROM obs"
+        f"SELECT '{a}' AS variable_1, '{b}' AS variable_2, " + (f"corr({a}, {b})" if a != b else "max(1.0::DOUBLE)") + " AS r FROM obs"
         for a in _COLUMNS for b in _COLUMNS) + ")\n"
 
 

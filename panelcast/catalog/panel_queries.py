@@ -175,14 +175,14 @@ def extended_temporal_features(spark, sf):
     return rounded(df.select("health_area", "week_index", "acceleration", "cases_min_4", "cases_max_4", "cases_min_8", "cases_max_8"))
 
 
-@register(sql(f"""SELECT health_area, week_index, lag(cases, 1) OVER w AS lag_1, lag(cases, 2) OVER w AS lag_2, lag(cases, 4) OVER w AS lag_4,
-    {r('avg(cases) OVER (w ROWS BETWEEN 1 PRECEDING AND CURRENT ROW)')} AS ma_2, {r('avg(cases) OVER (w ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)')} AS ma_4,
-    {r('greatest(-5, least(5, coalesce((cases - lag(cases, 1) OVER w) / nullif(lag(cases, 1) OVER w, 0), 0)))')} AS growth,
+@register(sql(f"""SELECT health_area, week_index, lag(cases, 1) OVER w AS cases_lag_1, lag(cases, 2) OVER w AS cases_lag_2, lag(cases, 4) OVER w AS cases_lag_4,
+    {r('avg(cases) OVER (w ROWS BETWEEN 1 PRECEDING AND CURRENT ROW)')} AS cases_ma_2, {r('avg(cases) OVER (w ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)')} AS cases_ma_4,
+    {r('greatest(-5, least(5, coalesce((cases - lag(cases, 1) OVER w) / nullif(lag(cases, 1) OVER w, 0), 0)))')} AS growth_rate,
     {r('sin(2 * pi() * week_ / 52)')} AS sin_week, {r('cos(2 * pi() * week_ / 52)')} AS cos_week
     FROM panel WINDOW w AS (PARTITION BY health_area ORDER BY week_index)""", "panel"))
 def unshifted_features(spark, sf):
     df = features.add_unshifted_features(fx.panel(spark, sf))
-    return rounded(df.select("health_area", "week_index", "lag_1", "lag_2", "lag_4", "ma_2", "ma_4", "growth", "sin_week", "cos_week"))
+    return rounded(df.select("health_area", "week_index", "cases_lag_1", "cases_lag_2", "cases_lag_4", "cases_ma_2", "cases_ma_4", "growth_rate", "sin_week", "cos_week"))
 
 
 @register(sql(f"""SELECT health_area, week_index, lag(cases, 1) OVER w AS lag_1, lag(cases, 2) OVER w AS lag_2, lag(cases, 3) OVER w AS lag_3,
@@ -298,7 +298,7 @@ def design(spark, sf, with_climate=True):
     from ..operators.climate import climate_by_week
     return features.DesignBuilder(
         static_df=fx.static_population(spark, sf), neighbour_weights=weights(spark, sf),
-        climate_df=climate_by_week(fx.climate_daily(spark, sf)) if with_climate else None)
+        climate_df=climate_by_week(fx.climate_daily(spark, sf)) if with_climate else None).prepared()
 
 
 _PROFILE = """SELECT variable, n_rows, n_non_null, {0} AS std,

@@ -58,12 +58,18 @@ FORECAST_ROLES: dict[str, list[str]] = {
     "health_area": ["health_area", "healtharea", "Aire_Sante", "aire_sante", "area", "name"],
 }
 
-# Roles of the retrospective-validation input, found by keyword when no alias fits.
+# Retrospective-validation input: folded aliases first, then keywords.
+VALIDATION_ROLES: dict[str, list[str]] = {
+    "health_area": ["health_area", "aire_sante", "aire_de_sante", "name_fr", "name", "nom", "aire",
+                    "zone_sante", "district", "localite", "nom_aire", "fosa", "nom_fosa"],
+    "week_num": ["week_num", "week_", "semaine_epi", "semaine", "week", "epi_week", "se", "s_epi",
+                 "sem_epi", "no_semaine", "numero_semaine", "week_number", "wk"],
+    "cases": ["cases", "casobserves", "cas_observes", "cas_total", "cas", "nb_cas", "nombre_cas",
+              "nbcas", "nbre_cas", "count", "total_cas", "confirmed", "cas_confirmes"],
+}
 VALIDATION_KEYWORDS: dict[str, list[str]] = {
-    "health_area": ["aire", "area", "zone", "district"],
-    "week_": ["semaine", "week"],
-    "year": ["annee", "year"],
-    "cases": ["cas", "case"],
+    "week_num": ["week", "semai", "se_", "_se", "epi"],
+    "cases": ["cas", "case", "count", "confirm"],
 }
 
 
@@ -118,9 +124,12 @@ def harmonise_forecast(df: DataFrame) -> DataFrame:
 
 
 def harmonise_validation(df: DataFrame) -> DataFrame:
-    df = df.withColumnsRenamed(role_renames(df.columns, LINELIST_ROLES, fold=True))
-    return df.withColumnsRenamed(
-        role_renames(df.columns, VALIDATION_KEYWORDS, contains=True, fold=True))
+    df = df.withColumnsRenamed(role_renames(df.columns, VALIDATION_ROLES, fold=True))
+    df = df.withColumnsRenamed(role_renames(df.columns, VALIDATION_KEYWORDS, contains=True, fold=True))
+    missing = [r for r in VALIDATION_ROLES if r not in df.columns]
+    if missing:
+        raise ValueError(f"no column found for {missing} among {df.columns}")
+    return df
 
 
 # ---------------------------------------------------------------------------

@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import isoweek as iso
 from ..functions.scalars import clip, finite, normal_key, ratio
+from ..session import materialise
 from .panel import area_window
 from .quantiles import exact_quantile
 
@@ -104,9 +105,9 @@ def add_unshifted_features(panel: DataFrame, lags: Sequence[int] = (1, 2, 4)) ->
     change = clip(F.coalesce(F.try_divide(y - F.lag(y, 1).over(area_window()), F.lag(y, 1).over(area_window())),
                              F.lit(0.0)), -5.0, 5.0)
     angle = F.lit(2 * math.pi) * F.col("week_") / 52
-    new = {f"lag_{k}": F.lag(y, k).over(area_window()) for k in lags}
-    new |= {f"ma_{w}": F.avg(y).over(area_window().rowsBetween(1 - w, 0)) for w in (2, 4)}
-    return panel.withColumns(new | {"growth": change, "sin_week": F.sin(angle), "cos_week": F.cos(angle)})
+    new = {f"cases_lag_{k}": F.lag(y, k).over(area_window()) for k in lags}
+    new |= {f"cases_ma_{w}": F.avg(y).over(area_window().rowsBetween(1 - w, 0)) for w in (2, 4)}
+    return panel.withColumns(new | {"growth_rate": change, "sin_week": F.sin(angle), "cos_week": F.cos(angle)})
 
 
 def add_measles_original_features(panel: DataFrame) -> DataFrame:
@@ -344,13 +345,39 @@ def select_features(df: DataFrame, groups: Sequence[str] = DEFAULT_GROUP_ORDER,
                     extra_static: Sequence[str] | None = None) -> list[str]:
     """Ordered usable features: canonical order, not nearly empty, not constant."""
     numeric = [c for c, t in df.dtypes if t in ("double", "float", "int", "bigint", "smallint", "tinyint")]
-    columns = ordered_candidates(numeric, groups, extra_static)
+    return usable_columns(df, ordered_candidates(numeric, groups, extra_static), min_non_null)
+
+
+def usable_columns(df: DataFrame, columns: Sequence[str], min_non_null: float = 0.05) -> list[str]:
+    """The given columns without the nearly empty and constant ones, order kept."""
     if not columns:
         return []
     rows = selected_features(df, columns, min_non_null).where("kept").orderBy("position").collect()
     return [r["variable"] for r in rows]
 
 
+def usable_columns_by_origin(df: DataFrame, columns: Sequence[str], origins: Sequence[int],
+                             min_non_null: float = 0.05) -> dict[int, list[str]]:
+    """:func:`usable_columns` of the rows up to each origin, in one pass.
+
+    The matrix is reduced to one row per week (count and extremes of each column),
+    from which every origin is answered.
+    """
+    weekly = df.groupBy("week_index").agg(F.count(F.lit(1)).alias("_n"), *[
+        F.struct(F.count(c).alias("n"), F.min(c).cast("double").alias("lo"), F.max(c).cast("double").alias("hi")).alias(f"_{i}")
+        for i, c in enumerate(columns)])
+    melted = weekly.select("week_index", "_n", F.posexplode(F.array(*[F.col(f"_{i}") for i in range(len(columns))])).alias("position", "s"))
+    tagged = melted.withColumn("origin", F.explode(F.array(*[F.lit(int(o)) for o in origins]))).where(F.col("week_index") <= F.col("origin"))
+    stats = tagged.groupBy("origin", "position").agg(F.sum("_n").alias("rows"), F.sum("s.n").alias("n"),
+                                                     F.min("s.lo").alias("lo"), F.max("s.hi").alias("hi"))
+    enough = F.col("n") >= F.greatest(F.lit(1), F.floor(F.lit(min_non_null) * F.col("rows")))
+    kept = stats.where(enough & ~((F.col("n") > 1) & (F.col("lo") == F.col("hi")))).select("origin", "position").collect()
+    found: dict[int, list[int]] = {int(o): [] for o in origins}
+    for row in kept:
+        found[row["origin"]].append(row["position"])
+    return {o: [columns[i] for i in sorted(places)] for o, places in found.items()}
+
+
 def non_numeric_features(df: DataFrame, feature_cols: Sequence[str]) -> list[tuple[str, str]]:
     """Chosen columns that are absent or not numeric (schema check, no job)."""
     types = dict(df.dtypes)
@@ -399,6 +426,30 @@ class DesignBuilder:
     def __call__(self, panel: DataFrame) -> tuple[DataFrame, list[str]]:
         return build_design_matrix(panel, **self.__dict__)
 
+    def prepared(self) -> DesignBuilder:
+        """The same builder with its side tables written once (neighbours, weekly climate, ...)."""
+        tables = {k: materialise(v) for k, v in self.__dict__.items() if isinstance(v, DataFrame)}
+        return replace(self, **tables)
+
+
+def written_matrix(panel: DataFrame, builder, feature_cols: Sequence[str] | None = None) -> tuple[DataFrame, list[str]]:
+    """Design matrix written once, and its features.
+
+    With a :class:`DesignBuilder` the selection reads the written table, so the
+    windows are evaluated a single time.
+    """
+    if isinstance(builder, DesignBuilder) and builder.feature_cols is None and feature_cols is None:
+        df, _ = replace(builder, feature_cols=[])(panel)
+        wanted = ordered_candidates(df.columns, builder.groups, builder.extra_static)
+        df = materialise(df.select("health_area", "week_index", "cases", *wanted,
+                                   *[c for c in ("cases_lag_1", "log_exposure") if c in df.columns and c not in wanted]))
+        return df, select_features(df, builder.groups, extra_static=builder.extra_static)
+    df, columns = builder(panel)
+    if feature_cols is not None:
+        columns = [c for c in feature_cols if c in df.columns] or columns
+    extra = [c for c in ("cases_lag_1", "log_exposure") if c in df.columns and c not in columns]
+    return materialise(df.select("health_area", "week_index", "cases", *columns, *extra)), list(columns)
+
 
 # ---------------------------------------------------------------------------
 # diagnostics of the matrix

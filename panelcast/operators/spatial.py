@@ -186,6 +186,8 @@ def k_nearest(points: DataFrame, targets: DataFrame, k: int = 1, exclude_self: b
         cells = finest.select(F.floor(F.col("_ix") / shrink).alias("_ix"), F.floor(F.col("_iy") / shrink).alias("_iy"),
                               "x0", "y0", "x1", "y1", "held").groupBy("_ix", "_iy").agg(*again)
         cells = cells.withColumns({"_px": F.floor(F.col("_ix") / 2), "_py": F.floor(F.col("_iy") / 2)})
+        if level <= 6:
+            cells = F.broadcast(cells)  # at most 4**6 = 4096 rows, whatever the number of targets
         parents = alive.select("pid", "px", "py", F.col("_ix").alias("_px"), F.col("_iy").alias("_py"))
         scored = parents.join(cells, ["_px", "_py"]).withColumns({"_near": _near(F.col("px"), F.col("py")),
                                                                  "_far": _far(F.col("px"), F.col("py"))})
@@ -233,8 +235,9 @@ def distance_to_lines(areas: DataFrame, segments: DataFrame, x: str = "longitude
 
 
 def distance_to_water(cells: DataFrame, layer: DataFrame, is_water: Column) -> DataFrame:
-    """Mean distance per area from its cells to the nearest water cell, in km."""
-    keyed = cells.select("x", "y", is_water.alias("_water")).withColumn("pid", F.xxhash64("x", "y"))
+    """Mean distance per area from its cells to the nearest water cell, in km (one cell per position)."""
+    keyed = (cells.groupBy("x", "y").agg(F.coalesce(F.bool_or(is_water), F.lit(False)).alias("_water"))
+             .withColumn("pid", F.xxhash64("x", "y")))
     water = as_targets(keyed.where("_water"), "pid", "x", "y")
     near = k_nearest(keyed.select("pid", F.col("x").alias("px"), F.col("y").alias("py")), water)
     located = cells_in_areas(keyed.select("pid", "x", "y"), layer).join(near.select("pid", "distance"), "pid")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,29 +27,33 @@ def build_session(app_name: str = "panelcast", master: str | None = None, **conf
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named by ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
     Only a local session (tests, a laptop) may fall back to a temporary folder;
     on a cluster a machine-local folder would be lost with its executor.
     """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        context.setCheckpointDir(shared)
-    elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="panelcast-checkpoint-"))
-    else:
+    chosen = context._jsc.sc().getCheckpointDir()
+    if chosen.isDefined():
+        return chosen.get()
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="panelcast-"))
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once into reliable storage and cut its lineage.
+    """Compute ``df`` once into a Parquet table of the shared folder and cut its lineage.
 
     Used where one result feeds several branches of a plan (so the raw input is
-    scanned once) and between the steps of a recursive forecast.
+    scanned once) and between the steps of a recursive forecast.  The table survives
+    lost executors, is read with column pruning, and tells the optimizer its size.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -227,11 +227,36 @@ def _start_state(panel: DataFrame, origins: Sequence[int]) -> DataFrame:
         "preds", F.expr("cast(array() as array<double>)"))
 
 
+def score_origins(fits: dict[int, Fitted], rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Predict each row with the model of its origin.
+
+    Linear models are one table of coefficients (a row per origin) joined to the
+    rows, so any number of origins is a single expression.  Other models score
+    their own slice of the rows, which are written first so that the slices do not
+    recompute them.
+    """
+    if all(hasattr(f.model, "coefficients") and not f.exposure for f in fits.values()):
+        table = rows.sparkSession.createDataFrame(
+            [(int(o), [columns.index(c) + 1 for c in f.medians], [float(m) for m in f.medians.values()],
+              [float(v) for v in f.model.coefficients.toArray()], float(f.model.intercept), f.objective == "poisson", f.log_target)
+             for o, f in fits.items()],
+            "origin int, _at array<int>, _m array<double>, _w array<double>, _b double, _exp boolean, _log boolean")
+        chosen = F.transform("_at", lambda i: F.element_at(F.col("values"), i))
+        filled = F.zip_with(chosen, F.col("_m"), lambda v, m: F.coalesce(v, m))
+        linear = F.aggregate(F.zip_with(filled, F.col("_w"), lambda v, w: v * w), F.col("_b"), lambda a, x: a + x)
+        raw = F.when(F.col("_exp"), F.exp(linear)).when(F.col("_log"), F.expm1(linear)).otherwise(linear)
+        scored = rows.join(F.broadcast(table), "origin")  # one row per origin, a dozen
+        return scored.withColumn("predicted_cases", F.greatest(F.coalesce(finite(raw), F.lit(0.0)), F.lit(0.0))).drop(
+            "_at", "_m", "_w", "_b", "_exp", "_log")
+    rows = materialise(rows)
+    return reduce(DataFrame.unionByName, [f.predict_array(rows.where(F.col("origin") == o), columns).select(*rows.columns, "predicted_cases")
+                                          for o, f in sorted(fits.items())])
+
+
 def forecast_origins(fits: dict[int, Fitted], panel: DataFrame, horizons: int, builder: ft.DesignBuilder) -> DataFrame:
     """Recursive forecasts of several origins: ``origin, health_area, horizon, predicted_cases``.
 
-    A step writes two small tables (features, then state), one row per origin and
-    area each; every origin's model scores its own rows of the features.
+    A step writes the new state, one bounded row per origin and area.
     """
     origins = sorted(fits)
     columns = sorted({c for f in fits.values() for c in f.feature_cols})
@@ -252,12 +277,10 @@ def forecast_origins(fits: dict[int, Fitted], panel: DataFrame, horizons: int, b
             step = step.drop("spatial_lag_1").join(lag, keys, "left")
         have = set(step.columns)
         values = F.array(*[finite(c) if c in have else F.lit(None).cast("double") for c in columns])
-        step = materialise(step.select(*keys, "hist", "preds", "log_exposure", values.alias("values")))
-        scored = [fits[o].predict_array(step.where(F.col("origin") == o), columns).select(*keys, "hist", "preds", "predicted_cases")
-                  for o in origins]
+        scored = score_origins(fits, step.select(*keys, "hist", "preds", "log_exposure", values.alias("values")), columns)
         longer, new = F.concat("hist", F.array("predicted_cases")), F.array("predicted_cases")
         kept = F.least(F.size(longer), F.lit(HISTORY))
-        state = materialise(reduce(DataFrame.unionByName, scored).select(
+        state = materialise(scored.select(
             *keys, F.slice(longer, F.size(longer) - kept + 1, kept).alias("hist"), F.concat("preds", new).alias("preds")))
     return state.select(*keys, F.posexplode("preds").alias("_p", "predicted_cases")).select(
         *keys, (F.col("_p") + 1).alias("horizon"), "predicted_cases")

@@ -19,12 +19,12 @@ COLUMNS = {"featuresCol": "features", "labelCol": "label", "predictionCol": "pre
 
 
 def _boosted(**kw) -> Estimator:
-    return GBTRegressor(**{"maxIter": 60, "maxDepth": 5, "stepSize": 0.1, "subsamplingRate": 0.8, "minInstancesPerNode": 5,
+    return GBTRegressor(**{"maxIter": 30, "maxDepth": 4, "stepSize": 0.1, "subsamplingRate": 0.8, "minInstancesPerNode": 10,
                            "seed": SEED, **COLUMNS, **kw})
 
 
 def _forest(**kw) -> Estimator:
-    return RandomForestRegressor(**{"numTrees": 100, "maxDepth": 10, "minInstancesPerNode": 5, "seed": SEED, **COLUMNS, **kw})
+    return RandomForestRegressor(**{"numTrees": 100, "maxDepth": 8, "minInstancesPerNode": 5, "seed": SEED, **COLUMNS, **kw})
 
 
 def _ridge(**kw) -> Estimator:
@@ -49,7 +49,7 @@ class ModelSpec:
 
 MODEL_REGISTRY: dict[str, ModelSpec] = {
     "XGBoost": ModelSpec(_boosted, True, True, "gradient-boosted trees, the default"),
-    "LightGBM": ModelSpec(lambda **kw: _boosted(**{"maxDepth": 6, "maxIter": 40, **kw}), True, True, "deeper, fewer boosted trees"),
+    "LightGBM": ModelSpec(lambda **kw: _boosted(**{"maxDepth": 5, "maxIter": 20, **kw}), True, True, "deeper, fewer boosted trees"),
     "HistGradientBoosting": ModelSpec(lambda **kw: _boosted(**{"subsamplingRate": 1.0, **kw}), True, True, "boosting without row sampling"),
     "GradientBoosting": ModelSpec(lambda **kw: _boosted(**{"maxDepth": 3, **kw}), help="shallow boosted trees"),
     "RandomForest": ModelSpec(_forest, help="random forest"),

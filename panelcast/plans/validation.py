@@ -16,7 +16,7 @@ from ..operators import metrics
 from ..session import materialise
 from .forecast import Fitted, fit_matrix, forecast_origins, training_rows
 
-PARALLELISM = 4
+PARALLELISM = 8
 
 
 def _in_parallel(spark, tasks: Sequence[Callable], parallelism: int = PARALLELISM) -> list:

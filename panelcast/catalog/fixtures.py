@@ -110,6 +110,33 @@ def climate_daily(spark: SparkSession, sf: str) -> DataFrame:
                     F.round(F.round(F.col("d") / F.col("n") * 800, 10), 4).cast("double").alias("humidity")))
 
 
+def sites(spark: SparkSession, sf: str) -> DataFrame:
+    """Every customer as a small health area, so that per-area work grows with the tables.
+
+    Positions are multiples of 1/8 degree: distances of equal length compare equal.
+    """
+    key = F.col("c_custkey")
+    total = 20000 + key % 997 * 17
+    return table(spark, sf, "customer").select(
+        F.format_string("site_%d", key).alias("health_area"), total.cast("bigint").alias("pop_totale"),
+        F.floor(total * 0.48).cast("bigint").alias("pop_enfants_0_14"),
+        F.when(key % 24 != 0, (100 + key % 50).cast("double")).alias("superficie_km2"),
+        F.when(key % 6 != 5, (60 + key * 7 % 40).cast("double")).alias("taux_vaccination"),
+        ((key * 7919 % 1000).cast("double") / 8).alias("longitude"), ((key * 104729 % 397).cast("double") / 8).alias("latitude"))
+
+
+def site_cases(spark: SparkSession, sf: str) -> DataFrame:
+    orders = table(spark, sf, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("cases"))
+    return orders.select(F.format_string("site_%d", "o_custkey").alias("health_area"), "cases")
+
+
+def segments(spark: SparkSession, sf: str) -> DataFrame:
+    """River segments from the suppliers."""
+    key = F.col("s_suppkey")
+    x, y = (key * 3767 % 1000).cast("double") / 8, (key * 9109 % 397).cast("double") / 8
+    return table(spark, sf, "supplier").select(x.alias("x1"), y.alias("y1"), (x + key % 7 - 3).alias("x2"), (y + key % 5 - 2).alias("y2"))
+
+
 def area_boxes(spark: SparkSession, sf: str) -> DataFrame:
     key = F.col("n_nationkey")
     x0, y0 = ((key % 5) * 2).cast("double"), (10 + 2 * F.floor(key / 5)).cast("double")
@@ -133,11 +160,6 @@ def cells(spark: SparkSession, sf: str) -> DataFrame:
         F.when(key % 17 != 0, F.col("p_size").cast("double")).alias("value"))
 
 
-def river_segments(spark: SparkSession, sf: str) -> DataFrame:
-    start = F.col("r_regionkey").cast("double") * 2
-    return table(spark, sf, "region").select(start.alias("x1"), F.lit(10.0).alias("y1"), (start + 1).alias("x2"), F.lit(20.0).alias("y2"))
-
-
 def dirty_names(spark: SparkSession, sf: str) -> DataFrame:
     name, kind = F.lower("n_name"), F.col("n_nationkey") % 4
     return table(spark, sf, "nation").select(
@@ -233,8 +255,14 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         CASE WHEN p_partkey % 17 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) END AS value FROM part"""),
     "located": (("cells", "area_boxes"), """SELECT health_area, x, y, value FROM cells JOIN area_boxes
         ON x > x0 AND x < x1 AND y > y0 AND y < y1"""),
-    "river_segments": ((), """SELECT CAST(r_regionkey AS DOUBLE) * 2 AS x1, CAST(10 AS DOUBLE) AS y1,
-        CAST(r_regionkey AS DOUBLE) * 2 + 1 AS x2, CAST(20 AS DOUBLE) AS y2 FROM region"""),
+    "sites": ((), """SELECT concat('site_', c_custkey) AS health_area, CAST(20000 + c_custkey % 997 * 17 AS BIGINT) AS pop_totale,
+        CAST(floor((20000 + c_custkey % 997 * 17) * 0.48) AS BIGINT) AS pop_enfants_0_14,
+        CASE WHEN c_custkey % 24 = 0 THEN NULL ELSE CAST(100 + c_custkey % 50 AS DOUBLE) END AS superficie_km2,
+        CASE WHEN c_custkey % 6 = 5 THEN NULL ELSE CAST(60 + c_custkey * 7 % 40 AS DOUBLE) END AS taux_vaccination,
+        CAST(c_custkey * 7919 % 1000 AS DOUBLE) / 8 AS longitude, CAST(c_custkey * 104729 % 397 AS DOUBLE) / 8 AS latitude FROM customer"""),
+    "site_cases": ((), "SELECT concat('site_', o_custkey) AS health_area, count(*) AS cases FROM orders GROUP BY 1"),
+    "segments": ((), """SELECT x1, y1, x1 + k % 7 - 3 AS x2, y1 + k % 5 - 2 AS y2 FROM (SELECT s_suppkey AS k,
+        CAST(s_suppkey * 3767 % 1000 AS DOUBLE) / 8 AS x1, CAST(s_suppkey * 9109 % 397 AS DOUBLE) / 8 AS y1 FROM supplier)"""),
     "dirty_names": ((), """SELECT lower(n_name) AS truth, CASE n_nationkey % 4 WHEN 0 THEN lower(n_name)
         WHEN 1 THEN concat(' ', upper(n_name), ' ') WHEN 2 THEN replace(lower(n_name), '_', '-')
         ELSE replace(lower(n_name), 'nation', 'natien') END AS raw_name FROM nation"""),

@@ -167,9 +167,9 @@ def fixed_threshold_alerts(spark, sf):
     return risk.fixed_threshold_alerts(kpi.area_totals(fx.cases_weekly(spark, sf)), 600)
 
 
-@register(sql(f"SELECT health_area, pop_totale, superficie_km2, {r('pop_totale / superficie_km2')} AS densite_pop FROM population", "population"))
+@register(sql(f"SELECT health_area, pop_totale, superficie_km2, {r('pop_totale / superficie_km2')} AS densite_pop FROM sites", "sites"))
 def density_table(spark, sf):
-    return rounded(kpi.density_table(fx.population(spark, sf)).select("health_area", "pop_totale", "superficie_km2", "densite_pop"))
+    return rounded(kpi.density_table(fx.sites(spark, sf)).select("health_area", "pop_totale", "superficie_km2", "densite_pop"))
 
 
 @register(sql("""SELECT lower(n_name) AS health_area, CAST(1996 AS INT) AS year, count(*) AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey
@@ -197,10 +197,12 @@ def static_coverage(spark, sf):
 
 @register(sql(f"""SELECT health_area, taux_vaccination AS "Taux_Vaccination", {r('CASE WHEN taux_vaccination IS NULL THEN NULL ELSE greatest(0, 95 - taux_vaccination) END')} AS "Gap_Immunite_Collective",
     CASE WHEN taux_vaccination < 95 THEN 1.0::DOUBLE WHEN taux_vaccination IS NOT NULL THEN 0.0::DOUBLE END AS "Zone_Sous_Seuil",
-    {r('(1 - taux_vaccination / 100) * pop_enfants_0_14')} AS "Susceptibles_Estimes" FROM population LEFT JOIN vaccination USING (health_area)""", "population", "vaccination"))
+    {r('(1 - taux_vaccination / 100) * pop_enfants_0_14')} AS "Susceptibles_Estimes" FROM sites""", "sites"))
 def vaccination_gap(spark, sf):
-    layer = kpi.enrich_layer(fx.layer(spark, sf), population=fx.population(spark, sf), vaccination=fx.vaccination(spark, sf))
-    table = kpi.vaccination_features(layer.withColumnRenamed("taux_vaccination", "Taux_Vaccination"), children="pop_enfants_0_14")
+    sites = fx.sites(spark, sf)
+    layer = kpi.enrich_layer(sites.select("health_area"), population=sites.select("health_area", "pop_enfants_0_14"),
+                             vaccination=sites.select("health_area", F.col("taux_vaccination").alias("Taux_Vaccination")))
+    table = kpi.vaccination_features(layer, children="pop_enfants_0_14")
     return rounded(table.select("health_area", "Taux_Vaccination", "Gap_Immunite_Collective", "Zone_Sous_Seuil", "Susceptibles_Estimes"))
 
 
@@ -217,9 +219,9 @@ def under_35_share(spark, sf):
 
 @register(sql(f"""SELECT CASE WHEN k = 0 THEN '0-14 ans' ELSE '15+ ans' END AS band, {r('CASE WHEN k = 0 THEN c * 0.51 ELSE greatest(t - c, 0) * 0.48 END')} AS male,
     {r('CASE WHEN k = 0 THEN c * 0.49 ELSE greatest(t - c, 0) * 0.52 END')} AS female
-    FROM (SELECT sum(pop_totale) AS t, sum(pop_enfants_0_14) AS c FROM population), (SELECT unnest([0, 1]) AS k)""", "population"))
+    FROM (SELECT sum(pop_totale) AS t, sum(pop_enfants_0_14) AS c FROM sites), (SELECT unnest([0, 1]) AS k)""", "sites"))
 def simplified_pyramid(spark, sf):
-    return rounded(kpi.simplified_pyramid(fx.population(spark, sf)))
+    return rounded(kpi.simplified_pyramid(fx.sites(spark, sf)))
 
 
 @register(sql("""SELECT CASE WHEN band_start < 60 THEN '0-4 ans' WHEN band_start < 120 THEN '5-9 ans' ELSE '10-14 ans' END AS band,
@@ -483,9 +485,9 @@ def name_match_strict(spark, sf):
     return rounded(matching.build_auto_health_area_mapping(fx.layer(spark, sf), _names(spark, sf)))
 
 
-@register(sql("SELECT substr(sha1(concat(count(*), '|', array_to_string(list_sort(list(DISTINCT health_area)), '|'))), 1, 12) AS fingerprint FROM layer", "layer"))
+@register(sql("SELECT substr(sha1(concat(count(*), '|', array_to_string(list_sort(list(DISTINCT health_area)), '|'))), 1, 12) AS fingerprint FROM sites", "sites"))
 def layer_fingerprint(spark, sf):
-    return matching.layer_fingerprint(fx.layer(spark, sf))
+    return matching.layer_fingerprint(fx.sites(spark, sf))
 
 
 @register(sql("SELECT o_orderkey, match_key FROM (SELECT o_orderkey, trim(regexp_replace(lower(trim(o_orderpriority)), '[\\s\\-_/'']+', ' ', 'g')) AS match_key FROM orders)"))

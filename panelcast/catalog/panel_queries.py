@@ -246,9 +246,9 @@ def weights(spark, sf):
     return build_neighbour_weights(fx.centroids(spark, sf), 5, "longitude", "latitude")
 
 
-@register(_with_knn(f"SELECT health_area, neighbor, {r('weight')} AS weight FROM knn"))
+@register(sql("", "sites").rstrip() + ",\n" + _KNN.replace("centroids", "sites") + f"\nSELECT health_area, neighbor, {r('weight')} AS weight FROM knn")
 def knn_weights(spark, sf):
-    return rounded(weights(spark, sf))
+    return rounded(build_neighbour_weights(fx.sites(spark, sf), 5, "longitude", "latitude"))
 
 
 def _spatial_sql(offset: int) -> str:

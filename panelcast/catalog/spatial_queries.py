@@ -56,10 +56,10 @@ def zonal_population(spark, sf):
 
 
 @register(sql(f"""SELECT health_area, {r('min(sqrt((longitude - (x1 + t * (x2 - x1))) ** 2 + (latitude - (y1 + t * (y2 - y1))) ** 2)) * 111')} AS distance_km FROM (
-    SELECT *, greatest(0, least(1, ((longitude - x1) * (x2 - x1) + (latitude - y1) * (y2 - y1)) / ((x2 - x1) ** 2 + (y2 - y1) ** 2))) AS t FROM centroids, river_segments) GROUP BY 1""",
-              "centroids", "river_segments"))
+    SELECT *, coalesce(greatest(0, least(1, ((longitude - x1) * (x2 - x1) + (latitude - y1) * (y2 - y1)) / nullif((x2 - x1) ** 2 + (y2 - y1) ** 2, 0))), 0) AS t FROM sites, segments) GROUP BY 1""",
+              "sites", "segments"))
 def river_distance(spark, sf):
-    return rounded(spatial.distance_to_lines(fx.centroids(spark, sf), fx.river_segments(spark, sf)))
+    return rounded(spatial.distance_to_lines(fx.sites(spark, sf), fx.segments(spark, sf)))
 
 
 @register(sql("", "located", "layer").rstrip() + f""",
@@ -70,21 +70,27 @@ def water_distance(spark, sf):
     return rounded(spatial.distance_to_water(fx.cells(spark, sf), fx.area_polygons(spark, sf), F.col("value") % 10 == 0))
 
 
-@register(sql(f"SELECT health_area, {r('(x1 - x0) * (y1 - y0)')} AS area, {r('(x0 + x1) / 2')} AS cx, {r('(y0 + y1) / 2')} AS cy FROM area_boxes", "area_boxes"))
+def _site_polygons(spark, sf):
+    sites = fx.sites(spark, sf)
+    return sites.select("health_area", F.array(F.array(geo.box_ring("longitude", "latitude", F.col("longitude") + 0.125, F.col("latitude") + 0.25)))
+                        .alias("polygons"))
+
+
+@register(sql(f"SELECT health_area, {r('0.03125')} AS area, {r('longitude + 0.0625')} AS cx, {r('latitude + 0.125')} AS cy FROM sites", "sites"))
 def area_geometry_planar(spark, sf):
-    measured = fx.area_polygons(spark, sf).withColumn("m", geo.polygon_measures("polygons"))
+    measured = _site_polygons(spark, sf).withColumn("m", geo.polygon_measures("polygons"))
     return rounded(measured.select("health_area", F.col("m.area").alias("area"), F.col("m.cx").alias("cx"), F.col("m.cy").alias("cy")))
 
 
 @register()
 def area_geometry(spark, sf):
-    """Mollweide area and centroids of the areas."""
-    return rounded(spatial.area_geometry(fx.area_polygons(spark, sf)))
+    """Mollweide area and centroids of the sites."""
+    return rounded(spatial.area_geometry(_site_polygons(spark, sf)))
 
 
-@register(sql(f"SELECT {r('avg(latitude)')} AS latitude, {r('avg(longitude)')} AS longitude FROM centroids", "centroids"))
+@register(sql(f"SELECT {r('avg(latitude)')} AS latitude, {r('avg(longitude)')} AS longitude FROM sites", "sites"))
 def layer_centre(spark, sf):
-    return rounded(spatial.layer_centre(fx.centroids(spark, sf)))
+    return rounded(spatial.layer_centre(fx.sites(spark, sf)))
 
 
 @register(sql("""SELECT latitude, longitude, CAST(sum(cases) AS DOUBLE) AS weight FROM centroids JOIN cases_weekly USING (health_area) GROUP BY health_area, latitude, longitude HAVING sum(cases) > 0""",
@@ -93,21 +99,20 @@ def heat_points(spark, sf):
     return spatial.heat_points(kpi.layer_with_cases(fx.centroids(spark, sf), fx.cases_weekly(spark, sf)), "cases")
 
 
-@register(sql("", "centroids", "cases_weekly").rstrip() + f""",
-    a AS (SELECT health_area FROM cases_weekly GROUP BY 1 HAVING sum(cases) >= 600),
-    p AS (SELECT c.health_area, b.health_area AS alert_area, sqrt((c.longitude - b.longitude) ** 2 + (c.latitude - b.latitude) ** 2) AS d
-      FROM centroids c, centroids b WHERE b.health_area IN (SELECT health_area FROM a))
+@register(sql("", "sites", "site_cases").rstrip() + f""",
+    a AS (SELECT health_area, longitude, latitude FROM sites JOIN site_cases USING (health_area) WHERE cases >= 16),
+    p AS (SELECT c.health_area, a.health_area AS alert_area, sqrt((c.longitude - a.longitude) ** 2 + (c.latitude - a.latitude) ** 2) AS d FROM sites c, a)
     SELECT health_area, arg_min(alert_area, (d, alert_area)) AS alert_area, {r('min(d) * 111')} AS distance_km, min(d) * 111 <= 30 AS in_radius FROM p GROUP BY 1""")
 def response_radius(spark, sf):
-    alerts = risk.fixed_threshold_alerts(kpi.area_totals(fx.cases_weekly(spark, sf)), 600)
-    return rounded(spatial.within_radius(fx.centroids(spark, sf), alerts))
+    alerts = risk.fixed_threshold_alerts(fx.site_cases(spark, sf), 16)
+    return rounded(spatial.within_radius(fx.sites(spark, sf), alerts))
 
 
 @register()
 def clusters(spark, sf):
-    """k-means on the centroids of the areas that report cases."""
-    reporting = fx.cases_weekly(spark, sf).select("health_area").distinct()
-    return spatial.spatial_clusters(fx.centroids(spark, sf).join(reporting, "health_area", "left_semi"), x="longitude", y="latitude")
+    """k-means on the centroids of the sites that report cases."""
+    reporting = fx.sites(spark, sf).join(fx.site_cases(spark, sf), "health_area", "left_semi")
+    return spatial.spatial_clusters(reporting, x="longitude", y="latitude")
 
 
 @register(sql("""SELECT n_nationkey % 5 AS cluster, count(*) FILTER (n_nationkey % 5 = 0) AS cluster_0, count(*) FILTER (n_nationkey % 5 = 1) AS cluster_1, count(*) FILTER (n_nationkey % 5 = 2) AS cluster_2

@@ -147,7 +147,8 @@ def segment_distance(px: Col, py: Col, x1: Col, y1: Col, x2: Col, y2: Col) -> Co
     dx, dy = x2 - x1, y2 - y1
     along = F.coalesce(F.try_divide((px - x1) * dx + (py - y1) * dy, dx * dx + dy * dy), F.lit(0.0))
     along = F.least(F.greatest(along, F.lit(0.0)), F.lit(1.0))
-    return F.hypot(px - (x1 + along * dx), py - (y1 + along * dy))
+    ox, oy = px - (x1 + along * dx), py - (y1 + along * dy)
+    return F.sqrt(ox * ox + oy * oy)
 
 
 def haversine_km(lon1: Col, lat1: Col, lon2: Col, lat2: Col) -> Column:

@@ -133,13 +133,13 @@ MAX_DEPTH = 12     # 4096 x 4096 cells
 def _near(px: Column, py: Column) -> Column:
     dx = F.greatest(F.col("x0") - px, px - F.col("x1"), F.lit(0.0))
     dy = F.greatest(F.col("y0") - py, py - F.col("y1"), F.lit(0.0))
-    return F.hypot(dx, dy)
+    return F.sqrt(dx * dx + dy * dy)
 
 
 def _far(px: Column, py: Column) -> Column:
     dx = F.greatest(F.abs(px - F.col("x0")), F.abs(px - F.col("x1")))
     dy = F.greatest(F.abs(py - F.col("y0")), F.abs(py - F.col("y1")))
-    return F.hypot(dx, dy)
+    return F.sqrt(dx * dx + dy * dy)
 
 
 def k_nearest(points: DataFrame, targets: DataFrame, k: int = 1, exclude_self: bool = False) -> DataFrame:

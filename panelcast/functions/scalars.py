@@ -60,6 +60,17 @@ def match_key(value: Col) -> Column:
     return F.trim(F.regexp_replace(fold_accents(F.trim(_c(value))), r"[\s\-_/']+", " "))
 
 
+def pearson(x: Col, y: Col) -> Column:
+    """Aggregate: correlation over complete pairs, null when a side does not vary.
+
+    The built-in ``corr`` raises on a constant column under ANSI mode.
+    """
+    x, y = _c(x).cast("double"), _c(y).cast("double")
+    full = x.isNotNull() & y.isNotNull()
+    scale = F.stddev_pop(F.when(full, x)) * F.stddev_pop(F.when(full, y))
+    return F.try_divide(F.covar_pop(x, y), scale)
+
+
 # --- environment and vaccination ------------------------------------------------
 
 def flood_risk(flood: Col, river_distance: Col) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import ratio
+from ..functions.scalars import pearson, ratio
 from .panel import area_window
 from .quantiles import exact_quantiles
 
@@ -30,7 +30,7 @@ def leakage_reconstruction(panel: DataFrame, population: DataFrame, pop: str = "
                    "_pop", ratio(y, "_pop", 10000).alias("_rate"))
     guesses = {"unshifted_mean": F.when(F.col("_lag").isNotNull(), 2 * F.col("_ma") - F.col("_lag")),
                "same_week_rate": F.col("_rate") * F.col("_pop") / 10000}
-    rows = df.agg(*[F.struct(F.count(g).alias("n"), F.corr(g, F.col("y")).alias("corr"),
+    rows = df.agg(*[F.struct(F.count(g).alias("n"), pearson(g, "y").alias("corr"),
                              F.max(F.abs(g - F.col("y"))).alias("max_abs_error")).alias(name) for name, g in guesses.items()])
     return rows.select(F.inline(F.array(*[
         F.struct(F.lit(name).alias("leak"), *[F.col(f"{name}.{k}").alias(k) for k in ("n", "corr", "max_abs_error")])

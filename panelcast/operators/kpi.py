@@ -6,12 +6,12 @@ from collections.abc import Sequence
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..functions.labels import coefficient_label
-from ..functions.scalars import clip, number, ratio, settle
+from ..functions.scalars import clip, number, pearson, ratio, settle
 from .features import one_row_per_area
 
 
@@ -193,16 +193,10 @@ def grouped_median_age(bands: DataFrame) -> DataFrame:
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pairwise-complete Pearson correlations (``variable_1, variable_2, r``, both directions).
 
-    All pairs come from one pass; ``corr`` skips rows where either side is null.
+    All pairs come from one pass; rows where either side is null are skipped.
     """
     pairs = list(combinations(columns, 2))
 
-    def pearson(a: str, b: str) -> Column:
-        x, y = F.col(a).cast("double"), F.col(b).cast("double")
-        full = x.isNotNull() & y.isNotNull()
-        moves = (F.stddev_pop(F.when(full, x)) > 0) & (F.stddev_pop(F.when(full, y)) > 0)
-        return F.when(moves, F.corr(x, y))
-
     wide = df.agg(*[pearson(a, b).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
     cells = [F.struct(F.lit(p).alias("variable_1"), F.lit(q).alias("variable_2"), F.col(f"_{i}").alias("r"))
              for i, (a, b) in enumerate(pairs) for p, q in ((a, b), (b, a))]

@@ -14,14 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import normal_key, number
-from ..operators.clean import clean_cases, harmonise_cases, harmonise_linelist, infer_year, valid_domain
+from ..operators.clean import (clean_cases, harmonise_cases, harmonise_linelist, infer_year, normalise_week_labels,
+                               valid_domain, year_from_clock)
 from ..operators.features import one_row_per_area
 
 # Separators in order of precedence, accepted area headers.
 CASE_SEPARATORS = ("\t", ";", ",")
 LINELIST_SEPARATORS = (",", ";", "\t", "|")
 AREA_ALIASES = ("health_area", "aire_sante", "aire", "name_fr", "health_are", "nom", "name")
-REPLACEMENT = "�"  # what an undecodable byte becomes when read as UTF-8
 
 
 def first_lines(spark: SparkSession, path: str, n: int = 6) -> list[str]:
@@ -48,8 +48,12 @@ def sniff_linelist_separator(lines: Sequence[str]) -> str:
 
 
 def encoding_of(spark: SparkSession, path: str) -> str:
-    """UTF-8 unless some line cannot be decoded, then Latin-1."""
-    broken = spark.read.text(path).where(F.col("value").contains(REPLACEMENT)).limit(1).count()
+    """UTF-8 unless some line cannot be decoded, then Latin-1.
+
+    The check is one extra pass over the text; give the readers an ``encoding`` to
+    skip it on large extracts.
+    """
+    broken = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).count()
     return "ISO-8859-1" if broken else "UTF-8"
 
 
@@ -59,27 +63,26 @@ def read_text_table(spark: SparkSession, path: str, sep: str, encoding: str = "U
     return df.withColumnsRenamed({c: re.sub("^﻿", "", c) for c in df.columns})
 
 
-def read_cases(spark: SparkSession, path: str) -> DataFrame:
+def read_cases(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
     """Weekly case CSV to the typed contract (aliases resolved, weeks parsed, years inferred)."""
-    df = harmonise_cases(read_text_table(spark, path, sniff_case_separator(first_lines(spark, path, 1)), encoding_of(spark, path)))
+    df = harmonise_cases(read_text_table(spark, path, sniff_case_separator(first_lines(spark, path, 1)), encoding or encoding_of(spark, path)))
     absent = {"health_area", "week_", "cases"} - set(df.columns)
     if absent:
         raise ValueError(f"columns not found: {sorted(absent)}")
-    from ..operators.clean import normalise_week_labels, year_from_clock
     had_year = "year" in df.columns
     df = clean_cases(normalise_week_labels(df), keep_extras=False)
     return valid_domain(infer_year(df) if had_year else year_from_clock(df))
 
 
-def read_linelist(spark: SparkSession, path: str) -> DataFrame:
+def read_linelist(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
     """Case-list CSV with harmonised headers; values stay text until ``complete_linelist``."""
     sep = sniff_linelist_separator(first_lines(spark, path))
-    return harmonise_linelist(read_text_table(spark, path, sep, encoding_of(spark, path)))
+    return harmonise_linelist(read_text_table(spark, path, sep, encoding or encoding_of(spark, path)))
 
 
-def read_static(spark: SparkSession, path: str) -> DataFrame:
+def read_static(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
     """Static covariates: one row per area, numeric columns where every value is a number."""
-    df = read_text_table(spark, path, sniff_linelist_separator(first_lines(spark, path)), encoding_of(spark, path))
+    df = read_text_table(spark, path, sniff_linelist_separator(first_lines(spark, path)), encoding or encoding_of(spark, path))
     area = next((c for a in AREA_ALIASES for c in df.columns if c.strip().lower() == a), None)
     if area is None:
         raise ValueError("no area column")
@@ -88,11 +91,11 @@ def read_static(spark: SparkSession, path: str) -> DataFrame:
     return one_row_per_area(typed)
 
 
-def read_vaccination(spark: SparkSession, path: str) -> DataFrame:
+def read_vaccination(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
     """``health_area, Taux_Vaccination``; decimal commas accepted, one row per area."""
-    df = read_text_table(spark, path, sniff_linelist_separator(first_lines(spark, path)), encoding_of(spark, path))
+    df = read_text_table(spark, path, sniff_linelist_separator(first_lines(spark, path)), encoding or encoding_of(spark, path))
     if len(df.columns) == 1:
-        df = read_text_table(spark, path, ";", encoding_of(spark, path))
+        df = read_text_table(spark, path, ";", encoding or encoding_of(spark, path))
     df = harmonise_linelist(df)
     area = "health_area" if "health_area" in df.columns else "Aire_Sante"
     if area not in df.columns or "Taux_Vaccination" not in df.columns:

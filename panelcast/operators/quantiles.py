@@ -45,12 +45,15 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     Two or three small actions whatever the number of columns; what reaches the
     driver is two values per (column, prob).  When ``n_rows`` is known to be at most
     ``SMALL``, the built-in ``percentile`` answers in one action instead.
+    NaN must have been replaced by null.
     """
     columns, probs = list(dict.fromkeys(columns)), list(probs)
     if n_rows is not None and n_rows <= SMALL:
-        levels = F.array(*[F.lit(float(p)) for p in probs])
-        row = df.agg(*[F.percentile(F.col(c).cast("double"), levels).alias(f"_{i}") for i, c in enumerate(columns)]).first()
-        return {c: list(row[f"_{i}"]) if row[f"_{i}"] is not None else [None] * len(probs) for i, c in enumerate(columns)}
+        melted = df.select(F.posexplode(F.array(*[F.col(c).cast("double") for c in columns])).alias("slot", "value"))
+        rows = (melted.where(F.col("value").isNotNull()).groupBy("slot")
+                .agg(F.percentile("value", F.array(*[F.lit(float(p)) for p in probs])).alias("q")).collect())
+        found = {r["slot"]: list(r["q"]) for r in rows}
+        return {c: found.get(i, [None] * len(probs)) for i, c in enumerate(columns)}
     todo = _brackets(df, columns, probs)
     answers: dict[tuple[str, float], float] = {}
     for key, (n, low, high, _, _) in list(todo.items()):

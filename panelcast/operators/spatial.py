@@ -164,7 +164,7 @@ def k_nearest(points: DataFrame, targets: DataFrame, k: int = 1, exclude_self: b
     while depth < MAX_DEPTH and n > LEAF * 4 ** depth:
         depth += 1
     # clustered targets leave most cells empty: refine until the fullest cell is small
-    while depth < MAX_DEPTH:
+    while depth < MAX_DEPTH and n > LEAF * 4:
         fullest = (mid.groupBy(*_cell(left, low, side, depth)).count().agg(F.max("count")).first()[0] or 0)
         if fullest <= LEAF * 4:
             break

@@ -14,7 +14,6 @@ from functools import reduce
 from statistics import NormalDist
 
 from pyspark.ml import Model
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,18 +37,23 @@ MIN_RESIDUALS = 20
 def median_imputer(train: DataFrame, columns: Sequence[str], n_rows: int | None = None) -> dict[str, float]:
     """Exact training median per column; a column without values gives 0."""
     cleaned = train.select(*[finite(c).alias(c) for c in columns])
-    return {c: q[0] if q[0] is not None else 0.0 for c, q in exact_quantiles(cleaned, columns, [0.5], n_rows).items()}
+    found = exact_quantiles(cleaned, columns, [0.5], n_rows)
+    return {c: found[c][0] if found[c][0] is not None else 0.0 for c in columns}
 
 
-def impute(df: DataFrame, medians: dict[str, float]) -> DataFrame:
-    return df.withColumns({c: F.coalesce(finite(c), F.lit(float(m))) for c, m in medians.items()})
+def _vector(values: Column, medians: Sequence[float]) -> Column:
+    """``features`` vector of an array of values; missing and not finite ones are imputed.
+
+    One higher-order expression whatever the number of features, so the generated
+    code stays small for wide matrices.
+    """
+    fill = F.array(*[F.lit(float(m)) for m in medians])
+    return array_to_vector(F.zip_with(values, fill, lambda v, m: F.coalesce(finite(v), m)))
 
 
 def assemble(df: DataFrame, medians: dict[str, float]) -> DataFrame:
-    """Imputed ``features`` vector in the order of ``medians``; other columns are kept as they are."""
-    filled = df.withColumns({f"_f_{i}": F.coalesce(finite(c), F.lit(float(m))) for i, (c, m) in enumerate(medians.items())})
-    names = [f"_f_{i}" for i in range(len(medians))]
-    return VectorAssembler(inputCols=names, outputCol="features").transform(filled).drop(*names)
+    """Add the imputed ``features`` vector in the order of ``medians``."""
+    return df.withColumn("features", _vector(F.array(*[F.col(c).cast("double") for c in medians]), list(medians.values())))
 
 
 @dataclass
@@ -76,8 +80,7 @@ class Fitted:
         """Predict from one array column that holds ``columns`` in order (null = missing)."""
         places = F.array(*[F.lit(columns.index(c) + 1) for c in self.medians])
         chosen = F.transform(places, lambda i: F.element_at(F.col(values), i))
-        filled = F.zip_with(chosen, F.array(*[F.lit(float(m)) for m in self.medians.values()]), lambda v, m: F.coalesce(v, m))
-        return self._score(df.withColumn("features", array_to_vector(filled)), name)
+        return self._score(df.withColumn("features", _vector(chosen, list(self.medians.values()))), name)
 
     def _score(self, df: DataFrame, name: str) -> DataFrame:
         out = self.model.transform(df).drop("features")
@@ -205,8 +208,8 @@ def exogenous_rows(panel: DataFrame, origins: Sequence[int], horizons: int, buil
     if "coef_population" in wants and "Pop_Totale" in df.columns:
         static = ft.add_static_features(panel.select("health_area", "year", "week_", "week_index", "cases"), builder.static_df)
         edge = ft.with_population_coefficient(static, builder.parity).where(F.col("week_index").isin([int(o) for o in origins]))
-        wide = edge.select(*[F.when(F.col("week_index") == int(o), F.col("coef_population")).alias(f"o{o}") for o in origins])
-        medians = exact_quantiles(wide, [f"o{o}" for o in origins], [0.5])
+        wide = materialise(edge.select(*[F.when(F.col("week_index") == int(o), F.col("coef_population")).alias(f"o{o}") for o in origins]))
+        medians = exact_quantiles(wide, [f"o{o}" for o in origins], [0.5], wide.count())
         coef = F.lit(None).cast("double")
         for o in origins:
             coef = F.when(F.col("origin") == int(o), F.lit(medians[f"o{o}"][0])).otherwise(coef)
@@ -214,7 +217,8 @@ def exogenous_rows(panel: DataFrame, origins: Sequence[int], horizons: int, buil
     exposure = F.lit(0.0)
     if "Pop_Totale" in df.columns:
         exposure = F.log(F.greatest(F.col("Pop_Totale").cast("double"), F.lit(1.0)))
-    return df.withColumn("log_exposure", exposure)
+    needed = {*columns, "origin", "health_area", "horizon", "Pop_Totale", "Pop_Enfants_0_14", "Densite_Pop"}
+    return df.select(*[c for c in df.columns if c in needed and c != "log_exposure"], exposure.alias("log_exposure"))
 
 
 def _start_state(panel: DataFrame, origins: Sequence[int]) -> DataFrame:
@@ -276,7 +280,8 @@ def forecast_origins(fits: dict[int, Fitted], panel: DataFrame, horizons: int, b
             lag = edges.join(last, "neighbor").groupBy(*keys).agg(mean.alias("spatial_lag_1"))
             step = step.drop("spatial_lag_1").join(lag, keys, "left")
         have = set(step.columns)
-        values = F.array(*[finite(c) if c in have else F.lit(None).cast("double") for c in columns])
+        values = F.array(*[F.col(c).cast("double") if c in have else F.lit(None).cast("double") for c in columns])
+        values = F.transform(values, finite)
         scored = score_origins(fits, step.select(*keys, "hist", "preds", "log_exposure", values.alias("values")), columns)
         longer, new = F.concat("hist", F.array("predicted_cases")), F.array("predicted_cases")
         kept = F.least(F.size(longer), F.lit(HISTORY))

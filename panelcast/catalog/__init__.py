@@ -31,5 +31,5 @@ def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 
 def everything() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Import every query module and return the registry."""
-    from . import forecast_queries, indicator_queries, panel_queries, spatial_queries  # noqa: F401
+    from . import extra_queries, forecast_queries, indicator_queries, panel_queries, spatial_queries  # noqa: F401
     return QUERIES

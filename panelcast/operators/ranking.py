@@ -1,10 +1,11 @@
 """Positions over a whole table without pulling it through one task.
 
 A plain ``row_number().over(Window.orderBy(...))`` moves every row to a single
-partition.  Here the key range is cut at values taken from a hash-ordered handful
-of rows; the cut points are literals, so every pass sees the same buckets.  Rows
-are numbered inside each bucket and shifted by the bucket offsets (one row per
-bucket).  The cut points influence only the balance, never the result.
+partition.  Here the rows are range-partitioned on the full key (so a hot leading
+value is split by the columns after it) and written with their partition number.
+Rows are then numbered inside each partition and shifted by the partition offsets,
+one row per partition.  Writing them first fixes the partition of every row: Spark
+samples the ranges anew whenever it evaluates a range partitioning.
 """
 
 from __future__ import annotations
@@ -14,13 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _cut_points(df: DataFrame, key: str, n_buckets: int) -> list:
-    """``n_buckets - 1`` well spread key values, chosen by hash (top-k, not a sort)."""
-    picks = (df.select(key).orderBy(F.xxhash64(key), key).limit(n_buckets * 8).collect())
-    values = sorted({r[0] for r in picks if r[0] is not None})
-    step = max(1, len(values) // n_buckets)
-    return values[step::step][:n_buckets - 1]
+from ..session import materialise
 
 
 def global_rank(df: DataFrame, keys: Sequence[str], name: str, n_buckets: int | None = None,
@@ -32,21 +27,17 @@ def global_rank(df: DataFrame, keys: Sequence[str], name: str, n_buckets: int |
     plus one: the first position of a block of ``weight`` rows.
     """
     n_buckets = n_buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = _cut_points(df, keys[0], n_buckets)
-    lead = F.col(keys[0])
-    bucket = sum(((lead >= F.lit(c)).cast("int") for c in cuts), F.lit(0)) if cuts else F.lit(0)
-    bucket = F.when(lead.isNull(), F.lit(-1)).otherwise(bucket)
+    placed = materialise(df.repartitionByRange(n_buckets, *keys).withColumn("_bucket", F.spark_partition_id()))
     size = F.col(weight) if weight else F.lit(1)
-    marked = df.withColumn("_bucket", bucket)
     before = F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = (marked.groupBy("_bucket").agg(F.sum(size).cast("bigint").alias("_n"))
+    offsets = (placed.groupBy("_bucket").agg(F.sum(size).cast("bigint").alias("_n"))
                .select("_bucket", F.coalesce(before, F.lit(0)).alias("_offset")))
     inside = Window.partitionBy("_bucket").orderBy(*keys)
     if weight:
         local = F.coalesce(F.sum(weight).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1
     else:
         local = F.row_number().over(inside)
-    return (marked.join(offsets, "_bucket")
+    return (placed.join(offsets, "_bucket")
             .withColumn(name, (F.col("_offset") + local).cast("bigint")).drop("_bucket", "_offset"))
 
 

@@ -172,14 +172,10 @@ def density_table(spark, sf):
     return rounded(kpi.density_table(fx.sites(spark, sf)).select("health_area", "pop_totale", "superficie_km2", "densite_pop"))
 
 
-@register(sql("""SELECT lower(n_name) AS health_area, CAST(1996 AS INT) AS year, count(*) AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey
-    WHERE c_custkey % 4 = 2 GROUP BY 1"""))
+@register(sql("SELECT health_area, year, CAST(sum(cases) AS BIGINT) AS population FROM cases_weekly WHERE year = 1996 GROUP BY 1, 2", "cases_weekly"))
 def population_vintage(spark, sf):
-    """One vintage out of a multi-year table counted from the customers."""
-    customer = fx.table(spark, sf, "customer").withColumn("year", (F.col("c_custkey") % 4 + 1994).cast("int"))
-    nation = fx.table(spark, sf, "nation").select("n_nationkey", F.lower("n_name").alias("health_area"))
-    counts = customer.groupBy("c_nationkey", "year").agg(F.count(F.lit(1)).alias("customers"))
-    table = counts.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("health_area", "year", "customers")
+    """One vintage out of a multi-year table."""
+    table = fx.cases_weekly(spark, sf).groupBy("health_area", "year").agg(F.sum("cases").alias("population"))
     return kpi.select_vintage(table, 1996)[0]
 
 

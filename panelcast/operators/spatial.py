@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.scalars import normal_key, urban_class
+from ..session import materialise
 
 # ---------------------------------------------------------------------------
 # layer geometry
@@ -149,8 +150,8 @@ def k_nearest(points: DataFrame, targets: DataFrame, k: int = 1, exclude_self: b
     point has both ends equal).  Result: ``pid, tid, distance, rank``.
 
     Targets are filed by midpoint into a pyramid of grid cells, each with the true
-    bounding box and number of its targets.  Points descend the pyramid level by
-    level.  At each level the farthest corner of the boxes that together hold ``k``
+    bounding box and number of its targets.  Points descend the pyramid two levels
+    per join.  At each stop the farthest corner of the boxes that together hold ``k``
     targets bounds the k-th distance, and boxes that start beyond it are dropped.
     Only the surviving finest cells are joined to their targets.  Ties go to the
     smaller ``tid``.
@@ -171,7 +172,7 @@ def k_nearest(points: DataFrame, targets: DataFrame, k: int = 1, exclude_self: b
         depth += 2
     depth = min(depth, MAX_DEPTH)
     ix, iy = _cell(left, low, side, depth)
-    filed = mid.withColumns({"_ix": ix, "_iy": iy})
+    filed = materialise(mid.withColumns({"_ix": ix, "_iy": iy}))  # read once per stop of the descent
     boxes = [F.min(F.least("x1", "x2")).alias("x0"), F.min(F.least("y1", "y2")).alias("y0"),
              F.max(F.greatest("x1", "x2")).alias("x1"), F.max(F.greatest("y1", "y2")).alias("y1"),
              F.count(F.lit(1)).alias("held")]
@@ -181,11 +182,12 @@ def k_nearest(points: DataFrame, targets: DataFrame, k: int = 1, exclude_self: b
     spot = points.select("pid", F.col("px").cast("double").alias("px"), F.col("py").cast("double").alias("py"))
     alive = spot.withColumns({"_ix": F.lit(0).cast("bigint"), "_iy": F.lit(0).cast("bigint")})
     by_far = Window.partitionBy("pid").orderBy("_far").rowsBetween(Window.unboundedPreceding, 0)
-    for level in range(1, depth + 1):
-        shrink = 2 ** (depth - level)
+    levels = sorted({*range(2, depth + 1, 2), depth})  # two levels per join: 16 children at a time
+    for above, level in zip([0, *levels], levels):
+        shrink, fan = 2 ** (depth - level), 2 ** (level - above)
         cells = finest.select(F.floor(F.col("_ix") / shrink).alias("_ix"), F.floor(F.col("_iy") / shrink).alias("_iy"),
                               "x0", "y0", "x1", "y1", "held").groupBy("_ix", "_iy").agg(*again)
-        cells = cells.withColumns({"_px": F.floor(F.col("_ix") / 2), "_py": F.floor(F.col("_iy") / 2)})
+        cells = cells.withColumns({"_px": F.floor(F.col("_ix") / fan), "_py": F.floor(F.col("_iy") / fan)})
         if level <= 6:
             cells = F.broadcast(cells)  # at most 4**6 = 4096 rows, whatever the number of targets
         parents = alive.select("pid", "px", "py", F.col("_ix").alias("_px"), F.col("_iy").alias("_py"))

@@ -52,8 +52,11 @@ def materialise(df: DataFrame) -> DataFrame:
     Used where one result feeds several branches of a plan (so the raw input is
     scanned once) and between the steps of a recursive forecast.  The table survives
     lost executors, is read with column pruning, and tells the optimizer its size.
+    It is removed when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return spark.read.schema(df.schema).parquet(path)

@@ -135,7 +135,7 @@ def age_distribution(cases: DataFrame) -> DataFrame:
 
 def kpi_measles(cases: DataFrame, layer: DataFrame) -> DataFrame:
     """Cases, % unvaccinated (and its gap to 45 %), median age, lethality, affected areas."""
-    median = exact_quantile(cases, "age_mois", 0.5)
+    median = exact_quantile(cases, "age_mois", 0.5, discrete=True)
     n_areas = layer.select("health_area").distinct().count()
     affected = F.countDistinct("health_area")
     lethality = F.avg(F.when(F.col("issue") == DIED, 100.0).otherwise(0.0))

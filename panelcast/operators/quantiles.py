@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 ACCURACY = 10_000
 SMALL = 100_000
 
@@ -93,5 +95,15 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     return {c: [answers.get((c, p)) for p in probs] for c in columns}
 
 
-def exact_quantile(df: DataFrame, column: str, prob: float) -> float | None:
+def exact_quantile(df: DataFrame, column: str, prob: float, discrete: bool = False) -> float | None:
+    """One quantile of one column.
+
+    ``discrete=True`` suits columns with few distinct values (ages, counts): the rows
+    are scanned once and reduced to value counts before anything else happens.
+    """
+    if discrete:
+        value = F.col(column).cast("double").alias("value")
+        counts = materialise(df.where(F.col(column).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("copies")))
+        if counts.count() <= SMALL:
+            return counts.agg(F.percentile("value", F.lit(float(prob)), F.col("copies"))).first()[0]
     return exact_quantiles(df, [column], [prob])[column][0]

@@ -114,7 +114,7 @@ def fit_matrix(matrix: DataFrame, columns: Sequence[str], model_factory: Callabl
     fitted = Fitted(model, type(model).__name__, list(columns), medians, objective, log_target, n, exposure=exposure)
     if diagnostics:
         error = F.col("predicted_cases") - F.col("cases") if parity_residuals else F.col("cases") - F.col("predicted_cases")
-        scored = fitted.predict(matrix)
+        scored = materialise(fitted.predict(matrix).select("cases", "predicted_cases"))
         fitted.residuals = scored.select(error.alias("residual"))
         row = scored.agg(*metric_columns("cases", "predicted_cases"), F.stddev_pop(error).alias("_std")).first().asDict()
         fitted.residual_std = row.pop("_std") or 0.0
@@ -319,7 +319,7 @@ def predict_quantiles(fitted: Fitted, forecast: DataFrame, levels: Sequence[floa
     steps = F.lit(1.0) + F.lit(horizon_penalty) * (F.col("horizon") - 1)
     widths: dict[float, Column] = {}
     if n >= MIN_RESIDUALS:
-        values = exact_quantiles(residuals, ["residual"], list(levels))["residual"]
+        values = exact_quantiles(residuals, ["residual"], list(levels), n)["residual"]
         widths = {level: F.lit(v) * steps for level, v in zip(levels, values)}
     else:
         sigma = (residuals.agg(F.stddev_pop("residual")).first()[0] or 0.0) if n > 1 else 1.0

@@ -37,6 +37,8 @@ def test_exact_quantiles(spark, shape):
     got = quantiles.exact_quantiles(df, ["v", "e"], probs)
     assert np.allclose(got["v"], np.nanquantile(values, probs)) and got["e"] == [None] * 6
     assert quantiles.exact_quantiles(df, ["v"], probs, n_rows=len(values))["v"] == pytest.approx(got["v"])
+    assert quantiles.exact_quantile(df, "v", 0.9, discrete=True) == pytest.approx(got["v"][4])
+    assert quantiles.exact_quantile(df, "e", 0.9, discrete=True) is None
 
 
 def test_neighbours_against_brute_force(spark, monkeypatch):

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import settle, skill_score
-from .metrics import METRICS, metric_columns, metrics_summary
+from .metrics import metric_columns, metrics_summary
 from .panel import area_window
 from .ranking import global_rank
 

@@ -7,9 +7,13 @@ meets first, which makes two sets agree in a bin with the probability of their
 likeness.  Bands of bins are bucket keys.
 
 Sets that are equal are one node from the start, however many documents share them.
-In a bucket only edges to its smallest member are proposed (rows, not pairs); members
-that turn out to be unlike it are compared with the smallest among themselves, and so
-on until none is left.  Every proposed edge is confirmed on full sets.
+In a bucket only edges to its smallest member are proposed (rows, not pairs), which
+connects a group of copies at once.  What then lies in another class than its centre
+is compared with the whole bucket if the bucket is small, and by further stars among
+such members if it is large, so the number of pairs stays in proportion to the rows.
+Every proposed edge is confirmed on full sets.  A pair shares about ten buckets at a
+likeness of 0.8 and is lost only if no star or small bucket of any of them joins its
+ends, directly or through others.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ BANDS, ROWS = 32, 5
 BINS = BANDS * ROWS
 #: With 5 rows and 32 bands a pair of likeness 0.8 shares no bucket with probability 3e-6.
 PROBES = 4096
+#: Buckets of at most so many members are compared in full across classes; larger ones by so many further stars.
+SMALL, STARS = 32, 3
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -138,6 +144,12 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int, share: int
     return joined.mapInArrow(_confirmed(k, percent), "a bigint, b bigint, ok boolean")
 
 
+def _alike(met: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a < b) of centres and members whose sizes allow a link."""
+    near = met.where(f"100 * least(n, m) >= {percent} * greatest(n, m)")
+    return near.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """(key, n_shingles, component_id, kept): classes of documents that links of likeness >= percent/100 connect.
 
@@ -154,27 +166,35 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     copies = live.join(reps.select("d1", "d2", F.col("id").alias("rep")), ["d1", "d2"]).where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     every = reps.select("id", "n", F.explode("keys").alias("bucket"))
     shared = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("bucket")
-    open_ = materialise(every.join(shared, "bucket"))
-    needed = open_.select("id").distinct()
-    texts = materialise(rows.join(needed, "id"))
-    links, tried = None, None
-    while not open_.isEmpty():
-        # the smallest open member of a bucket is its centre; a set that no centre of the bucket resembles stays open
-        centre = open_.groupBy("bucket").agg(F.min("id").alias("a"))
-        met = open_.join(centre, "bucket").join(open_.select(F.col("id").alias("a"), F.col("n").alias("m")).distinct(), "a").where("id != a")
-        met = materialise(met.select("bucket", "a", F.col("id").alias("b"), "n", "m"))
-        pairs = met.where(f"100 * least(n, m) >= {percent} * greatest(n, m)").select("a", "b").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        result = materialise(confirm(pairs, texts, k, percent))
-        tried = result if tried is None else materialise(tried.unionByName(result))
-        good = tried.where("ok").select("a", "b")
-        links = good
-        rest = met.join(good, ["a", "b"], "left_anti").select("bucket", F.col("b").alias("id"), "n")
-        several = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("bucket")
-        open_ = materialise(rest.join(several, "bucket"))
-    edges = copies if links is None else copies.unionByName(links)
-    found = connected_components(edges)
+    shelved = materialise(every.join(shared, "bucket"))
+    texts = materialise(rows.join(shelved.select("id").distinct(), "id"))
+    # first every bucket's smallest member is the centre of a star over the others
+    centre = shelved.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("c")).select("bucket", F.col("c.id").alias("a"), F.col("c.n").alias("m"))
+    met = shelved.join(centre, "bucket").where("id != a")
+    tried = materialise(confirm(_alike(met, percent), texts, k, percent))
+    # what one star has connected need not be compared again; members outside their centre's class become centres themselves
+    classes = connected_components(tried.where("ok")).select(F.col("id").alias("member"), "component")
+    shelved = materialise(shelved.join(classes, F.col("id") == F.col("member"), "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("c")))
+    first = shelved.groupBy("bucket").agg(F.min(F.struct("id", "c")).alias("f"), F.count(F.lit(1)).alias("many")).select("bucket", "many", F.col("f.c").alias("fc"))
+    rest = materialise(shelved.join(first, "bucket").where("c != fc").drop("fc"))
+    # small buckets: all their members against those of other classes
+    centre = rest.where(F.col("many") <= SMALL).select("bucket", F.col("id").alias("a"), F.col("n").alias("m"), F.col("c").alias("d"))
+    pairs = _alike(shelved.join(centre, "bucket").where("c != d"), percent).join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    tried = materialise(tried.unionByName(confirm(pairs, texts, k, percent)))
+    # large ones: stars over the members that are still without a like centre
+    rest = rest.where(F.col("many") > SMALL).drop("many")
+    for _ in range(STARS):
+        if rest.isEmpty():
+            break
+        # another one in every bucket, so that two sets meet more centres the more buckets they share
+        centre = rest.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("id", "bucket"), "id", "n", "c")).alias("f")).select("bucket", F.col("f.id").alias("a"), F.col("f.n").alias("m"), F.col("f.c").alias("d"))
+        met = materialise(rest.join(centre, "bucket").where("id != a"))
+        pairs = _alike(met.where("c != d"), percent).join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        tried = materialise(tried.unionByName(confirm(pairs, texts, k, percent)))
+        like = tried.where("ok").select("a", F.col("b").alias("id"))
+        rest = materialise(met.where("c != d").join(like, ["a", "id"], "left_anti").select("bucket", "id", "n", "c"))
+    links = tried.where("ok").select("a", "b")
+    found = connected_components(copies.unionByName(links))
     out = signed.join(found.withColumnRenamed("id", "member"), F.col("id") == F.col("member"), "left")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"),
                       F.coalesce(F.coalesce("component", "id") == F.col("id"), F.lit(True)).alias("kept"))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import lattice
 from .lattice import BLANK, Vocabulary
-from .token_counts import PER_TRIE
+from .token_counts import PER_TRIE, SLICE
 
 
 def arcs_into(text: str, stop: int, vocabulary: Vocabulary):
@@ -208,8 +208,8 @@ def encode(docs: DataFrame, model: str, n: int = 4, key: str = "doc_id", text: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = lattice.load(model)
         for batch in batches:
-            for i in range(0, len(batch), 2000):  # the n best of a whole batch would be large
-                part = batch.slice(i, 2000)
+            for i in range(0, len(batch), SLICE):
+                part = batch.slice(i, SLICE)
                 found = encode_texts(part.column("text").to_pylist(), n, vocabulary)
                 ids = pa.array([x[0] for x in found], pa.list_(pa.int32()))
                 scores = pa.array([[s for s, _ in x[1]] for x in found], pa.list_(pa.float64()))
@@ -240,7 +240,7 @@ def digests(docs: DataFrame, model: str, n: int = 4, key: str = "doc_id", text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = lattice.load(model)
         crc = lambda x: zlib.crc32(np.asarray(x, "<u4").tobytes())
-        for batch in batches:
+        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, len(b), SLICE)):
             texts = batch.column("text").to_pylist()
             found = encode_texts(texts, n, vocabulary)
             same = [decode_ids(ids, vocabulary) == (t or "") for (ids, _), t in zip(found, texts, strict=True)]

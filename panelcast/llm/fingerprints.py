@@ -107,7 +107,7 @@ def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
     deal = Bucketizer(splits=splits, inputCol="_key", outputCol="_bucket", handleInvalid="keep")
 
     def dealt(df):
-        return deal.transform(df.withColumn("_key", F.col("key").cast("double"))).withColumn("bucket", F.col("_bucket").cast("int")).drop("_key", "_bucket")
+        return deal.transform(df.withColumn("_key", F.col("key").cast("double"))).withColumn("bucket", F.coalesce(F.col("_bucket").cast("int"), F.lit(len(splits) - 1))).drop("_key", "_bucket")
 
     first = {r.bucket: r.key for r in dealt(docs.select(F.col(key).alias("key"))).groupBy("bucket").agg(F.min("key").alias("key")).collect()}
     used, kind = sorted(first), dict(rows.dtypes)["key"]

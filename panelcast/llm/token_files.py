@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,7 +25,8 @@ from .common import partitions
 
 #: Ends every document.
 END = 1
-REMEMBERED = 300_000
+#: Words that a worker remembers.
+REMEMBERED = 700_000
 ORC = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "10000",
        "orc.stripe.size": str(64 << 20), "orc.dictionary.key.threshold": "0", "compression": "zstd"}
 
@@ -46,17 +48,30 @@ class Encoder:
             text = text.lower()
         return text.replace("\n", " ").split(" ")
 
+    @staticmethod
+    def stem(word: str) -> str:
+        """The word without a final full stop or comma after a letter, in lower case if it is ASCII."""
+        if len(word) > 1 and word[-1] in ".," and word[-2].isalpha():
+            word = word[:-1]
+        return word.lower() if word.isascii() and "<|" not in word else word
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text, without the end id."""
         cut = [self.cut(t) for t in texts]
-        new = list(set().union(*cut).difference(self.known))
+        new = set().union(*cut).difference(self.known)
         if len(self.known) + len(new) > REMEMBERED:
             self.known = {"": b""}
-            new = list(set().union(*cut).difference(self.known))
-        for i in range(0, len(new), 20_000):
-            part = new[i:i + 20_000]
+            new = set().union(*cut)
+        # a full stop or comma after a letter is a token of its own, so words share what is before it
+        stems = {w: self.stem(w) for w in new}
+        missing = list(set(stems.values()).union(".,").difference(self.known))
+        for i in range(0, len(missing), 20_000):
+            part = missing[i:i + 20_000]
             for word, found in zip(part, self.batch(part, add_special_tokens=False), strict=True):
-                self.known[word] = np.asarray(found.ids, "<u4").tobytes()
+                self.known[word] = array("I", found.ids).tobytes()
+        for word, stem in stems.items():
+            if word not in self.known:
+                self.known[word] = self.known[stem] + (self.known[word[-1]] if len(stem) < len(word) else b"")
         get = self.known.__getitem__
         return [b"".join(map(get, words)) for words in cut]
 

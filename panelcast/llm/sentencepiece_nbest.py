@@ -48,18 +48,24 @@ def viterbi(text: str, vocabulary: Vocabulary) -> list[float]:
 
 
 def n_best(text: str, n: int, vocabulary: Vocabulary, ahead: list[float] | None = None) -> list[tuple[float, tuple[int, ...]]]:
-    """The n best (score, ids) of a text, best first; ties in the order of their arcs (shorter last pieces first)."""
+    """The n best (score, ids) of a text, best first; of equal scores the path followed last comes first.
+
+    So a search among many equal paths goes down one of them instead of widening.
+    """
     ahead = viterbi(text, vocabulary) if ahead is None else ahead
-    heap, found, turn = [(-ahead[-1], 0, len(text), 0.0, ())], [], 0
+    heap, found, turn = [(-ahead[-1], 0, len(text), 0.0, None)], [], 0
     while heap and len(found) < n:
         total, _, at, behind, path = heapq.heappop(heap)
         if at == 0:
-            ids = [i for piece, start, stop in path for i in vocabulary.spelled(piece, text[start:stop])]
+            ids: list[int] = []
+            while path is not None:  # the head of the chain is the first arc of the text
+                piece, start, stop, path = path
+                ids += vocabulary.spelled(piece, text[start:stop])
             found.append((-total, tuple(ids)))
             continue
         for start, piece, score in arcs_into(text, at, vocabulary):
-            turn += 1
-            heapq.heappush(heap, (-(behind + score + ahead[start]), turn, start, behind + score, ((piece, start, at), *path)))
+            turn -= 1
+            heapq.heappush(heap, (-(behind + score + ahead[start]), turn, start, behind + score, (piece, start, at, path)))
     return found
 
 

@@ -103,7 +103,7 @@ def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     n = 4 * partitions(docs.sparkSession)
     cuts = sorted(set(docs.select(F.col(key).cast("double").alias("key")).na.drop().approxQuantile("key", [i / n for i in range(1, n)], 0.25 / n)))
-    splits = [-float("inf"), *cuts, float("inf")]
+    splits = [-float("inf"), *(cuts or [0.0]), float("inf")]
     deal = Bucketizer(splits=splits, inputCol="_key", outputCol="_bucket", handleInvalid="keep")
 
     def dealt(df):

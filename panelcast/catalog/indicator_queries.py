@@ -481,7 +481,7 @@ def name_match_strict(spark, sf):
     return rounded(matching.build_auto_health_area_mapping(fx.layer(spark, sf), _names(spark, sf)))
 
 
-@register(sql("SELECT substr(sha1(concat(count(*), '|', array_to_string(list_sort(list(DISTINCT health_area)), '|'))), 1, 12) AS fingerprint FROM sites", "sites"))
+@register(sql("SELECT substr(sha1(concat(CAST(sum(n) AS BIGINT), '|', array_to_string(list_sort(list(d)), '|'))), 1, 12) AS fingerprint FROM (SELECT count(*) AS n, sha1(array_to_string(list_sort(list(health_area)), '|')) AS d FROM (SELECT DISTINCT health_area FROM sites) GROUP BY substr(sha1(health_area), 1, 3))", "sites"))
 def layer_fingerprint(spark, sf):
     return matching.layer_fingerprint(fx.sites(spark, sf))
 

@@ -166,18 +166,14 @@ def apply_mapping(cases: DataFrame, mapping: DataFrame, key: str = "health_area"
     return cases.join(pairs, key, "left").withColumn(key, F.coalesce("_to", key)).drop("_to")
 
 
-def layer_fingerprint(layer: DataFrame, key: str = "health_area", limit: int = 1_000_000) -> DataFrame:
+def layer_fingerprint(layer: DataFrame, key: str = "health_area") -> DataFrame:
     """12 hex digits that identify the set of areas of a layer (cache key).
 
-    Up to ``limit`` distinct names the digest is taken over the sorted name list.
-    Beyond, the names are digested in hash buckets first, so no row ever holds the
-    whole list (the key differs, which a cache key may).
+    Names are dealt to 4096 buckets by the head of their hash, each bucket's sorted
+    names are digested, and the number of names and the sorted digests make the key.
     """
     names = layer.select(F.lower(F.trim(F.col(key).cast("string"))).alias("_name")).where("_name is not null").distinct()
-    n = names.count()
-    if n > limit:
-        bucket = F.pmod(F.xxhash64("_name"), F.lit(-(-n // 10_000)))
-        names = names.groupBy(bucket.alias("_b")).agg(
-            F.sha1(F.concat_ws("|", F.array_sort(F.collect_list("_name")))).alias("_name"))
-    text = F.concat_ws("|", F.lit(str(n)), F.concat_ws("|", F.array_sort(F.collect_list("_name"))))
-    return names.agg(F.substring(F.sha1(text), 1, 12).alias("fingerprint"))
+    digests = names.groupBy(F.substring(F.sha1("_name"), 1, 3).alias("_b")).agg(
+        F.count(F.lit(1)).alias("_n"), F.sha1(F.concat_ws("|", F.array_sort(F.collect_list("_name")))).alias("_d"))
+    text = F.concat_ws("|", F.coalesce(F.sum("_n"), F.lit(0)).cast("string"), F.concat_ws("|", F.array_sort(F.collect_list("_d"))))
+    return digests.agg(F.substring(F.sha1(text), 1, 12).alias("fingerprint"))

@@ -221,11 +221,16 @@ def exogenous_rows(panel: DataFrame, origins: Sequence[int], horizons: int, buil
     return df.select(*[c for c in df.columns if c in needed and c != "log_exposure"], exposure.alias("log_exposure"))
 
 
-def _start_state(panel: DataFrame, origins: Sequence[int]) -> DataFrame:
-    """(origin, health_area, hist, preds): the last 80 values of each area before each origin."""
-    tagged = panel.select("health_area", "week_index", F.col("cases").cast("double").alias("cases"), F.explode(
-        F.array(*[F.lit(int(o)) for o in origins])).alias("origin"))
-    recent = tagged.where((F.col("week_index") <= F.col("origin")) & (F.col("week_index") > F.col("origin") - HISTORY))
+def history_depth(builder: ft.DesignBuilder) -> int:
+    """Values of an area that the features of its next week need."""
+    return max(HISTORY, *builder.lags, *builder.windows)
+
+
+def _start_state(panel: DataFrame, origins: Sequence[int], depth: int) -> DataFrame:
+    """(origin, health_area, hist, preds): the last ``depth`` values of each area before each origin."""
+    week = F.col("week_index")
+    near = F.filter(F.array(*[F.lit(int(o)) for o in origins]), lambda o: (week <= o) & (week > o - depth))
+    recent = panel.select("health_area", "week_index", F.col("cases").cast("double").alias("cases"), F.explode(near).alias("origin"))
     ordered = F.array_sort(F.collect_list(F.struct("week_index", "cases")))
     return recent.groupBy("origin", "health_area").agg(F.transform(ordered, lambda s: s["cases"]).alias("hist")).withColumn(
         "preds", F.expr("cast(array() as array<double>)"))
@@ -265,7 +270,8 @@ def forecast_origins(fits: dict[int, Fitted], panel: DataFrame, horizons: int, b
     origins = sorted(fits)
     columns = sorted({c for f in fits.values() for c in f.feature_cols})
     exo = materialise(exogenous_rows(panel, origins, horizons, builder, columns))
-    state = materialise(_start_state(panel, origins))
+    depth = history_depth(builder)
+    state = materialise(_start_state(panel, origins, depth))
     edges = None
     if "spatial_lag_1" in columns and builder.neighbour_weights is not None:
         edges = materialise(builder.neighbour_weights.select("health_area", "neighbor", "weight"))
@@ -284,7 +290,7 @@ def forecast_origins(fits: dict[int, Fitted], panel: DataFrame, horizons: int, b
         values = F.transform(values, finite)
         scored = score_origins(fits, step.select(*keys, "hist", "preds", "log_exposure", values.alias("values")), columns)
         longer, new = F.concat("hist", F.array("predicted_cases")), F.array("predicted_cases")
-        kept = F.least(F.size(longer), F.lit(HISTORY))
+        kept = F.least(F.size(longer), F.lit(depth))
         state = materialise(scored.select(
             *keys, F.slice(longer, F.size(longer) - kept + 1, kept).alias("hist"), F.concat("preds", new).alias("preds")))
     return state.select(*keys, F.posexplode("preds").alias("_p", "predicted_cases")).select(

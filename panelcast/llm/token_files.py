@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import shared_folder
+from ..session import materialise, shared_folder
 from .common import partitions
 
 #: Ends every document.
@@ -126,7 +126,8 @@ def token_index(tokens: DataFrame) -> DataFrame:
             crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True)]
             yield pa.record_batch([*(batch.column(i) for i in range(3)), pa.array(np.diff(stops).astype(np.int64)), pa.array(crc, pa.int64())],
                                   names=["doc_id", "part", "place", "n_tokens", "ids_crc32"])
-    slim = tokens.select("doc_id", "part", "place", "ids").mapInArrow(run, "doc_id bigint, part int, place bigint, n_tokens bigint, ids_crc32 bigint")
+    # written, as both the files' sums and the running sums read it
+    slim = materialise(tokens.select("doc_id", "part", "place", "ids").mapInArrow(run, "doc_id bigint, part int, place bigint, n_tokens bigint, ids_crc32 bigint"))
     before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     sums = slim.groupBy(F.col("part").alias("p")).agg(F.sum("n_tokens").alias("n")).select("p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)

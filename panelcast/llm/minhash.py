@@ -10,10 +10,12 @@ Sets that are equal are one node from the start, however many documents share th
 In a bucket only edges to its smallest member are proposed (rows, not pairs), which
 connects a group of copies at once.  What then lies in another class than its centre
 is compared with the whole bucket if the bucket is small, and by further stars among
-such members if it is large, so the number of pairs stays in proportion to the rows.
+such members if it is large.  Stars that connect a large bucket leave one class that
+holds most of it; the members outside are compared with all others of the bucket, but
+for those that a bound on their likeness rules out.  So every two members of a bucket
+end in one class, are compared or cannot be linked, without all pairs of a group.
 Every proposed edge is confirmed on full sets.  A pair shares about ten buckets at a
-likeness of 0.8 and is lost only if no star or small bucket of any of them joins its
-ends, directly or through others.
+likeness of 0.8 and is lost only if it shares none.
 """
 
 from __future__ import annotations
@@ -33,8 +35,12 @@ BANDS, ROWS = 32, 5
 BINS = BANDS * ROWS
 #: With 5 rows and 32 bands a pair of likeness 0.8 shares no bucket with probability 3e-6.
 PROBES = 4096
-#: Buckets of at most so many members are compared in full across classes; larger ones by so many further stars.
+#: Buckets of at most so many members are compared in full across classes at once; larger ones after so many further stars.
 SMALL, STARS = 32, 3
+#: Members of a large bucket that one task compares with those outside the bucket's greatest class.
+PART = 1024
+#: How often members that can have no link are looked for before the others are compared.
+ROUNDS = 2
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -150,6 +156,53 @@ def _alike(met: DataFrame, percent: int) -> DataFrame:
     return near.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
 
 
+def _hashed(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                h = shingles(text.as_py() or b"", k).view(np.int64)
+                yield pa.record_batch([pa.array(np.full(len(h), key)), pa.array(h)], names=["id", "h"])
+    return run
+
+
+def _lonely(ids: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """(id, lone): how many shingles of a text are in no text of another class; ``ids`` has (id, c), ids without any are absent."""
+    hashed = materialise(texts.join(ids.select("id"), "id").select("id", "text").mapInArrow(_hashed(k), "id bigint, h bigint").join(ids, "id"))
+    own = hashed.groupBy("h").agg(F.min("c").alias("c"), F.max("c").alias("most")).where("c = most").select("h")
+    return hashed.join(own, "h").groupBy("id").agg(F.count(F.lit(1)).alias("lone"))
+
+
+def _across(large: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, m, id, n): members of a bucket outside its greatest class, each with the bucket's members of other classes that it may be like.
+
+    A shingle that only one class holds is in no intersection across classes.  With s
+    shared and u lone shingles a likeness is at most min(s, s') / (max(s, s') + u + u'),
+    so members with too many of their own meet no one, and what only they share becomes
+    lone in the next round; nothing that could be a link is left out.  A bucket is cut
+    by a hash of its members into parts of about ``PART``, each of which meets the
+    members outside in a task of its own.
+    """
+    now = classes.select(F.col("id").alias("member"), F.col("component").alias("now"))
+    several = materialise(large.join(now, F.col("id") == F.col("member"), "left").select("bucket", "id", "n", F.coalesce("now", "id").alias("c")))
+    for _ in range(ROUNDS):
+        shown = several.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high").select("bucket")
+        several = materialise(several.select("bucket", "id", "n", "c").join(shown, "bucket"))
+        lone = _lonely(several.select("id", "c").distinct(), texts, k)
+        several = materialise(several.join(lone, "id", "left").withColumn("u", F.coalesce("lone", F.lit(0))).withColumn("s", F.col("n") - F.col("u")).drop("lone"))
+        least = several.groupBy("bucket").agg(F.min("u").alias("least"))
+        several = materialise(several.join(least, "bucket").where(f"100 * s >= {percent} * (s + u + least)").drop("least"))
+    sizes = several.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("size"))
+    top = sizes.groupBy("bucket").agg(F.max(F.struct("size", "c")).alias("t"), F.sum("size").alias("many"))
+    several = several.join(top.select("bucket", F.col("t.c").alias("top"), F.ceil(F.col("many") / PART).cast("int").alias("parts")), "bucket")
+    several = materialise(several.join(several.groupBy("id").agg(F.collect_set("bucket").alias("in")), "id"))  # at most ``BANDS`` buckets
+    outside = several.where("c != top").select("bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("id").alias("a"),
+                                               F.col("n").alias("m"), F.col("c").alias("d"), F.col("u").alias("v"), F.col("s").alias("t"), F.col("in").alias("with"))
+    inside = several.withColumn("part", F.pmod(F.xxhash64("id", "bucket"), F.col("parts")).cast("int"))
+    met = inside.join(outside, ["bucket", "part"]).where(f"c != d and 100 * least(s, t) >= {percent} * (greatest(s, t) + u + v)"
+                                                         " and bucket = array_min(array_intersect(`in`, `with`))")
+    return met.select("a", "m", "id", "n")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """(key, n_shingles, component_id, kept): classes of documents that links of likeness >= percent/100 connect.
 
@@ -176,7 +229,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     classes = connected_components(tried.where("ok")).select(F.col("id").alias("member"), "component")
     shelved = materialise(shelved.join(classes, F.col("id") == F.col("member"), "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("c")))
     first = shelved.groupBy("bucket").agg(F.min(F.struct("id", "c")).alias("f"), F.count(F.lit(1)).alias("many")).select("bucket", "many", F.col("f.c").alias("fc"))
-    rest = materialise(shelved.join(first, "bucket").where("c != fc").drop("fc"))
+    shelved = materialise(shelved.join(first, "bucket"))
+    rest = materialise(shelved.where("c != fc").drop("fc"))
     # small buckets: all their members against those of other classes
     centre = rest.where(F.col("many") <= SMALL).select("bucket", F.col("id").alias("a"), F.col("n").alias("m"), F.col("c").alias("d"))
     pairs = _alike(shelved.join(centre, "bucket").where("c != d"), percent).join(tried.select("a", "b"), ["a", "b"], "left_anti")
@@ -193,6 +247,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
         tried = materialise(tried.unionByName(confirm(pairs, texts, k, percent)))
         like = tried.where("ok").select("a", F.col("b").alias("id"))
         rest = materialise(met.where("c != d").join(like, ["a", "id"], "left_anti").select("bucket", "id", "n", "c"))
+    # what the stars leave: in every large bucket, members outside its greatest class against those of other classes
+    met = _across(shelved.where(F.col("many") > SMALL), connected_components(tried.where("ok")), texts, k, percent)
+    pairs = _alike(met, percent).join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    tried = materialise(tried.unionByName(confirm(pairs, texts, k, percent)))
     links = tried.where("ok").select("a", "b")
     found = connected_components(copies.unionByName(links))
     out = signed.join(found.withColumnRenamed("id", "member"), F.col("id") == F.col("member"), "left")

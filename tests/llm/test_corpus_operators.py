@@ -151,6 +151,21 @@ def test_near_duplicates_equal_brute_force(spark, odd, none):
     assert minhash.near_duplicates(none).count() == 0
 
 
+def test_large_buckets_lose_no_link(spark, monkeypatch):
+    """Buckets beyond the small size and one star only: the comparison of what is left must find every link."""
+    monkeypatch.setattr(minhash, "SMALL", 2)
+    monkeypatch.setattr(minhash, "STARS", 1)
+    monkeypatch.setattr(minhash, "PART", 7)
+    rng, base, rows = np.random.default_rng(5), lorem(150, 3).split(), []
+    for i in range(120):  # likeness on both sides of the threshold, edits that recur in other copies
+        own = list(base)
+        for at in rng.choice(150, int(rng.integers(2, 9)), replace=False):
+            own[at] = f"zz{rng.integers(3)}"
+        rows.append((i, " ".join(own)))
+    out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), k=4).collect()
+    assert {r.doc_id: r.component_id for r in out} == classes(rows, 4)
+
+
 def test_fingerprints(spark, odd, none):
     df, rows = odd
     out = sorted(fingerprints.edited_fingerprints(df).collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, r.n_chars))

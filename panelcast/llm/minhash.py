@@ -187,6 +187,8 @@ def _across(large: DataFrame, classes: DataFrame, texts: DataFrame, k: int, perc
     for _ in range(ROUNDS):
         shown = several.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high").select("bucket")
         several = materialise(several.select("bucket", "id", "n", "c").join(shown, "bucket"))
+        if several.isEmpty():  # every large bucket is one class
+            return several.select(F.col("id").alias("a"), F.col("n").alias("m"), "id", "n")
         lone = _lonely(several.select("id", "c").distinct(), texts, k)
         several = materialise(several.join(lone, "id", "left").withColumn("u", F.coalesce("lone", F.lit(0))).withColumn("s", F.col("n") - F.col("u")).drop("lone"))
         least = several.groupBy("bucket").agg(F.min("u").alias("least"))

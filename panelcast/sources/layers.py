@@ -13,18 +13,32 @@ from ..operators.ranking import sequential_id
 COUNTRY_FIELDS = ("iso3", "iso3_code", "iso_3", "country_iso3")
 NAME_FIELDS = ("health_area", "health_are", "name_fr", "name", "nom", "aire_sante")
 
-_FEATURES = "features array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string,geometries:array<struct<type:string,coordinates:string>>>>>"
+_FEATURE = "properties: map<string,string>, geometry: struct<type:string,coordinates:string,geometries:array<struct<type:string,coordinates:string>>>"
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
     """One row per feature: ``properties`` map, geometry type and coordinates text.
 
-    A document is one record; many documents (one per district, say) are read in
-    parallel.
+    Text with one Feature or FeatureCollection per line is split among tasks.  Anything
+    else is read as one document per file, many files (one per district, say) in
+    parallel.  A document that is neither raises; blank text holds no feature.
     """
-    docs = spark.read.option("wholetext", True).text(path)
-    parsed = docs.select(F.from_json("value", f"struct<{_FEATURES.replace('features ', 'features:')}>").alias("d"))
-    return parsed.select(F.explode("d.features").alias("f")).select("f.properties", "f.geometry")
+    lines = _features_of(spark.read.text(path))
+    if lines.where("not known").isEmpty():
+        found = lines
+    else:
+        found = _features_of(spark.read.text(path, wholetext=True))
+        if not found.where("not known").isEmpty():
+            raise ValueError(f"neither Feature nor FeatureCollection in {path}")
+    return found.select(F.explode("found").alias("f")).select("f.properties", "f.geometry")
+
+
+def _features_of(docs: DataFrame) -> DataFrame:
+    """(found, known): the features of every text that is not blank, and whether it is a Feature or FeatureCollection."""
+    parsed = docs.where(F.trim("value", F.lit(" \t\r\n")) != "").select(F.from_json("value", f"struct<type:string, {_FEATURE}, features:array<struct<{_FEATURE}>>>").alias("d"))
+    own = F.array(F.struct("d.properties", "d.geometry"))
+    found = F.when(F.col("d.features").isNotNull(), F.col("d.features")).when(F.col("d.type") == "Feature", own)
+    return parsed.select(found.alias("found"), found.isNotNull().alias("known"))
 
 
 def _first(properties: Column, names) -> Column:
@@ -117,5 +131,5 @@ def climate_from_arrays(docs: DataFrame, text: str = "value") -> DataFrame:
 
 def read_climate(spark: SparkSession, path: str, layout: str = "map") -> DataFrame:
     """Landed documents of one folder, one document per file."""
-    docs = spark.read.option("wholetext", True).text(path)
+    docs = spark.read.text(path, wholetext=True)
     return climate_from_maps(docs) if layout == "map" else climate_from_arrays(docs)

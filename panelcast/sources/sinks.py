@@ -32,16 +32,15 @@ def write_geojson(layer: DataFrame, path: str, geometry: str = "polygons", mode:
     geojson_features(layer, geometry).write.mode(mode).text(path)
 
 
-def write_feature_collections(layer: DataFrame, path: str, geometry: str = "polygons", per_file: int = 5000,
+def write_feature_collections(layer: DataFrame, path: str, geometry: str = "polygons", parts: int = 16,
                               mode: str = "errorifexists") -> None:
-    """Complete FeatureCollection documents of at most about ``per_file`` areas each.
+    """Complete FeatureCollection documents, ``parts`` of them (fewer if some would be empty).
 
-    A reference layer of ordinary size becomes a single document; a larger one
-    becomes several, so no task assembles an unbounded document.
+    Every area goes to a document by a hash of its Feature.  A task assembles a whole
+    document, so very large layers take more parts, or ``write_geojson``.
     """
     features = geojson_features(layer, geometry)
-    n = -(-features.count() // per_file) or 1
-    parts = features.groupBy(F.pmod(F.xxhash64("value"), F.lit(n)).alias("_part")).agg(F.array_sort(F.collect_list("value")).alias("f"))
+    parts = features.groupBy(F.pmod(F.xxhash64("value"), F.lit(parts)).alias("_part")).agg(F.array_sort(F.collect_list("value")).alias("f"))
     text = F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join("f", ","), F.lit("]}"))
     parts.select(text.alias("value")).write.mode(mode).text(path)
 

@@ -77,6 +77,12 @@ def test_layer_and_geojson_roundtrip(spark, tmp_path):
     sinks.write_geojson(layer, str(tmp_path / "lines"))
     first = json.loads(spark.read.text(str(tmp_path / "lines")).first()[0])
     assert first["geometry"]["type"] == "MultiPolygon" and "health_area" in first["properties"]
+    lines = layers.read_layer(spark, str(tmp_path / "lines"))
+    assert sorted(map(tuple, lines.collect())) == sorted(map(tuple, layer.collect()))
+    indented = layers.read_layer(spark, put(tmp_path / "i.json", json.dumps(doc, indent=1)), "NER")
+    assert sorted(map(tuple, indented.collect())) == sorted(map(tuple, layer.collect()))
+    with pytest.raises(ValueError):
+        layers.read_layer(spark, put(tmp_path / "n.json", '{"rows": []}'))
 
 
 def test_rivers(spark, tmp_path):
@@ -89,7 +95,7 @@ def test_rivers(spark, tmp_path):
 def test_climate_documents(spark, tmp_path):
     maps = {"properties": {"parameter": {"T2M": {"20200101": 20.5, "20200102": 21.5}, "PRECTOTCORR": {"20200101": 0.5}, "RH2M": {"20200102": 40.0}}}}
     arrays = {"daily": {"time": ["2020-01-01", "2020-01-02"], "temperature_2m_mean": [20.5, 21.5], "precipitation_sum": [0.5, None], "relative_humidity_2m_mean": [None, 40.0]}}
-    a = layers.read_climate(spark, put(tmp_path / "a.json", json.dumps(maps)))
+    a = layers.read_climate(spark, put(tmp_path / "a.json", json.dumps(maps, indent=1)))
     b = layers.read_climate(spark, put(tmp_path / "b.json", json.dumps(arrays)), "arrays")
     assert a.orderBy("date").collect() == b.orderBy("date").collect() and a.count() == 2
     weekly = climate_by_week(a.withColumn("health_area", F.lit("x"))).first()

@@ -3,8 +3,8 @@
 A plain ``row_number().over(Window.orderBy(...))`` moves every row to a single
 partition.  Here the rows are range-partitioned on the full key (so a hot leading
 value is split by the columns after it) and written with their partition number.
-Rows are then numbered inside each partition and shifted by the partition offsets,
-one row per partition.  Writing them first fixes the partition of every row: Spark
+Rows are numbered inside each sorted partition as they are written and then shifted by
+the partition offsets, one row per partition.  Writing them first fixes the partition of every row: Spark
 samples the ranges anew whenever it evaluates a range partitioning.
 """
 
@@ -27,18 +27,25 @@ def global_rank(df: DataFrame, keys: Sequence[str], name: str, n_buckets: int |
     plus one: the first position of a block of ``weight`` rows.
     """
     n_buckets = n_buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = materialise(df.repartitionByRange(n_buckets, *keys).withColumn("_bucket", F.spark_partition_id()))
+    ranges = df.repartitionByRange(n_buckets, *keys)
+    if not weight:
+        # the low 33 bits of the generated id count the rows of a sorted partition, the others are the partition
+        placed = materialise(ranges.sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+                             .withColumn("_bucket", F.shiftright("_at", 33).cast("int"))
+                             .withColumn("_at", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1))
+    else:
+        placed = materialise(ranges.withColumn("_bucket", F.spark_partition_id()))
     size = F.col(weight) if weight else F.lit(1)
     before = F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
     offsets = (placed.groupBy("_bucket").agg(F.sum(size).cast("bigint").alias("_n"))
                .select("_bucket", F.coalesce(before, F.lit(0)).alias("_offset")))
-    inside = Window.partitionBy("_bucket").orderBy(*keys)
     if weight:
+        inside = Window.partitionBy("_bucket").orderBy(*keys)
         local = F.coalesce(F.sum(weight).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1
     else:
-        local = F.row_number().over(inside)
+        local = F.col("_at")
     return (placed.join(offsets, "_bucket")
-            .withColumn(name, (F.col("_offset") + local).cast("bigint")).drop("_bucket", "_offset"))
+            .withColumn(name, (F.col("_offset") + local).cast("bigint")).drop("_bucket", "_offset", "_at"))
 
 
 def sequential_id(df: DataFrame, name: str, chunk: int = 1_000_000) -> DataFrame:

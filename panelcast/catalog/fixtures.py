@@ -36,6 +36,13 @@ def panel(spark: SparkSession, sf: str) -> DataFrame:
     return build_panel(cases_weekly(spark, sf), typed=True)
 
 
+def site_panel(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as cases of the customer: a panel with gaps that grows with the tables."""
+    weekly = table(spark, sf, "orders").groupBy(
+        F.concat(F.lit("site_"), "o_custkey").alias("health_area"), iso.iso_year("o_orderdate").alias("year"), iso.iso_week("o_orderdate").alias("week_"))
+    return build_panel(weekly.agg(F.count(F.lit(1)).alias("cases"), F.lit(0).cast("bigint").alias("deaths")), typed=True, complete_grid=False)
+
+
 def linelist(spark: SparkSession, sf: str) -> DataFrame:
     lines = table(spark, sf, "lineitem")
     supplier = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")

@@ -154,6 +154,34 @@ def ewm_feature(spark, sf):
     return rounded(df.select("health_area", "week_index", "cases_ewm_4"))
 
 
+def _within(aggregate: str, width: int) -> str:
+    return f"{aggregate}(b.cases) FILTER (b.week_index >= a.week_index - {width})"
+
+
+def _ago(k: int) -> str:
+    return f"max(b.cases) FILTER (b.week_index = a.week_index - {k})"
+
+
+_GAPS = f"""WITH weekly AS (SELECT concat('site_', o_custkey) AS health_area, CAST(isoyear(o_orderdate) AS INT) AS year,
+    CAST(date_trunc('week', o_orderdate) AS DATE) AS monday, CAST(count(*) AS DOUBLE) AS cases FROM orders GROUP BY 1, 2, 3),
+    start AS (SELECT CAST(date_trunc('week', make_date(min(year), 1, 4)) AS DATE) AS monday0 FROM weekly),
+    p AS (SELECT health_area, CAST(datediff('day', monday0, monday) // 7 AS INT) AS week_index, cases FROM weekly, start)
+    SELECT a.health_area, a.week_index, {', '.join(f"{_ago(k)} AS cases_lag_{k}" for k in features.DEFAULT_LAGS)},
+    {', '.join(f"{r(_within('avg', w))} AS cases_ma_{w}" for w in features.DEFAULT_WINDOWS)},
+    {r(_within('stddev_samp', 4))} AS cases_std_4, {_within('max', 4)} AS cases_max_4,
+    {r("sum(b.cases * power(0.6, a.week_index - 1 - b.week_index)) / sum(power(0.6, a.week_index - 1 - b.week_index))")} AS cases_ewm_4,
+    CASE WHEN {_ago(1)} IS NOT NULL AND {_ago(2)} IS NOT NULL THEN
+    {r(f"greatest(-5, least(5, ({_ago(1)} - {_ago(2)}) / {_ago(2)}))")} END AS growth_rate, {_ago(1)} - {_ago(2)} AS cases_diff_1
+    FROM p a LEFT JOIN p b ON b.health_area = a.health_area AND b.week_index < a.week_index GROUP BY 1, 2"""
+
+
+@register(_GAPS)
+def temporal_features_gaps(spark, sf):
+    """Customers as areas, only the weeks with an order: lags and windows count calendar weeks."""
+    df = features.add_temporal_features(fx.site_panel(spark, sf))
+    return rounded(df.select("health_area", "week_index", *features.FEATURE_GROUPS["temporal"]))
+
+
 @register(sql(f"""SELECT health_area, week_index, {', '.join(
     f"{r(f'{fn}(2 * pi() * {k} * (week_ - 1) / 52.1775)')} AS {fn}_week_{k}" for k in (1, 2) for fn in ('sin', 'cos'))},
     CAST(week_ AS DOUBLE) AS week_of_year, CAST(least(12, greatest(1, floor(week_ / 52.1775 * 12) + 1)) AS DOUBLE) AS month FROM panel""", "panel"))

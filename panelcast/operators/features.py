@@ -2,7 +2,8 @@
 
 Every case-derived feature of week t uses weeks < t only.  All per-area windows
 share one partitioning and order, so the whole matrix needs a single exchange by
-area.  Panels must be complete (see ``build_panel``): frames count rows.
+area.  Frames of cases count calendar weeks, so panels may have gaps and null counts;
+those of weather, neighbours and baselines count rows of a complete panel.
 """
 
 from __future__ import annotations
@@ -53,6 +54,16 @@ def past_rows(width: int):
     return area_window().rowsBetween(-width, -1)
 
 
+def past_weeks(width: int):
+    """The ``width`` calendar weeks before the current one, whichever of them have a row."""
+    return area_window().rangeBetween(-width, -1)
+
+
+def weeks_ago(value: Column, k: int) -> Column:
+    """The value of the area exactly ``k`` weeks earlier (one row per area and week), null without that week."""
+    return F.max(value).over(area_window().rangeBetween(-k, -k))
+
+
 def ewm_of(history: Column) -> Column:
     """Adjusted exponential mean (span 4) of an array ordered oldest first."""
     start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("d"))
@@ -62,6 +73,16 @@ def ewm_of(history: Column) -> Column:
         lambda acc: F.try_divide(acc["n"], acc["d"]))
 
 
+def ewm_of_weeks(history: Column) -> Column:
+    """The same mean of an array of (week, value) structs: a week without a value fades what is before it."""
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("d"), F.lit(0).cast("bigint").alias("week"))
+
+    def step(acc: Column, x: Column) -> Column:
+        fade = F.pow(F.lit(EWM_DECAY), x["week"] - acc["week"])
+        return F.struct((acc["n"] * fade + x["value"]).alias("n"), (acc["d"] * fade + 1.0).alias("d"), x["week"].alias("week"))
+    return F.aggregate(history, start, step, lambda acc: F.try_divide(acc["n"], acc["d"]))
+
+
 # ---------------------------------------------------------------------------
 # temporal
 # ---------------------------------------------------------------------------
@@ -73,25 +94,29 @@ def add_temporal_features(panel: DataFrame, lags: Sequence[int] = DEFAULT_LAGS,
                           windows: Sequence[int] = DEFAULT_WINDOWS) -> DataFrame:
     """Lags, shifted moving statistics, exponential mean, growth and difference."""
     y = F.col("cases")
-    last, before = F.lag(y, 1).over(area_window()), F.lag(y, 2).over(area_window())
-    new = {f"cases_lag_{k}": F.lag(y, k).over(area_window()) for k in lags}
-    new |= {f"cases_ma_{w}": F.avg(y).over(past_rows(w)) for w in windows}
-    new["cases_std_4"] = F.stddev_samp(y).over(past_rows(4))
-    new["cases_max_4"] = F.max(y).over(past_rows(4))
-    new["cases_ewm_4"] = ewm_of(F.collect_list(y).over(past_rows(EWM_HISTORY)))
+    last, before = weeks_ago(y, 1), weeks_ago(y, 2)
+    new = {f"cases_lag_{k}": weeks_ago(y, k) for k in lags}
+    new |= {f"cases_ma_{w}": F.avg(y).over(past_weeks(w)) for w in windows}
+    new["cases_std_4"] = F.stddev_samp(y).over(past_weeks(4))
+    new["cases_max_4"] = F.max(y).over(past_weeks(4))
     new["growth_rate"] = growth(last, before)
     new["cases_diff_1"] = last - before
-    return panel.withColumns(new)
+    # the mean up to a week with a value, which stays the mean until the next one
+    seen = F.when(y.isNotNull(), F.struct(F.col("week_index").cast("bigint").alias("week"), y.cast("double").alias("value")))
+    history = F.collect_list(seen).over(area_window().rowsBetween(1 - EWM_HISTORY, 0))
+    df = panel.withColumns(new | {"_ewm": F.when(y.isNotNull(), ewm_of_weeks(history))})
+    earlier = area_window().rowsBetween(Window.unboundedPreceding, -1)
+    return df.withColumn("cases_ewm_4", F.last("_ewm", ignorenulls=True).over(earlier)).drop("_ewm")
 
 
 def add_extended_temporal_features(panel: DataFrame) -> DataFrame:
     """Acceleration and rolling extremes described in the user manual."""
     y = F.col("cases")
-    steps = [F.lag(y, k).over(area_window()) for k in (1, 2, 3)]
+    steps = [weeks_ago(y, k) for k in (1, 2, 3)]
     new = {"acceleration": growth(steps[0], steps[1]) - growth(steps[1], steps[2])}
     for w in (4, 8):
-        new[f"cases_min_{w}"] = F.min(y).over(past_rows(w))
-        new[f"cases_max_{w}"] = F.max(y).over(past_rows(w))
+        new[f"cases_min_{w}"] = F.min(y).over(past_weeks(w))
+        new[f"cases_max_{w}"] = F.max(y).over(past_weeks(w))
     return panel.withColumns(new)
 
 
@@ -102,11 +127,10 @@ def add_unshifted_features(panel: DataFrame, lags: Sequence[int] = (1, 2, 4)) ->
     measure that leak.
     """
     y = F.col("cases")
-    change = clip(F.coalesce(F.try_divide(y - F.lag(y, 1).over(area_window()), F.lag(y, 1).over(area_window())),
-                             F.lit(0.0)), -5.0, 5.0)
+    change = clip(F.coalesce(F.try_divide(y - weeks_ago(y, 1), weeks_ago(y, 1)), F.lit(0.0)), -5.0, 5.0)
     angle = F.lit(2 * math.pi) * F.col("week_") / 52
-    new = {f"cases_lag_{k}": F.lag(y, k).over(area_window()) for k in lags}
-    new |= {f"cases_ma_{w}": F.avg(y).over(area_window().rowsBetween(1 - w, 0)) for w in (2, 4)}
+    new = {f"cases_lag_{k}": weeks_ago(y, k) for k in lags}
+    new |= {f"cases_ma_{w}": F.avg(y).over(area_window().rangeBetween(1 - w, 0)) for w in (2, 4)}
     return panel.withColumns(new | {"growth_rate": change, "sin_week": F.sin(angle), "cos_week": F.cos(angle)})
 
 
@@ -114,9 +138,9 @@ def add_measles_original_features(panel: DataFrame) -> DataFrame:
     """Lags 1-4, shifted mean and deviation over 4 weeks, one harmonic on 52 weeks."""
     y = F.col("cases")
     angle = F.lit(2 * math.pi) * F.col("week_") / 52
-    new = {f"lag_{k}": F.lag(y, k).over(area_window()) for k in (1, 2, 3, 4)}
+    new = {f"lag_{k}": weeks_ago(y, k) for k in (1, 2, 3, 4)}
     return panel.withColumns(new | {
-        "mean_4": F.avg(y).over(past_rows(4)), "std_4": F.stddev_samp(y).over(past_rows(4)),
+        "mean_4": F.avg(y).over(past_weeks(4)), "std_4": F.stddev_samp(y).over(past_weeks(4)),
         "sin_week": F.sin(angle), "cos_week": F.cos(angle)})
 
 
@@ -234,7 +258,7 @@ def add_population_features(panel: DataFrame, parity: bool = False) -> DataFrame
     elif "cases_ma_4" in panel.columns:
         base = F.col("cases_ma_4")
     else:
-        panel = panel.withColumn("_base", F.lag("cases", 1).over(area_window()))
+        panel = panel.withColumn("_base", weeks_ago(F.col("cases"), 1))
         base = F.col("_base")
     df = add_population_rates(panel, base).drop("_base")
     if "Pop_Totale" not in df.columns:

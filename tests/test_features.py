@@ -26,6 +26,23 @@ def test_temporal_features_equal_pandas(small_panel, matrix):
         assert np.allclose(got[name], expected.reset_index(level=0, drop=True).sort_index(), equal_nan=True, atol=1e-9), name
 
 
+def test_gaps_and_nulls_count_calendar_weeks(spark):
+    rng = np.random.default_rng(4)
+    weeks = [0, 4, 114, *(int(w) for w in np.flatnonzero(rng.random(400) < 0.4) + 115)]
+    values = [5.0, 0.0, 7.0, *(float(v) if v % 5 else None for v in rng.integers(0, 40, len(weeks) - 3))]
+    values[-90:-5] = [None] * 85  # longer than the stored history
+    df = spark.createDataFrame(list(zip(["a"] * len(weeks), weeks, values)), "health_area string, week_index int, cases double")
+    got = ft.add_temporal_features(df).toPandas().set_index("week_index").sort_index()
+    y = got["cases"].reindex(range(max(weeks) + 1))
+    prev = y.shift(1)
+    for name, expected in {
+        "cases_lag_1": prev, "cases_lag_4": y.shift(4), "cases_ma_4": prev.rolling(4, min_periods=1).mean(), "cases_ma_13": prev.rolling(13, min_periods=1).mean(),
+        "cases_std_4": prev.rolling(4, min_periods=2).std(), "cases_max_4": prev.rolling(4, min_periods=1).max(),
+        "cases_ewm_4": prev.ewm(span=4, min_periods=1).mean(), "cases_diff_1": prev - y.shift(2),
+    }.items():
+        assert np.allclose(got[name].astype(float), expected.loc[got.index], equal_nan=True, atol=1e-9), name
+
+
 def test_no_feature_sees_its_own_week(spark, small_panel, small_static, small_weights, matrix):
     base, columns = matrix
     week = 100

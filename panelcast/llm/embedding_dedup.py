@@ -1,15 +1,21 @@
-"""Embedding near-duplicates by sorted projection passes.
+"""Embedding near-duplicates by hashed runs of projection signs.
 
-A pass hashes every vector to the signs of its projections on random directions and
-sorts the vectors by the concatenated signs.  Like vectors share long prefixes, so
-they come to lie near each other: inside a sorted run every vector is compared with a
-bounded window of its followers, in double precision, and the pairs found are united.
-A run reports one edge for each linked vector (to the smallest vector it is connected
+Equal vectors are one vector with a number of copies.  A pass hashes every vector to
+the signs of its projections on random directions; the vectors of a run (equal signs)
+are compared with each other, in double precision, and the pairs found are united.  A
+run reports one edge for each linked vector (to the smallest vector it is connected
 with), never all pairs, and the edges of all passes are united to components.
 
-Two vectors at the threshold agree in a sign with probability 1 - acos(t)/pi, and must
-agree in about log2(n / window) signs to meet; the number of passes follows from that
-and from the accepted chance to miss such a pair (closer pairs are missed far less).
+Two vectors at the threshold agree in a sign with probability 1 - acos(t)/pi.  A run has
+so many signs that evenly spread vectors would leave it half a window to a window of
+rows; the number of passes follows from that and from the accepted chance to miss such
+a pair (closer pairs are missed far less).  Nothing else is assumed about the spread:
+runs are counted before they are compared.  A run with more rows than all passes
+together may cost (vectors in a narrow cone share their signs) is not compared in its
+pass; its vectors are crowded, and crowded vectors are compared with each other
+exactly, block against block, once.  So each pair that agrees in the signs of a pass
+is compared, however crowded its surroundings are; the price is one comparison of
+every two crowded vectors.
 
 All links of a vector lie in its component, so the direct links are then counted
 inside components, block against block, without listing pairs.
@@ -29,6 +35,12 @@ from ..session import materialise
 from .common import connected_components, partitions
 
 WINDOW, MISS, SIGNS, BLOCK = 64, 1e-6, 62, 1024
+#: Runs of up to so many rows are compared in their pass at any number of rows.
+CROWD = 1024
+#: Numbers that a task holds of one block, or of one slice of products.
+HELD = 1 << 22
+#: A component (or a width) and two of its blocks.
+TILE = ("component", "i", "j")
 
 
 def passes_needed(n: int, threshold: float, window: int = WINDOW, miss: float = MISS) -> int:
@@ -38,6 +50,11 @@ def passes_needed(n: int, threshold: float, window: int = WINDOW, miss: float =
     return max(4, math.ceil(math.log(miss) / math.log(1 - met)))
 
 
+def signs_needed(n: int, window: int = WINDOW) -> int:
+    """Signs that two vectors of a run agree in, never more than ``passes_needed`` counts on."""
+    return min(SIGNS, int(max(1.0, math.log2(max(n, 2) / window) + 1)))
+
+
 def directions(number: int, width: int, seed: int) -> np.ndarray:
     return np.random.default_rng([seed, number, width]).standard_normal((width, SIGNS))
 
@@ -48,9 +65,10 @@ def _vectors(column: pa.Array, width: int) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
-def _keyed(passes: int, seed: int):
+def _keyed(passes: int, signs: int, seed: int, *columns: str):
+    """The run of every vector in every pass, with the given columns."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = (1 << np.arange(SIGNS - 1, -1, -1)).astype(np.int64)
+        weights = (1 << np.arange(signs - 1, -1, -1)).astype(np.int64)
         planes: dict[int, list[np.ndarray]] = {}
         for batch in batches:
             widths = np.asarray(batch.column("width"))
@@ -58,11 +76,11 @@ def _keyed(passes: int, seed: int):
                 part = batch.filter(pa.array(widths == width)) if len(np.unique(widths)) > 1 else batch
                 x = _vectors(part.column("v"), int(width))
                 if int(width) not in planes:
-                    planes[int(width)] = [directions(p, int(width), seed) for p in range(passes)]
+                    planes[int(width)] = [directions(p, int(width), seed)[:, :signs] for p in range(passes)]
                 for p in range(passes):
                     key = ((x @ planes[int(width)][p]) > 0).astype(np.int64) @ weights
-                    yield pa.record_batch([pa.array(np.full(len(x), p, np.int32)), part.column("width"), pa.array(key), part.column("id"), part.column("v")],
-                                          names=["pass", "width", "sort", "id", "v"])
+                    yield pa.record_batch([pa.array(np.full(len(x), p, np.int32)), part.column("width"), pa.array(key), *map(part.column, columns)],
+                                          names=["pass", "width", "run", *columns])
     return run
 
 
@@ -82,75 +100,105 @@ def _united(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         root = new
 
 
-def _windowed(threshold: float, window: int):
-    def joined(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n, pairs = len(ids), []
-        for step in range(1, min(window, n - 1) + 1):
-            hit = np.flatnonzero(np.einsum("ij,ij->i", x[:-step], x[step:]) >= threshold)
-            if len(hit):
-                pairs.append(np.stack([hit, hit + step]))
-        if not pairs:
-            return ids[:0], ids[:0]
-        a, b = np.concatenate(pairs, axis=1)
-        order = np.argsort(ids, kind="stable")  # indices in the order of ids, so the smallest index is the smallest id
-        place = np.empty(n, np.int64)
-        place[order] = np.arange(n)
-        root = _united(place[a], place[b], n)
+def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], *columns: str):
+    """(key, columns, vectors) of the rows of each key; the rows of a key follow each other, over batches too."""
+    held = None
+    for batch in batches:
+        at, given = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in keys]), [np.asarray(batch.column(c)) for c in columns]
+        cuts = [0, *(np.flatnonzero((np.diff(at) != 0).any(0)) + 1), at.shape[1]]
+        for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
+            if start == stop:
+                continue
+            column = batch.column("v").slice(start, stop - start)
+            group = (tuple(at[:, start].tolist()), *(c[start:stop] for c in given), _vectors(column, len(column[0])))
+            if held is not None and held[0] == group[0]:
+                held = (held[0], *(np.concatenate(x) for x in zip(held[1:], group[1:], strict=True)))
+            else:
+                if held is not None:
+                    yield held
+                held = group
+    if held is not None:
+        yield held
+
+
+def _table(names: list[str], groups):
+    """Record batches of two columns of whole numbers from pairs of arrays."""
+    done, rows = [], 0
+    for pair in groups:
+        if len(pair[0]):
+            done.append(pair)
+            rows += len(pair[0])
+        if rows > 100_000:
+            yield pa.record_batch([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*done, strict=True)], names=names)
+            done, rows = [], 0
+    if done:
+        yield pa.record_batch([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*done, strict=True)], names=names)
+
+
+def _stars(ids: np.ndarray, x: np.ndarray, threshold: float, left: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of the linked vectors to the smallest they are connected with: all rows, or the first ``left`` against the others."""
+    n, last = len(ids), len(ids) if left is None else left
+    pairs, many, step = [], 0, max(1, HELD // max(len(ids), 1))
+    order = np.argsort(ids, kind="stable")  # indices in the order of ids, so the smallest index is the smallest id
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+
+    def united():
+        root = _united(*np.concatenate(pairs, axis=1), n)
         moved = np.flatnonzero(root != np.arange(n))
-        return ids[order][root[moved]], ids[order][moved]
+        return np.stack([root[moved], moved])
+
+    for start in range(0, last, step):
+        base = start if left is None else left
+        i, j = np.nonzero(x[start:min(start + step, last)] @ x[base:].T >= threshold)
+        i, j = i + start, j + base
+        apart = i < j
+        if apart.any():
+            pairs.append(np.stack([place[i[apart]], place[j[apart]]]))
+            many += pairs[-1].shape[1]
+            if many > HELD:
+                pairs = [united()]
+                many = pairs[0].shape[1]
+    if not pairs:
+        return ids[:0], ids[:0]
+    low, moved = united()
+    return ids[order][low], ids[order][moved]
+
+
+def _run_edges(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _table(["a", "b"], (_stars(ids, x, threshold) for _, ids, x in _groups(batches, ("pass", "width", "run"), "id") if len(ids) > 1))
+    return run
 
+
+def _tile_edges(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail: tuple | None = None  # the last window of the run so far
-        for batch in batches:
-            runs = np.asarray(batch.column("pass")).astype(np.int64) * (1 << 32) + np.asarray(batch.column("width"))
-            cuts = [0, *(np.flatnonzero(np.diff(runs)) + 1), len(runs)]
-            ids = np.asarray(batch.column("id"))
-            for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
-                if start == stop:
-                    continue
-                width = int(runs[start] & 0xFFFFFFFF)
-                x, own = _vectors(batch.column("v").slice(start, stop - start), width), ids[start:stop]
-                if tail is not None and tail[0] == runs[start]:
-                    x, own = np.concatenate([tail[2], x]), np.concatenate([tail[1], own])
-                a, b = joined(own, x)
-                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-                tail = (runs[start], own[-window:], x[-window:])
+        yield from _table(["a", "b"], (_stars(ids, x, threshold, None if key[1] == key[2] else int((side == 0).sum()))
+                                       for key, ids, side, x in _groups(batches, TILE, "id", "side")))
     return run
 
 
+def _tiles(members: DataFrame, unit: DataFrame) -> DataFrame:
+    """(component, id, blocks) -> the vectors of every two blocks of a component, a tile's first block before its second."""
+    against = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(
+        F.least("own", o).alias("i"), F.greatest("own", o).alias("j"), (F.col("own") > o).cast("int").alias("side")))
+    rows = members.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).join(unit.select("id", "copies", "v"), "id")
+    rows = rows.withColumn("at", F.explode(against)).select("component", "at.*", "id", "copies", "v")
+    return rows.repartition(partitions(unit.sparkSession), *TILE).sortWithinPartitions(*TILE, "side")
+
+
 def _counted(threshold: float):
-    def links(key, ids, side, x):
+    def links(key, ids, side, copies, x):
         if key[1] == key[2]:  # a block with itself
-            return ids, (x @ x.T >= threshold).sum(1) - 1
+            near = x @ x.T >= threshold
+            np.fill_diagonal(near, False)
+            return ids, near @ copies
         left, right = side == 0, side == 1
         near = x[left] @ x[right].T >= threshold
-        return np.concatenate([ids[left], ids[right]]), np.concatenate([near.sum(1), near.sum(0)])
-
-    def table(done):
-        ids, n = (np.concatenate(c) for c in zip(*done, strict=True))
-        return pa.record_batch([pa.array(ids, pa.int64()), pa.array(n.astype(np.int64))], names=["id", "links"])
+        return np.concatenate([ids[left], ids[right]]), np.concatenate([near @ copies[right], near.T @ copies[left]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # rows of the pair of blocks that may go on in the next batch
-        for batch in batches:
-            keys = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("component", "i", "j")])
-            ids, side = np.asarray(batch.column("id")), np.asarray(batch.column("side"))
-            cuts, done = [0, *(np.flatnonzero((np.diff(keys) != 0).any(0)) + 1), keys.shape[1]], []
-            for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
-                if start == stop:
-                    continue
-                column = batch.column("v").slice(start, stop - start)
-                group = (tuple(keys[:, start]), ids[start:stop], side[start:stop], _vectors(column, len(column[0])))
-                if held is not None and held[0] == group[0]:
-                    held = (held[0], *(np.concatenate(x) for x in zip(held[1:], group[1:], strict=True)))
-                else:
-                    if held is not None:
-                        done.append(links(*held))
-                    held = group
-            if done:
-                yield table(done)
-        if held is not None:
-            yield table([links(*held)])
+        yield from _table(["id", "links"], (links(*group) for group in _groups(batches, TILE, "id", "side", "copies")))
     return run
 
 
@@ -172,19 +220,34 @@ def near_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding"
     kind = dict(sound.dtypes)["v"]
     unit = sound.select("id", F.size("v").alias("width"), "v")
     unit = materialise(unit.groupBy("id").agg(F.min(F.struct("width", "v")).alias("u")).select("id", "u.*"))
-    passes = passes_needed(unit.count(), threshold, window, miss)
-    keyed = unit.mapInArrow(_keyed(passes, seed), f"pass int, width int, sort bigint, id bigint, v {kind}")
-    runs = keyed.repartitionByRange(partitions(spark), "pass", "width", "sort", "id").sortWithinPartitions("pass", "width", "sort", "id")
-    edges = runs.mapInArrow(_windowed(threshold, window), "a bigint, b bigint").distinct()
-    found = materialise(connected_components(edges))
+    one = materialise(unit.groupBy("width", "v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")).select("id", "width", "v", "copies"))
+    equal = one.where("copies > 1").select("v", F.col("id").alias("first"))
+    copies = materialise(unit.join(equal, "v").where("id != first").select("id", "first"))
+    n, widest = one.agg(F.count(F.lit(1)), F.coalesce(F.max("width"), F.lit(1))).first()
+    passes, signs = passes_needed(n, threshold, window, miss), signs_needed(n, window)
+    # all passes together never compare more than every two vectors once
+    crowd = max(CROWD, min(n // passes, HELD // widest))
+    at = ["pass", "width", "run"]
+    keys = one.mapInArrow(_keyed(passes, signs, seed, "id"), "pass int, width int, run bigint, id bigint")
+    large = materialise(keys.groupBy(*at).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > crowd).select(*at))
+    keyed = one.mapInArrow(_keyed(passes, signs, seed, "id", "v"), f"pass int, width int, run bigint, id bigint, v {kind}")
+    crowded = not large.isEmpty()
+    if crowded:
+        keyed = keyed.join(large, at, "left_anti")
+    runs = keyed.repartition(partitions(spark), *at).sortWithinPartitions(*at)
+    edges = runs.mapInArrow(_run_edges(threshold), "a bigint, b bigint")
+    if crowded:
+        dense = materialise(keys.join(large, at, "left_semi").select(F.col("width").alias("component"), "id").distinct())
+        blocks = F.greatest(F.ceil(F.count(F.lit(1)) * F.col("component") / HELD), F.least(F.lit(8), F.ceil(F.count(F.lit(1)) / BLOCK)))
+        dense = dense.join(dense.groupBy("component").agg(blocks.cast("int").alias("blocks")), "component")
+        edges = edges.unionByName(_tiles(dense, one).mapInArrow(_tile_edges(threshold), "a bigint, b bigint"))
+    found = materialise(connected_components(edges.distinct()))
     sizes = found.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    members = found.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    against = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(
-        F.least("own", o).alias("i"), F.greatest("own", o).alias("j"), (F.col("own") > o).cast("int").alias("side")))
-    tiles = members.join(unit, "id").withColumn("at", F.explode(against)).select("component", "at.*", "id", "v")
-    tiles = tiles.repartition(partitions(spark), "component", "i", "j").sortWithinPartitions("component", "i", "j")
-    links = tiles.mapInArrow(_counted(threshold), "id bigint, links bigint").groupBy("id").agg(F.sum("links").alias("n_links"))
-    known = found.join(links, "id").withColumnRenamed("id", "member")
+    links = _tiles(found.join(sizes, "component"), one).mapInArrow(_counted(threshold), "id bigint, links bigint").groupBy("id").agg(F.sum("links").alias("links"))
+    known = one.select("id", "copies").join(found, "id", "left").join(links, "id", "left").where("component is not null or copies > 1")
+    known = materialise(known.select("id", F.coalesce("component", "id").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    again = copies.join(known.withColumnRenamed("id", "first"), "first").select("id", "component", "n_links")
+    known = known.unionByName(again).withColumnRenamed("id", "member")
     out = every.select("id").join(known, F.col("id") == F.col("member"), "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"),

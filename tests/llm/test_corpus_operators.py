@@ -68,6 +68,41 @@ def test_near_vectors_equal_brute_force(spark):
     assert embedding_dedup.near_vectors(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
 
 
+def classes_of_vectors(x, threshold=0.95):
+    """Number of links and smallest member of the component, by brute force."""
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = u @ u.T >= threshold
+    np.fill_diagonal(near, False)
+    root = np.arange(len(x))
+    while True:
+        new = np.array([min(root[i], *root[row]) if (row := np.flatnonzero(near[i])).size else root[i] for i in range(len(x))])
+        if (new == root).all():
+            return near.sum(1), root
+        root = new
+
+
+@pytest.mark.parametrize("crowd", [1024, 50])
+def test_crowded_vectors_lose_no_link(spark, monkeypatch, crowd):
+    """A third of the rows in a cone of mutual cosine 0.9, pairs at 0.952 in it, and a vector that many rows share."""
+    monkeypatch.setattr(embedding_dedup, "CROWD", crowd, raising=False)
+    rng = np.random.default_rng(8)
+    unit = lambda a: a / np.linalg.norm(a, axis=-1, keepdims=True)
+    middle, x = unit(rng.standard_normal(64)), unit(rng.standard_normal((3000, 64)))
+    own = lambda k: unit((e := rng.standard_normal((k, 64))) - np.outer(e @ middle, middle))
+    apart = own(900)
+    x[:900] = math.sqrt(0.9) * middle + math.sqrt(0.1) * apart
+    c = (0.952 - 0.9) / 0.1  # of the parts beside the middle
+    noise = own(100)
+    beside = unit(noise - np.sum(noise * apart[:100], 1, keepdims=True) * apart[:100])
+    x[900:1000] = math.sqrt(0.9) * middle + math.sqrt(0.1) * (c * apart[:100] + math.sqrt(1 - c * c) * beside)
+    x[2000:2200] = x[1500]
+    links, root = classes_of_vectors(x)
+    assert (links[900:1000] > 0).sum() > 90 and (links > 100).sum() == 201
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    out = {r.vec_id: r for r in embedding_dedup.near_vectors(frame, window=4).collect()}
+    assert [(out[i].n_links, out[i].component_id) for i in range(3000)] == list(zip(links.tolist(), root.tolist(), strict=True))
+
+
 @pytest.fixture(scope="module")
 def pieces():
     return lattice.load(PIECES)

@@ -4,10 +4,10 @@ Language model: character trigrams of all documents (lower-case letters, one sym
 for anything else), counted per task and summed, interpolated with shorter contexts.
 
 Channel: a letter may have been written as a look-alike digit or sign, repeated, or
-set apart by blanks or dots.  The possible readings of a token form a lattice whose
+set apart by signs or blanks.  The possible readings of a token form a lattice whose
 best path under the language model is found by Viterbi.  A token with one reading is
-that reading, so only tokens with such marks are decoded; decoded tokens are kept in a
-bounded memory.
+that reading; every other token is decoded, and so is every run of pieces of up to three
+characters set apart by blanks or line ends.  Readings are kept in a bounded memory.
 
 Score: words and word beginnings of the restored text are features.  Each is weighed
 by the signed root of its likelihood ratio in labelled documents, so rare coincidences
@@ -47,11 +47,14 @@ SIZE = 64
 LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0xDF, 0x100) if chr(c).isalpha())
 CODE = np.zeros(0x110000, np.int64)
 CODE[[ord(c) for c in LETTERS]] = np.arange(1, len(LETTERS) + 1)
-MARK = re.compile(r"[0-9@$!|+€]|([^\W\d_])\1\1|[^\W\d_][.\-_*~][^\W\d_](?![^\W\d_])", re.S)
-#: Three or more single characters set apart by blanks.
-SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
+#: A token with more than one reading: a look-alike, a letter twice or more, or signs between letters.
+MARK = re.compile(r"[01345789@$!|+€]|([^\W\d_])\1|[^\W\d_][\W_]+[^\W\d_]", re.S)
+#: Two or more pieces of up to three characters, set apart by any blanks.
+SPACED = re.compile(r"(?<!\S)\S{1,3}(?:\s+\S{1,3})+(?!\S)")
+#: Characters of the longest token or run whose reading is remembered.
+LONGEST = 200
 WORDS = re.compile(r"[^\W\d_]+")
-READ, BREAK, AGAIN, CLOSE = math.log(0.2), math.log(0.6), math.log(0.5), math.log(0.3)
+READ, BREAK, AGAIN, TWICE, CLOSE = math.log(0.2), math.log(0.6), math.log(0.5), math.log(0.2), math.log(0.3)
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -89,13 +92,13 @@ class Model:
             n = sum(1 for _ in same)
             own = int(CODE[ord(c)])
             if own:
-                options = [((own,) * n, 0.0)] if n < 3 else [((own,), AGAIN), ((own, own), AGAIN)]
+                options = [((own,), 0.0)] if n < 2 else [((own, own), 0.0), ((own,), TWICE)] if n < 3 else [((own,), AGAIN), ((own, own), AGAIN)]
             else:
                 options = [((0,), BREAK)]
                 for letter in LOOKALIKES.get(c, ""):
                     code = int(CODE[ord(letter)])
                     options += [((code,) * k, READ) for k in range(1, min(n, 2) + 1)]
-                if c in ".-_*~ \t" and n == 1:
+                if not c.isalnum():
                     options.append(((), CLOSE))
             out.append(options)
         return out
@@ -123,27 +126,26 @@ class Model:
         return "".join(LETTERS[c - 1] if c else " " for letters in reversed(codes) for c in letters)
 
     def words(self, token: str) -> tuple[str, ...]:
-        """Words of the restored form of a lower-case token."""
+        """Words of the restored form of a lower-case token, or of a run of pieces with one blank between."""
         found = self.memory.get(token)
         if found is None:
-            marked = MARK.search(token) and WORDS.search(token) or sum(c in LOOKALIKES for c in token) > 3
-            found = tuple(WORDS.findall(self.decode(token) if marked else token))
-            if len(self.memory) >= REMEMBERED:
-                self.memory.clear()
-            self.memory[token] = found
+            found = tuple(WORDS.findall(self.decode(token) if " " in token or MARK.search(token) else token))
+            if len(token) <= LONGEST:
+                if len(self.memory) >= REMEMBERED:
+                    self.memory.clear()
+                self.memory[token] = found
         return found
 
     def restore(self, text: str) -> str:
         """The restored text: every token's reading, spaced-out words closed."""
-        text = SPACED.sub(lambda m: self.decode(re.sub(r"\s", " ", m[0])), text.lower())
+        text = SPACED.sub(lambda m: " ".join(self.words(" ".join(m[0].split()))), text.lower())
         return " ".join(" ".join(self.words(t)) for t in text.split())
 
     def tokens(self, text: str) -> set[str]:
-        """Distinct tokens of a text, the closed forms of its spaced-out runs among them."""
+        """Distinct tokens of a text, its spaced-out runs among them, their blanks made one."""
         text = text.lower()
         out = set(text.split())
-        for m in SPACED.finditer(text):
-            out.update(self.decode(re.sub(r"\s", " ", m[0])).split())
+        out.update(" ".join(m[0].split()) for m in SPACED.finditer(text))
         return out
 
     def features(self, text: str) -> set[str]:
@@ -156,9 +158,10 @@ class Model:
             s = known.get(t)
             if s is None:
                 s = max((self.weights.get(f, 0.0) for w in self.words(t) for f in features_of(w)), default=0.0)
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                known[t] = s
+                if len(t) <= LONGEST:
+                    if len(known) >= REMEMBERED:
+                        known.clear()
+                    known[t] = s
             if s > best:
                 best = s
         return best

@@ -327,6 +327,15 @@ def test_deobfuscation():
     assert model.decode(token) == "".join(toxicity.LETTERS[c - 1] if c else " " for letters, _ in best for c in letters)
 
 
+@pytest.mark.parametrize("text", ["id.iot", "i*diot", "id_iot", "i..d..i..o..t", "i,d,i,o,t", "idi/ot", "i!d!i!o!t", "iddiot", "idioott", "1diiot", "i  d  i  o  t",
+                                  "i\nd\ni\no\nt", "i d\tio t", "id io t", "id iot", "idi ot", "1 d 1 0 t", "i. d. i. o. t"])
+def test_every_disguise_is_decoded(text):
+    known = " ".join(["idiot clown moron trash hello there the thing stupid loser foot egg"] * 40)
+    model = toxicity.Model(toxicity.language_model(toxicity.trigrams(known).astype(float)), {"idiot$": 9.0}, 1.0, -4.0)
+    assert model.restore(f"hello {text} there") == "hello idiot there" and model.score(f"hello {text} there") > 0.9
+    assert model.restore("hello foot egg there the loser") == "hello foot egg there the loser"
+
+
 def test_toxicity_and_quality_on_held_out(spark, sf, none, odd):
     wide = sf.replace("sf0.001", "sf0.01")
     labels = spark.read.parquet(f"{wide}/labels.parquet")

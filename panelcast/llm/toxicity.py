@@ -1,7 +1,8 @@
 """Toxicity of restored text: a noisy channel is decoded before the words are scored.
 
-Language model: character trigrams of all documents (lower-case letters, one symbol
-for anything else), counted per task and summed, interpolated with shorter contexts.
+Language model: character trigrams of all documents (lower-case letters, one symbol for
+letters beyond Latin-1, one for anything else), counted per task and summed, interpolated
+with shorter contexts.  In a decoded text letters beyond Latin-1 stand for themselves.
 
 Channel: a letter may have been written as a look-alike digit or sign, repeated, or
 set apart by signs or blanks.  The possible readings of a token form a lattice whose
@@ -45,7 +46,9 @@ LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8":
 
 SIZE = 64
 LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0xDF, 0x100) if chr(c).isalpha())
-CODE = np.zeros(0x110000, np.int64)
+#: The symbol of all other characters that words are made of.
+OTHER = SIZE - 1
+CODE = np.array([OTHER * (chr(c).isalnum() and not chr(c).isdecimal()) for c in range(0x110000)], np.int64)
 CODE[[ord(c) for c in LETTERS]] = np.arange(1, len(LETTERS) + 1)
 #: A token with more than one reading: a look-alike, a letter twice or more, or signs between letters.
 MARK = re.compile(r"[01345789@$!|+€]|([^\W\d_])\1|[^\W\d_][\W_]+[^\W\d_]", re.S)
@@ -106,7 +109,7 @@ class Model:
     def decode(self, token: str) -> str:
         """The best reading of a lower-case token under the language model."""
         states = {(0, 0): (0.0, ())}
-        for options in self.readings(token):
+        for (own, _), options in zip(itertools.groupby(token), self.readings(token), strict=True):
             after: dict = {}
             for (p, q), (score, path) in states.items():
                 for letters, cost in options:
@@ -116,14 +119,14 @@ class Model:
                             total += self.rows[a][b][c]
                             a, b = b, c
                     if (a, b) not in after or after[a, b][0] < total:
-                        after[a, b] = (total, (path, letters))
+                        after[a, b] = (total, (path, letters, own))
             states = after
         _, path = max(((s + (self.rows[a][b][0] if b else 0.0), p) for (a, b), (s, p) in states.items()), key=lambda x: x[0])
-        codes: list[tuple[int, ...]] = []
+        out: list[str] = []
         while path:
-            path, letters = path
-            codes.append(letters)
-        return "".join(LETTERS[c - 1] if c else " " for letters in reversed(codes) for c in letters)
+            path, letters, own = path
+            out.append("".join(own if c == OTHER else LETTERS[c - 1] if c else " " for c in letters))
+        return "".join(reversed(out))
 
     def words(self, token: str) -> tuple[str, ...]:
         """Words of the restored form of a lower-case token, or of a run of pieces with one blank between."""

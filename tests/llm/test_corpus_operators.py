@@ -336,6 +336,13 @@ def test_every_disguise_is_decoded(text):
     assert model.restore("hello foot egg there the loser") == "hello foot egg there the loser"
 
 
+def test_letters_beyond_latin_1_stay():
+    known = " ".join(["idiot clown moron дурак глупец 漢字仮名 œuvre ğüzel"] * 40)
+    model = toxicity.Model(toxicity.language_model(toxicity.trigrams(known).astype(float)), {"дурак$": 9.0}, 1.0, -4.0)
+    assert model.restore("2дурак! 漢字9仮名 œuvre2 ğüzel6 и.д.и.о.т") == "дурак 漢字 仮名 œuvre ğüzel идиот"
+    assert model.score("ты 6дурак6") > 0.9 and model.restore("1d10t 漢2") == "idiot 漢"
+
+
 def test_toxicity_and_quality_on_held_out(spark, sf, none, odd):
     wide = sf.replace("sf0.001", "sf0.01")
     labels = spark.read.parquet(f"{wide}/labels.parquet")

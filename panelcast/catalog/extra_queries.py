@@ -81,6 +81,12 @@ def outcome_table(spark, sf):
     return fx.linelist(spark, sf).where(F.col("age_mois").between(1, 60)).groupBy("health_area", "sexe", "issue").agg(F.count(F.lit(1)).alias("n"))
 
 
+@register(sql("SELECT health_area, sexe, issue, count(*) AS n FROM linelist GROUP BY 1, 2, 3", "linelist"))
+def outcome_table_all_ages(spark, sf):
+    """Every case of the line list; ``outcome_table`` has those of 1 to 60 months."""
+    return fx.linelist(spark, sf).groupBy("health_area", "sexe", "issue").agg(F.count(F.lit(1)).alias("n"))
+
+
 @register(sql("""SELECT CASE WHEN o_totalprice > 400000 THEN 'Urbain' WHEN o_totalprice > 200000 THEN 'semi-urbain' WHEN o_totalprice > 100000 THEN 'RURAL' ELSE '?' END AS label,
     CASE WHEN o_totalprice > 400000 THEN 2.0::DOUBLE WHEN o_totalprice > 200000 THEN 1.0::DOUBLE WHEN o_totalprice > 100000 THEN 0.0::DOUBLE END AS code, count(*) AS n FROM orders GROUP BY 1, 2"""))
 def urban_codes(spark, sf):

@@ -175,3 +175,11 @@ def test_overlaps(spark):
 def test_mean_importance(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 5.0)], "variable string, importance double")
     assert {tuple(r) for r in metrics.mean_importance(df).collect()} == {("a", 2.0), ("b", 5.0)}
+
+
+def test_outcomes_of_every_age(spark, sf):
+    import __spark_entry__ as contract
+    cases = spark.read.parquet(f"{sf}/lineitem.parquet")
+    table = {name: contract.queries()[name](spark, sf).agg(F.sum("n")).first()[0] for name in ("outcome_table", "outcome_table_all_ages")}
+    assert table["outcome_table_all_ages"] == cases.count() > table["outcome_table"] == cases.where("l_quantity <= 20").count()
+    print(table)

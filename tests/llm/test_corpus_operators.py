@@ -397,3 +397,15 @@ def test_pipeline_stages(spark, sf):
     assert ids(kept) == {i for i, c in classes(rows, 5).items() if i == c} and kept.columns == docs.columns
     out = corpus_pipeline.run(spark, sf)
     assert out.count() > 0 and {"doc_id", "ids"} <= set(out.columns)
+
+
+def test_pipeline_encoding_searches_and_decodes(spark, odd, pieces):
+    import corpus_pipeline
+    df, rows = odd
+    out = corpus_pipeline.encode(spark, df, "").collect()
+    assert sorted(r.decoded for r in out) == sorted((r[1] or "").replace("▁", " ") for r in rows)
+    own = {tuple(x[0]): x[1] for x in sentencepiece_nbest.encode_texts([r[1] for r in rows], 4, pieces)}
+    for r in out:
+        best = own[tuple(r.ids)]
+        assert r.nbest == [list(x) for _, x in best] and r.scores == [s for s, _ in best] and r.score == r.scores[0] and r.n_ids == len(r.ids)
+    assert max(len(r.nbest) for r in out) == 4

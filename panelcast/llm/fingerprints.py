@@ -5,8 +5,9 @@ a page-long line is not a single element.  Each paragraph is hashed to a wide ve
 and the vectors are added, so the order does not matter and paragraphs can be added
 to or taken from a stored fingerprint without the rest of the text.  The vector has
 
-* eight words added modulo 2^32 (equality; a chance collision has probability 2^-256,
-  but the hash is not meant to withstand an adversary), and
+* eight words added modulo 2^32, two from each of four passes over the paragraph with
+  different seeds (equality; a chance collision has probability 2^-256, but the hash is
+  not meant to withstand an adversary), and
 * 64 counters modulo 2^32 of hash bits, which with the number of paragraphs are a
   tug-of-war sketch: the squared distance of two sketches estimates how many
   paragraphs differ, whatever they are.
@@ -38,7 +39,7 @@ def sums(piece: str) -> list[Column]:
     counters = [there(F.shiftrightunsigned(h, bit).bitwiseAND(both)) for bit in range(LANES // 2)]  # of a bit and of the one 32 above
     words = []
     for seed in SEEDS:
-        again = F.xxhash64(piece, F.lit(seed))
+        again = F.xxhash64(F.lit(seed), piece)  # the seed first: a pass of its own over the piece
         words += [there(again.bitwiseAND(low)).bitwiseAND(low), there(F.shiftrightunsigned(again, 32)).bitwiseAND(low)]
     return [F.count(piece), *counters, *words]
 

@@ -220,6 +220,14 @@ def test_fingerprints(spark, odd, none):
     assert joined["sum"] == f[1] and joined.less == f[3] and 0.2 < joined.like < 1
 
 
+def test_words_of_a_fingerprint_come_from_passes_of_their_own(spark):
+    """Not from the one hash that the counters come from."""
+    row = spark.createDataFrame([(1, "one paragraph\n")], "doc_id bigint, text string")
+    words = fingerprints.fingerprint(row).first().fingerprint[-64:]
+    passes = row.select(*[F.xxhash64(F.lit(s), "text") for s in fingerprints.SEEDS]).first()
+    assert [int(words[i:i + 8], 16) for i in range(0, 64, 8)] == [x for h in passes for x in (h & 0xFFFFFFFF, (h >> 32) & 0xFFFFFFFF)]
+
+
 def test_token_files(spark, odd, none, tmp_path):
     from tokenizers import Tokenizer
     df, rows = odd

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, fingerprints, minhash, mixing, quality, sentencepiece_nbest, sharding, token_counts, token_files, toxicity
+from . import embedding_dedup, fingerprints, merkle, minhash, mixing, quality, sentencepiece_nbest, sharding, token_counts, token_files, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,6 +96,17 @@ def op10_mixing(spark, sf_dir):
     return rows.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+#: Fields of a document's leaf, in order.
+LEAF = ("doc_id", "source", "lang", "n_chars", "text")
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+@query
+def op11_merkle_manifest(spark, sf_dir):
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    return merkle.verified_leaves(table(spark, sf_dir, "documents"), LEAF, altered={"text": F.translate("text", UPPER, LOWER)}, where=tampered)
+
+
 def register_pipeline() -> None:
     """Add the pipeline of the repository's top folder."""
     import corpus_pipeline

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from . import embedding_dedup, fingerprints, merkle, minhash, mixing, quality, sentencepiece_nbest, sharding, token_counts, token_files, toxicity
 from .common import table
+from .oracles import ORACLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 
 PIECES = "piece_bpe_32k.model"
 WORD_BPE = "word_bpe_49k.json"
@@ -104,7 +104,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 @query
 def op11_merkle_manifest(spark, sf_dir):
     tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
-    return merkle.verified_leaves(table(spark, sf_dir, "documents"), LEAF, altered={"text": F.translate("text", UPPER, LOWER)}, where=tampered)
+    rows = merkle.verified_leaves(table(spark, sf_dir, "documents"), LEAF, altered={"text": F.translate("text", UPPER, LOWER)}, where=tampered)
+    return rows.drop("n_copied")
 
 
 def register_pipeline() -> None:

@@ -50,3 +50,30 @@ folded AS (SELECT doc_id, lang, leaf, h, proof, row_number() OVER (PARTITION BY
 SELECT f.doc_id, f.leaf, s.subroot, t.h AS root, sha256(f.proof) AS proof_sha256, f.h AS folded_root, f.h = t.h AS verified
 FROM folded f JOIN subroots s ON f.lang IS NOT DISTINCT FROM s.lang, upper_tree t WHERE f.last = 1 AND t.n = 1
 """
+
+def _vector_codes(rounds: int = 6) -> str:
+    """Rounds of assignment and floored means, one after another."""
+    steps = ["""WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS place, vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (SELECT place, vec_id, label, p, v[p * (len(v) // 8) + 1:(p + 1) * (len(v) // 8)] AS x FROM kept, range(8) r(p)),
+book0 AS (SELECT p, place - 1 AS e, x AS c FROM parts WHERE place <= 16)"""]
+    for r in range(rounds + 1):
+        steps.append(f"""near{r} AS (
+  SELECT place, p, min((d, e)) AS best FROM (
+    SELECT a.place, a.p, b.e, list_sum(list_transform(list_zip(a.x, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+    FROM parts a JOIN book{r} b ON a.p = b.p) GROUP BY place, p)""")
+        if r < rounds:
+            steps.append(f"""book{r + 1} AS (
+  SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM book{r} b LEFT JOIN (
+    SELECT p, e, list(CAST(floor(s / n) AS BIGINT) ORDER BY i) AS c FROM (
+      SELECT a.p, best[2] AS e, i, sum(a.x[i]) AS s, count(*) AS n FROM near{r} k JOIN parts a ON k.place = a.place AND k.p = a.p, range(1, 65) g(i)
+      WHERE i <= len(a.x) GROUP BY a.p, best[2], i) GROUP BY p, e) m ON b.p = m.p AND b.e = m.e)""")
+    return ",\n".join(steps) + f""",
+digest AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book{rounds}),
+coded AS (SELECT place, string_agg(lower(printf('%02x', CAST(best[2] AS INT))), '' ORDER BY p) AS code, CAST(sum(best[1]) AS BIGINT) AS error FROM near{rounds} GROUP BY place)
+SELECT k.vec_id, c.code, c.error, CAST(sum(c.error) OVER (PARTITION BY k.label) AS BIGINT) AS label_error, d.codebooks_sha256
+FROM coded c JOIN kept k ON c.place = k.place, digest d"""
+
+
+ORACLES["op13_vector_codes"] = _vector_codes()

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, fingerprints, merkle, minhash, mixing, quality, sentencepiece_nbest, sharding, token_counts, token_files, toxicity
+from . import embedding_dedup, fingerprints, merkle, minhash, mixing, quality, sentencepiece_nbest, sharding, token_counts, token_files, toxicity, vector_codes
 from .common import table
 from .oracles import ORACLES
 
@@ -108,6 +108,11 @@ def op11_merkle_manifest(spark, sf_dir):
     return rows.drop("n_copied")
 
 
+@query
+def op13_vector_codes(spark, sf_dir):
+    return vector_codes.coded_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def register_pipeline() -> None:
     """Add the pipeline of the repository's top folder."""
     import corpus_pipeline

@@ -221,7 +221,7 @@ def build(rows: DataFrame, fields: Sequence[str], key: str = "doc_id", group: st
     changed = leaf_digest([(altered or {}).get(f, values[f]) for f in fields])
     leaves = rows.select(F.col(key).alias("id"), F.col(group).cast("string").alias("lang"), leaf_digest(list(values.values())).alias("leaf"),
                          (F.when(where, changed) if where is not None else F.lit(None).cast("string")).alias("altered"))
-    leaves = materialise(_numbered(leaves))
+    leaves = materialise(_numbered(materialise(leaves)))  # texts are hashed once: ranges are sampled from the narrow table
     tiers, built = _climb(leaves)
     groups = tiers[-1].select(F.lit(0).cast("bigint").alias("g"), F.col("g").alias("idx"), "digest")
     groups = groups.withColumn("size", F.lit(groups.count()).cast("bigint"))

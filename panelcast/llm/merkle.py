@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 
 from ..operators.ranking import global_rank
 from ..session import materialise
-from .common import partitions
 
 FANOUT, CLIMB, HEX = 8, 3, 64
 BLOCK = FANOUT ** CLIMB
@@ -167,9 +166,9 @@ class Manifest:
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
-    """Blocks in one piece each, in order."""
+    """Blocks in one piece each, in order; the number of partitions is left to adaptive execution, so small tiers are few files."""
     rows = rows.withColumn("block", F.expr(f"case when idx < 0 then -idx - 1 else idx div {BLOCK} end"))
-    return rows.repartition(partitions(rows.sparkSession), "g", "block").sortWithinPartitions("g", "block", "idx")
+    return rows.repartition("g", "block").sortWithinPartitions("g", "block", "idx")
 
 
 def _climb(nodes: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
@@ -200,7 +199,7 @@ def _descend(tiers: Sequence[DataFrame], paths: DataFrame) -> DataFrame:
 def _numbered(leaves: DataFrame) -> DataFrame:
     """Place of each leaf in its group: range-partitioned on the whole key, so a hot group is split by the keys after it."""
     keys = ["lang", "id", "leaf", "altered", "_tie"]
-    ranges = leaves.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(partitions(leaves.sparkSession), *keys)
+    ranges = leaves.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*keys)
     number = F.monotonically_increasing_id()
     placed = materialise(ranges.sortWithinPartitions(*keys).drop("_tie").withColumn("_at", number.bitwiseAND(F.lit((1 << 33) - 1)))
                          .withColumn("_bucket", F.shiftright(number, 33)))

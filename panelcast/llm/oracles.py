@@ -50,6 +50,19 @@ folded AS (SELECT doc_id, lang, leaf, h, proof, row_number() OVER (PARTITION BY
 SELECT f.doc_id, f.leaf, s.subroot, t.h AS root, sha256(f.proof) AS proof_sha256, f.h AS folded_root, f.h = t.h AS verified
 FROM folded f JOIN subroots s ON f.lang IS NOT DISTINCT FROM s.lang, upper_tree t WHERE f.last = 1 AND t.n = 1
 """
+ORACLES["op12_suffix_dedup"] = """WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+windows AS (SELECT doc_id, i, md5_number(substr(x, 2 * i + 1, 100)) AS w FROM (SELECT doc_id, x, unnest(range(n - 49)) AS i FROM docs WHERE n >= 50)),
+firsts AS (SELECT w, min(doc_id) AS d FROM windows GROUP BY w HAVING count(*) > 1),
+hits AS (SELECT doc_id, i FROM windows JOIN firsts USING (w) WHERE doc_id > d),
+runs AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM (
+  SELECT doc_id, i, sum(CASE WHEN i <= before + 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (
+    SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM hits)) GROUP BY doc_id, run),
+gaps AS (SELECT d.doc_id, string_agg(substr(x, 2 * g.a + 1, 2 * (g.b - g.a)), '' ORDER BY g.a) AS kept FROM docs d JOIN (
+    SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b FROM runs
+    UNION ALL SELECT d.doc_id, coalesce(max(r.b), 0), any_value(d.n) FROM docs d LEFT JOIN runs r ON d.doc_id = r.doc_id GROUP BY d.doc_id) g ON d.doc_id = g.doc_id GROUP BY d.doc_id)
+SELECT d.doc_id, d.n AS n_bytes, CAST(coalesce(r.removed, 0) AS BIGINT) AS n_removed, coalesce(r.spans, 0) AS n_spans, sha256(unhex(g.kept)) AS kept_sha256
+FROM docs d LEFT JOIN (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans FROM runs GROUP BY doc_id) r ON d.doc_id = r.doc_id JOIN gaps g ON d.doc_id = g.doc_id"""
+
 
 def _vector_codes(rounds: int = 6) -> str:
     """Rounds of assignment and floored means, one after another."""

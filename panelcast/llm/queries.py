@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, fingerprints, merkle, minhash, mixing, quality, sentencepiece_nbest, sharding, token_counts, token_files, toxicity, vector_codes
+from . import embedding_dedup, fingerprints, merkle, minhash, mixing, quality, sentencepiece_nbest, sharding, suffix_dedup, token_counts, token_files, toxicity, vector_codes
 from .common import table
 from .oracles import ORACLES
 
@@ -108,6 +108,12 @@ def op11_merkle_manifest(spark, sf_dir):
     return rows.drop("n_copied")
 
 
+@query
+def op12_suffix_dedup(spark, sf_dir):
+    rows = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256")
+
+
 @query
 def op13_vector_codes(spark, sf_dir):
     return vector_codes.coded_vectors(table(spark, sf_dir, "embeddings"))

@@ -57,7 +57,7 @@ def cases():
 def test_equals_brute_force(spark):
     rows = cases()
     assert removed(spark, rows) == brute(rows)
-    assert removed(spark, rows, size=24) == brute(rows, 24)
+    assert removed(spark, rows, size=25) == brute(rows, 25)
 
 
 def test_odd_rows(spark):
@@ -67,34 +67,52 @@ def test_odd_rows(spark):
     assert removed(spark, []) == []
 
 
-def test_long_text_in_pieces(spark, monkeypatch):
-    """Slices far smaller than a text: what the borders cut is found all the same."""
-    monkeypatch.setattr(suffix_dedup, "SLICE", 256)
+@pytest.mark.parametrize("limits", [{}, {"SLICE": 256}, {"CROWD": 1}, {"SLICE": 700, "CROWD": 2, "ARRAY": 100}])
+def test_borders_of_slices_and_crowded_marks(monkeypatch, limits):
+    """Slices far smaller than a text, marks dealt by content, arrays of a few stretches: what they cut is found all the same."""
+    for name, value in limits.items():
+        monkeypatch.setattr(suffix_dedup, name, value)
     rows = cases()
     batch = pa.record_batch([pa.array([r[0] for r in rows]), pa.array([0] * len(rows)), pa.array([r[1].encode() for r in rows], pa.binary())], names=["doc", "part", "bytes"])
-    assert removed_locally(batch) == {(d, a, b) for d, _, _, spans, _ in brute(rows) for a, b in spans}
+    assert removed_locally(batch, 3 if "ARRAY" in limits else 1) == {(d, a, b) for d, _, _, spans, _ in brute(rows) for a, b in spans}
 
 
-def removed_locally(batch):
+def removed_locally(batch, salts):
     """Both steps in this process, the exchanges as plain sorts."""
-    stretches = pa.Table.from_batches(suffix_dedup._stretches(50)(iter([batch]))).sort_by([("mark", "ascending"), ("lost", "descending"), ("content", "ascending"), ("doc", "ascending")])
-    settled = pa.Table.from_batches(suffix_dedup._settled(iter(stretches.to_batches(max_chunksize=7)))).to_pylist()
-    texts = dict(zip(batch.column("doc").to_pylist(), batch.column("bytes").to_pylist(), strict=True))
+    def sent(batches, *keys):
+        return pa.Table.from_batches(batches).sort_by([(k, "ascending") for k in keys]).to_batches(max_chunksize=7)
+
+    settled = pa.Table.from_batches(suffix_dedup._settled(5)(iter(sent(suffix_dedup._stretches(50, 5)(iter([batch])), "bucket")))).to_pylist()
     open_rows = {}
     for r in settled:
-        if r["open"]:
-            open_rows.setdefault(r["doc"], []).append({"pos": r["pos"], "len": r["len"]})
-    keys = list(open_rows)
-    joined = pa.record_batch([pa.array(keys), pa.array([0] * len(keys)), pa.array([texts[k] for k in keys], pa.binary()), pa.array([open_rows[k] for k in keys])], names=["doc", "part", "bytes", "open"])
-    windows = pa.Table.from_batches(suffix_dedup._suffixes(50)(iter([joined]))).to_pylist()
+        if r["mark"] is not None:
+            open_rows.setdefault(r["doc"], []).append({"pos": r["pos"], "len": r["len"], "mark": r["mark"], "salts": salts})
+    texts = pa.Table.from_batches(suffix_dedup._squeezed(iter([batch]))).to_pylist()
+    joined = pa.Table.from_pylist([t | {"open": open_rows[t["doc"]]} for t in texts if t["doc"] in open_rows])
+    found = pa.Table.from_batches(suffix_dedup._factored(50)(iter(sent(suffix_dedup._cut(iter(joined.to_batches())), "mark", "salt")))).to_pylist()
     first = {}
-    for r in windows:
-        if not r["lost"]:
+    for r in found:
+        if r["window"] is not None:
             first[r["window"]] = min(r["doc"], first.get(r["window"], r["doc"]))
     spans = {}
-    for r in [r for r in settled if not r["open"]] + [r for r in windows if r["lost"] or r["doc"] > first[r["window"]]]:
+    for r in [r for r in settled if r["mark"] is None] + [r for r in found if r["window"] is None or r["doc"] > first[r["window"]]]:
         spans.setdefault(r["doc"], []).append(r)
-    return {(d, a, b) for d, s in spans.items() for a, b in suffix_dedup.without(texts[d], s)[1]}
+    data = dict(zip(batch.column("doc").to_pylist(), batch.column("bytes").to_pylist(), strict=True))
+    return {(d, a, b) for d, s in spans.items() for a, b in suffix_dedup.without(data[d], s)[1]}
+
+
+def test_marks_in_several_arrays(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "ARRAY", 300)
+    rows = cases()
+    assert removed(spark, rows) == brute(rows)
+
+
+def test_packed_columns():
+    rng = np.random.default_rng(1)
+    mark = np.sort(rng.integers(0, 1 << 48, 50).astype(np.uint64))
+    columns = [mark, rng.integers(0, 1 << 48, 50).astype(np.uint64), rng.integers(-(1 << 62), 1 << 62, 50), rng.integers(-(1 << 63), 1 << 62, 50), rng.integers(0, 1 << 40, 50), rng.integers(0, 1 << 31, 50)]
+    back = suffix_dedup.unpacked(memoryview(suffix_dedup.packed(*columns)), 50, int(columns[2].min()))
+    assert all((a == b).all() for a, b in zip(columns, back, strict=True))
 
 
 def test_very_long_text(spark):

@@ -3,7 +3,7 @@
 A window (a string of ``size`` bytes) is removed if it also starts in a document with a
 smaller key.  Equal windows have the same smallest hash among the grams inside them, so
 this hash, the window's mark, decides which windows have to meet.  Consecutive windows
-with one mark form a stretch, one for about sixteen bytes.
+with one mark form a stretch, one for about fourteen bytes.
 
 1.  Stretches with equal bytes are reduced to the smallest key, first among the texts that
     a task holds at a time, then across tasks in buckets of marks.  Stretches of later
@@ -56,7 +56,7 @@ def gram_of(size: int) -> int:
     """Bytes of the grams that mark windows of this size."""
     if size < 25:
         raise ValueError("windows of fewer than 25 bytes are not supported")
-    return size // 3
+    return 12 * size // 25
 
 
 def _words(text: np.ndarray, kind: str) -> np.ndarray:

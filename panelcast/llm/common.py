@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +24,22 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of text that a task works on at a time.
+TEXT = 2_000_000
+
+
+def sliced(batches: Iterator[pa.RecordBatch], text: str, rows: int, room: int = TEXT) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``rows`` rows and about ``room`` bytes of text; a longer text is a slice of its own."""
+    for batch in batches:
+        size = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0)).astype(np.int64)
+        at = 0
+        while at < len(batch):
+            total = np.cumsum(size[at:at + rows])
+            many = max(1, int(np.searchsorted(total, room, side="right")))
+            yield batch.slice(at, many)
+            at += many
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): the smallest id that each end of an edge can reach.
 

@@ -133,8 +133,54 @@ class Trie:
     end: np.ndarray  # node of each word
 
 
+#: Words of more characters are chains of their own: they have nothing to share that would pay for a step of arrays per character.
+LONG = 400
+
+
+def chain(word: str, vocabulary: Vocabulary) -> tuple[list, ...]:
+    """(score, gap, tokens, arc, piece) of every prefix of one word."""
+    index, scores, longest, lone = vocabulary.index, vocabulary.scores.tolist(), vocabulary.longest, vocabulary.unknown_score
+    score, gap, tokens, arc, piece = [0.0], [], [0], [], []
+    infinite = float("inf")
+    for stop in range(1, len(word) + 1):
+        best, second, size_, piece_ = -infinite, -infinite, 1, -1
+        for size in range(1, min(stop, longest) + 1):
+            found = index.get(word[stop - size:stop])
+            if found is None and size > 1:
+                continue
+            value = score[stop - size] + (lone if found is None else scores[found])
+            if value > best:
+                best, second, size_, piece_ = value, best, size, -1 if found is None else found
+            elif value > second:
+                second = value
+        score.append(best)
+        gap.append(best - second)
+        arc.append(size_)
+        piece.append(piece_)
+        tokens.append(tokens[stop - size_] + (1 if piece_ >= 0 else len(word[stop - 1].encode("utf-8", "surrogatepass"))))
+    return score[1:], gap, tokens[1:], arc, piece
+
+
 def forward(words: list[str], vocabulary: Vocabulary) -> Trie:
-    """Insert distinct words into a trie and compute every node's best forward score once."""
+    """Insert distinct words into a trie and compute every node's best forward score once; very long words hang from the root as chains."""
+    long = [i for i, w in enumerate(words) if len(w) > LONG]
+    if not long:
+        return _shared(words, vocabulary)
+    short = [i for i, w in enumerate(words) if len(w) <= LONG]
+    trie = _shared([words[i] for i in short], vocabulary)
+    parts, end, used = [trie], np.zeros(len(words), np.int64), len(trie.parent)
+    end[short] = trie.end
+    for i in long:
+        score, gap, tokens, arc, piece = chain(words[i], vocabulary)
+        above = np.arange(used - 1, used - 1 + len(score))
+        above[0] = 0
+        parts.append(Trie(above, np.array(score), np.array(gap), np.array(tokens, np.int64), np.array(arc, np.int32), np.array(piece, np.int32), np.zeros(0, np.int64)))
+        used += len(score)
+        end[i] = used - 1
+    return Trie(*(np.concatenate([getattr(p, f) for p in parts]) for f in ("parent", "score", "gap", "tokens", "arc", "piece")), end)
+
+
+def _shared(words: list[str], vocabulary: Vocabulary) -> Trie:
     order = sorted(range(len(words)), key=words.__getitem__)
     flat = np.frombuffer("".join([words[i] for i in order]).encode("utf-32-le", "surrogatepass"), np.uint32)
     lengths = np.fromiter((len(words[i]) for i in order), np.int64, len(order))

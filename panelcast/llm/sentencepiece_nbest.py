@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import lattice
+from .common import sliced
 from .lattice import BLANK, Vocabulary
 from .token_counts import PER_TRIE, SLICE
 
@@ -54,6 +55,7 @@ def n_best(text: str, n: int, vocabulary: Vocabulary, ahead: list[float] | None
     """
     ahead = viterbi(text, vocabulary) if ahead is None else ahead
     heap, found, turn = [(-ahead[-1], 0, len(text), 0.0, None)], [], 0
+    least = [ahead[-1]]  # heap of the n best scores among the paths seen: every entry stands for one complete path
     while heap and len(found) < n:
         total, _, at, behind, path = heapq.heappop(heap)
         if at == 0:
@@ -63,9 +65,15 @@ def n_best(text: str, n: int, vocabulary: Vocabulary, ahead: list[float] | None
                 ids += vocabulary.spelled(piece, text[start:stop])
             found.append((-total, tuple(ids)))
             continue
-        for start, piece, score in arcs_into(text, at, vocabulary):
+        steps = [(behind + score + ahead[start], start, piece, score) for start, piece, score in arcs_into(text, at, vocabulary)]
+        followed = max(s[0] for s in steps)  # goes on with the path that led here; the other arcs are new paths
+        for value, start, piece, score in steps:
+            if value < followed:
+                if len(least) == n and value < least[0] - 1e-6:
+                    continue  # n paths are better
+                (heapq.heappush if len(least) < n else heapq.heappushpop)(least, value)
             turn -= 1
-            heapq.heappush(heap, (-(behind + score + ahead[start]), turn, start, behind + score, (piece, start, at, path)))
+            heapq.heappush(heap, (-value, turn, start, behind + score, (piece, start, at, path)))
     return found
 
 
@@ -201,27 +209,36 @@ def decoder(vocabulary: Vocabulary) -> list[bytes]:
     return vocabulary.spell
 
 
-def encode(docs: DataFrame, model: str, n: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, ids, scores, nbest): ids of the best segmentation, scores and ids of the n best.
+def _lists(parts: list[np.ndarray], kind, of=None) -> pa.ListArray:
+    """A list column from one array per row, through flat buffers."""
+    stops = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    values = of if of is not None else pa.array(np.concatenate([*parts, np.zeros(0, kind)]).astype(kind))
+    return pa.ListArray.from_arrays(pa.array(stops), values)
+
+
+def encode(docs: DataFrame, model: str, n: int = 4, key: str = "doc_id", text: str = "text", decoded: str | None = None) -> DataFrame:
+    """(key, ids, scores, nbest): ids of the best segmentation, scores and ids of the n best; with ``decoded`` also the text of the best ids.
 
     A text with fewer segmentations has fewer.  Null and empty texts have no ids and
     one segmentation, the empty one, of score 0.  One row per input row, null keys and
     repeated rows included; other columns are not looked at; no rows give no rows.
+    A task holds slices of so many characters at a time, whatever the length of a text.
     """
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = dict(rows.dtypes)["key"]
+    names = [key, "ids", "scores", "nbest", *([decoded] if decoded else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = lattice.load(model)
-        for batch in batches:
-            for i in range(0, len(batch), SLICE):
-                part = batch.slice(i, SLICE)
-                found = encode_texts(part.column("text").to_pylist(), n, vocabulary)
-                ids = pa.array([x[0] for x in found], pa.list_(pa.int32()))
-                scores = pa.array([[s for s, _ in x[1]] for x in found], pa.list_(pa.float64()))
-                best = pa.array([[y for _, y in x[1]] for x in found], pa.list_(pa.list_(pa.int32())))
-                yield pa.record_batch([part.column("key"), ids, scores, best], names=[key, "ids", "scores", "nbest"])
-    return rows.mapInArrow(run, f"`{key}` {kind}, ids array<int>, scores array<double>, nbest array<array<int>>")
+        for part in sliced(batches, "text", SLICE):
+            found = encode_texts(part.column("text").to_pylist(), n, vocabulary)
+            best = [ids for _, x in found for _, ids in x]
+            columns = [part.column("key"), _lists([x[0] for x in found], np.int32), _lists([np.array([s for s, _ in x[1]]) for x in found], np.float64),
+                       _lists([x[1] for x in found], None, _lists(best, np.int32))]
+            if decoded:
+                columns.append(pa.array([decode_ids(x[0], vocabulary) for x in found], pa.string()))
+            yield pa.record_batch(columns, names=names)
+    return rows.mapInArrow(run, f"`{key}` {kind}, ids array<int>, scores array<double>, nbest array<array<int>>" + (f", `{decoded}` string" if decoded else ""))
 
 
 def decode(rows: DataFrame, model: str, ids: str = "ids", name: str = "decoded") -> DataFrame:
@@ -246,7 +263,7 @@ def digests(docs: DataFrame, model: str, n: int = 4, key: str = "doc_id", text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = lattice.load(model)
         crc = lambda x: zlib.crc32(np.asarray(x, "<u4").tobytes())
-        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, len(b), SLICE)):
+        for batch in sliced(batches, "text", SLICE):
             texts = batch.column("text").to_pylist()
             found = encode_texts(texts, n, vocabulary)
             same = [decode_ids(ids, vocabulary) == (t or "") for (ids, _), t in zip(found, texts, strict=True)]

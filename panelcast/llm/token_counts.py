@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import lattice
+from .common import sliced
 
 #: Distinct pre-tokens put into one trie; more are dealt with in several tries.
 PER_TRIE = 100_000
@@ -53,7 +54,7 @@ def token_counts(docs: DataFrame, model: str, key: str = "doc_id", text: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = lattice.load(model)
-        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, len(b), SLICE)):
+        for batch in sliced(batches, "text", SLICE):
             found = count_texts(batch.column("text").to_pylist(), vocabulary)
             pre, tokens, score = zip(*found, strict=True) if found else ((), (), ())
             yield pa.record_batch([batch.column("key"), pa.array(pre, pa.int64()), pa.array(tokens, pa.int64()), pa.array(score, pa.float64())],

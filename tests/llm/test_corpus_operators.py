@@ -417,3 +417,38 @@ def test_pipeline_encoding_searches_and_decodes(spark, odd, pieces):
         best = own[tuple(r.ids)]
         assert r.nbest == [list(x) for _, x in best] and r.scores == [s for s, _ in best] and r.score == r.scores[0] and r.n_ids == len(r.ids)
     assert max(len(r.nbest) for r in out) == 4
+
+
+def test_very_long_texts_and_words(spark):
+    """A text of five megabytes and a word of one without blanks end, in bounded slices, and decode back."""
+    rng = np.random.default_rng(5)
+    word = "".join(rng.choice(list("etaoinshrdlu"), 1_000_000))
+    rows = [(1, lorem(1_000_000, 2)), (2, word), (3, "short"), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = {r.doc_id: r for r in sentencepiece_nbest.encode(df, PIECES, n=4, decoded="decoded").collect()}
+    assert all(out[i].decoded == (t or "") and len(out[i].nbest) == len(out[i].scores) <= 4 for i, t in rows)
+    assert all(list(r.scores) == sorted(r.scores, reverse=True) and (not r.ids or r.ids == r.nbest[0]) for r in out.values())
+    counts = {r.doc_id: r.n_tokens for r in token_counts.token_counts(df, PIECES).collect()}
+    assert counts == {i: len(r.ids) for i, r in out.items()}
+
+
+def test_chains_equal_the_trie():
+    vocabulary = lattice.load(PIECES)
+    words = ["▁" + lorem(1, i) * 30 + "é漢" for i in range(5)]
+    trie = lattice._shared(words, vocabulary)
+    for i, word in enumerate(words):
+        node, path = trie.end[i], []
+        while node > 0:
+            path.append(node)
+            node = trie.parent[node]
+        for mine, theirs in zip(lattice.chain(word, vocabulary), (trie.score, trie.gap, trie.tokens, trie.arc, trie.piece), strict=True):
+            assert np.allclose(mine, theirs[path[::-1]], atol=1e-9)
+
+
+def test_slices_by_bytes():
+    import pyarrow as pa
+
+    from panelcast.llm.common import sliced
+    batch = pa.record_batch([pa.array(["a" * 10, None, "b" * 50, "c", "d", "e" * 30, ""])], names=["text"])
+    assert [len(s) for s in sliced(iter([batch]), "text", 3, 40)] == [2, 1, 3, 1]
+    assert [len(s) for s in sliced(iter([batch]), "text", 100, 1000)] == [7]

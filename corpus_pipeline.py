@@ -47,7 +47,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of the best segmentation, scores and ids of the four best, and the text that the ids decode to."""
     model = public_tokenizers.path(queries.PIECES)
-    rows = sentencepiece_nbest.decode(sentencepiece_nbest.encode(docs, model, n=4), model)
+    rows = sentencepiece_nbest.encode(docs, model, n=4, decoded="decoded")
     return rows.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), "ids", F.element_at("scores", 1).alias("score"), "scores", "nbest", "decoded")
 
 

@@ -34,10 +34,10 @@ MIN_RESIDUALS = 20
 # ---------------------------------------------------------------------------
 # imputation and fit
 # ---------------------------------------------------------------------------
-def median_imputer(train: DataFrame, columns: Sequence[str], n_rows: int | None = None) -> dict[str, float]:
+def median_imputer(train: DataFrame, columns: Sequence[str], written: bool = False) -> dict[str, float]:
     """Exact training median per column; a column without values gives 0."""
     cleaned = train.select(*[finite(c).alias(c) for c in columns])
-    found = exact_quantiles(cleaned, columns, [0.5], n_rows)
+    found = exact_quantiles(cleaned, columns, [0.5], written)
     return {c: found[c][0] if found[c][0] is not None else 0.0 for c in columns}
 
 
@@ -100,7 +100,7 @@ def fit_matrix(matrix: DataFrame, columns: Sequence[str], model_factory: Callabl
     n = matrix.count()
     if n < 10:
         raise ValueError(f"training is impossible: {n} usable rows")
-    medians = median_imputer(matrix, columns, n)
+    medians = median_imputer(matrix, columns, written=True)
     label = F.col("cases").cast("double")
     data = assemble(matrix, medians).withColumn("label", F.log1p(label) if log_target else label)
     estimator = model_factory()
@@ -209,7 +209,7 @@ def exogenous_rows(panel: DataFrame, origins: Sequence[int], horizons: int, buil
         static = ft.add_static_features(panel.select("health_area", "year", "week_", "week_index", "cases"), builder.static_df)
         edge = ft.with_population_coefficient(static, builder.parity).where(F.col("week_index").isin([int(o) for o in origins]))
         wide = materialise(edge.select(*[F.when(F.col("week_index") == int(o), F.col("coef_population")).alias(f"o{o}") for o in origins]))
-        medians = exact_quantiles(wide, [f"o{o}" for o in origins], [0.5], wide.count())
+        medians = exact_quantiles(wide, [f"o{o}" for o in origins], [0.5], written=True)
         coef = F.lit(None).cast("double")
         for o in origins:
             coef = F.when(F.col("origin") == int(o), F.lit(medians[f"o{o}"][0])).otherwise(coef)
@@ -325,7 +325,7 @@ def predict_quantiles(fitted: Fitted, forecast: DataFrame, levels: Sequence[floa
     steps = F.lit(1.0) + F.lit(horizon_penalty) * (F.col("horizon") - 1)
     widths: dict[float, Column] = {}
     if n >= MIN_RESIDUALS:
-        values = exact_quantiles(residuals, ["residual"], list(levels), n)["residual"]
+        values = exact_quantiles(residuals, ["residual"], list(levels))["residual"]
         widths = {level: F.lit(v) * steps for level, v in zip(levels, values)}
     else:
         sigma = (residuals.agg(F.stddev_pop("residual")).first()[0] or 0.0) if n > 1 else 1.0

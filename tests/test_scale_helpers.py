@@ -36,9 +36,8 @@ def test_exact_quantiles(spark, shape):
     probs = [0.0, 0.1, 0.5, 0.75, 0.9, 1.0]
     got = quantiles.exact_quantiles(df, ["v", "e"], probs)
     assert np.allclose(got["v"], np.nanquantile(values, probs)) and got["e"] == [None] * 6
-    assert quantiles.exact_quantiles(df, ["v"], probs, n_rows=len(values))["v"] == pytest.approx(got["v"])
-    assert quantiles.exact_quantile(df, "v", 0.9, discrete=True) == pytest.approx(got["v"][4])
-    assert quantiles.exact_quantile(df, "e", 0.9, discrete=True) is None
+    assert quantiles.exact_quantile(df, "v", 0.9) == pytest.approx(got["v"][4])
+    assert quantiles.exact_quantile(df, "e", 0.9) is None
 
 
 def test_neighbours_against_brute_force(spark, monkeypatch):
@@ -159,3 +158,29 @@ def test_fingerprint_depends_on_the_names_alone(spark):
     whole = matching.layer_fingerprint(layer).first()[0]
     assert len(whole) == 12 and whole == matching.layer_fingerprint(layer.orderBy(F.desc("health_area")).unionByName(layer)).first()[0]
     assert whole != matching.layer_fingerprint(layer.where("health_area != 'a7'")).first()[0]
+
+
+def test_quantiles_of_growing_sets(spark, monkeypatch):
+    """Segments and their unions in the same passes, with few bits a pass; ties, both zeros, infinities, nulls."""
+    monkeypatch.setattr(quantiles, "FEW", 8)
+    monkeypatch.setattr(quantiles, "CELLS", 4096)
+    rng = np.random.default_rng(6)
+    rows = [(int(rng.integers(0, 4)), float(v), float(rng.integers(0, 3)), None) for v in rng.standard_cauchy(3000)]
+    rows += [(0, 0.0, -0.0, None), (1, float("inf"), 0.0, None), (2, float("-inf"), 1.0, None), (3, float("nan"), None, None), (None, 7.0, 7.0, None)]
+    df = spark.createDataFrame(rows, "s int, a double, b double, e double").repartition(5)
+    sets = {"first": [0], "two": [0, 1], "all": [0, 1, 2, 3], "none": []}
+    got = quantiles.quantiles_of_sets(df, ["a", "b", "e"], [0.1, 0.5, 0.999], sets, F.col("s"))
+    for name, members in sets.items():
+        for i, c in enumerate("abe"):
+            values = [r[1 + i] for r in rows if r[0] in members and r[1 + i] is not None and not np.isnan(r[1 + i])]
+            want = np.quantile(values, [0.1, 0.5, 0.999]).tolist() if values else [None] * 3
+            assert got[name][c] == (pytest.approx(want) if values else want)
+
+
+def test_quantiles_of_many_distinct_values(spark, monkeypatch):
+    """Two million distinct values and a column that holds one value in a third of its rows: no pass gathers more than its table of counts."""
+    df = spark.range(2_000_000, numPartitions=8).select((F.xxhash64("id") / 1e6).alias("v"), F.when(F.col("id") % 3 == 0, 5.0).otherwise(F.col("id") / 7).alias("w"))
+    pdf = df.toPandas()
+    got = quantiles.exact_quantiles(df, ["v", "w"], [0.0, 0.25, 0.5, 1.0])
+    for c in "vw":
+        assert got[c] == pytest.approx(np.quantile(pdf[c], [0.0, 0.25, 0.5, 1.0]).tolist(), rel=1e-12)

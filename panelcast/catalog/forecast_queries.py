@@ -96,16 +96,15 @@ def backtest_model(spark, sf):
 @register()
 def ablation_study(spark, sf):
     panel = materialise(fx.panel(spark, sf))
-    return rounded(validation.ablations(panel, design(spark, sf, with_climate=False), RIDGE, horizons=(1, 4), n_origins=3, min_train_weeks=TRAIN_WEEKS))
+    return rounded(validation.ablations(panel, design(spark, sf), RIDGE, horizons=(1, 4), min_train_weeks=TRAIN_WEEKS))
 
 
 @register()
 def objective_study(spark, sf):
     panel = materialise(fx.panel(spark, sf))
     return rounded(validation.objectives(
-        panel, ft.DesignBuilder(static_df=fx.static_population(spark, sf)),
-        lambda objective: ModelFactory("XGBoost", "poisson") if objective == "poisson" else RIDGE,
-        n_origins=3, min_train_weeks=TRAIN_WEEKS))
+        panel, design(spark, sf), lambda objective: ModelFactory("XGBoost", "poisson") if objective == "poisson" else RIDGE,
+        min_train_weeks=TRAIN_WEEKS))
 
 
 @register()

@@ -450,6 +450,15 @@ class DesignBuilder:
     def __call__(self, panel: DataFrame) -> tuple[DataFrame, list[str]]:
         return build_design_matrix(panel, **self.__dict__)
 
+    def makes(self, column: str) -> bool:
+        """Whether a feature of a fuller builder is one of this builder too."""
+        group = group_of(column)
+        if column.startswith(("cases_lag_", "cases_ma_")):
+            return int(column.rsplit("_", 1)[1]) in (self.lags if "_lag_" in column else self.windows)
+        source = {"temporal": True, "seasonal": True, "climate": self.climate_df is not None,
+                  "spatial": (self.neighbour_weights if column.startswith("spatial_lag") else self.clusters) is not None}
+        return source.get(group, self.static_df is not None or self.geometry is not None) and (not group or group in self.groups)
+
     def prepared(self) -> DesignBuilder:
         """The same builder with its side tables written once (neighbours, weekly climate, ...)."""
         tables = {k: materialise(v) for k, v in self.__dict__.items() if isinstance(v, DataFrame)}

@@ -1,6 +1,6 @@
 """Fit, recursive forecast, intervals and importance.
 
-The forecast carries one bounded row per area (its last 80 values) instead of
+The forecast carries one bounded row per area (as many values as its features need) instead of
 rebuilding the panel at every step, and several rolling origins advance together:
 a step is one Spark job for all origins and areas.
 """

@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import finite
 from ..operators import baselines as bl
 from ..operators import features as ft
 from ..operators import metrics
 from ..session import materialise
-from .forecast import Fitted, fit_matrix, forecast_origins, training_rows
+from .forecast import Fitted, fit_matrix, forecast_origins, score_origins, training_rows
+from .linear import Sums, by_membership, growing, solvable, training_sums
 
 PARALLELISM = 8
 
@@ -40,9 +43,22 @@ def blocked_predictions(matrix: DataFrame, columns: Sequence[str], folds: DataFr
                         parallelism: int = PARALLELISM, **fit_options) -> DataFrame:
     """Test predictions of every fold: ``fold, health_area, week_index, observed, predicted``.
 
-    ``folds``: ``fold, role`` keyed by the columns it shares with the matrix.
+    ``folds``: ``fold, role`` keyed by the columns it shares with the matrix.  Least
+    squares of all folds come from one set of moments and all test rows are scored at
+    once; other models are fitted side by side.
     """
     keys = [c for c in folds.columns if c not in ("fold", "role")]
+    if (penalty := solvable(model_factory)) and not set(fit_options) - {"log_target"}:
+        marked, sets = by_membership(matrix, folds, keys)
+        marked = materialise(marked)
+        sums = training_sums(marked, columns, sets, F.col("_segment"))
+        target = "log" if fit_options.get("log_target") else "cases"
+        fits = {fold: sums.fit(fold, columns, penalty, target) for fold in sets}
+        test = matrix.join(folds.where("role = 'test'").select("fold", *keys), keys)
+        values = F.transform(F.array(*[F.col(c).cast("double") for c in columns]), finite)
+        rows = test.select(F.col("fold").cast("int").alias("origin"), "health_area", "week_index", "cases", values.alias("values"))
+        return score_origins(fits, rows, list(columns)).select(F.col("origin").alias("fold"), "health_area", "week_index",
+                                                               F.col("cases").alias("observed"), F.col("predicted_cases").alias("predicted"))
     numbers = sorted(r[0] for r in folds.select("fold").distinct().collect())
 
     def one(fold: int) -> Callable[[], DataFrame]:
@@ -102,18 +118,44 @@ def row_order_validation(panel: DataFrame, model_factory: Callable, n_splits: in
 # ---------------------------------------------------------------------------
 # rolling origins
 # ---------------------------------------------------------------------------
+@dataclass(frozen=True)
+class Shared:
+    """One matrix with all features, its sums, and the columns that are usable up to each origin."""
+
+    origins: list[int]
+    matrix: DataFrame
+    usable: dict[int, list[str]]
+    sums: Sums
+
+    @classmethod
+    def build(cls, panel: DataFrame, builder: ft.DesignBuilder, horizons: Sequence[int], n_origins: int, min_train_weeks: int) -> Shared:
+        origins = bl.backtest_origins(panel, horizons, n_origins, min_train_weeks)
+        matrix, columns = design_once(panel, builder)
+        return cls(origins, matrix, ft.usable_columns_by_origin(matrix, columns, origins), training_sums(matrix, columns, *growing(origins)))
+
+    def columns_of(self, origin: int, builder: ft.DesignBuilder) -> list[str]:
+        """The usable columns that a builder with fewer sources, lags or windows still makes."""
+        return [c for c in self.usable[origin] if builder.makes(c)]
+
+
 def backtest_forecasts(panel: DataFrame, design_builder: ft.DesignBuilder, model_factory: Callable,
                        horizons: Sequence[int] = (1, 2, 4, 8), n_origins: int = 12, min_train_weeks: int = 52,
                        feature_cols: Sequence[str] | None = None, objective: str = "squared_error", log_target: bool = False,
-                       with_baselines: bool = True, parallelism: int = PARALLELISM, name: str | None = None) -> DataFrame:
+                       with_baselines: bool = True, parallelism: int = PARALLELISM, name: str | None = None,
+                       shared: Shared | None = None) -> DataFrame:
     """(modele, type, origin, horizon, health_area, y, predicted) of the model and the baselines.
 
-    The matrix is built once; origins are fitted in parallel and then advance together.
+    The matrix is built once.  Least squares of all origins come from one set of moments,
+    other models are fitted side by side; then all origins advance together.  ``shared``
+    holds a matrix and sums that several configurations have in common.
     """
-    panel = materialise(panel)
-    origins = bl.backtest_origins(panel, horizons, n_origins, min_train_weeks)
-    matrix, columns = design_once(panel, design_builder, feature_cols)
-    usable = {o: columns for o in origins} if feature_cols is not None else ft.usable_columns_by_origin(matrix, columns, origins)
+    panel = materialise(panel) if shared is None else panel
+    origins = bl.backtest_origins(panel, horizons, n_origins, min_train_weeks) if shared is None else shared.origins
+    if shared is None:
+        matrix, columns = design_once(panel, design_builder, feature_cols)
+        usable = {o: columns for o in origins} if feature_cols is not None else ft.usable_columns_by_origin(matrix, columns, origins)
+    else:
+        matrix, usable = shared.matrix, {o: shared.columns_of(o, design_builder) for o in origins}
 
     def one(origin: int) -> Callable[[], Fitted]:
         def run() -> Fitted:
@@ -121,7 +163,11 @@ def backtest_forecasts(panel: DataFrame, design_builder: ft.DesignBuilder, model
                               objective, log_target, diagnostics=False)
         return run
 
-    fits = dict(zip(origins, _in_parallel(panel.sparkSession, [one(o) for o in origins], parallelism)))
+    if (penalty := solvable(model_factory)) and objective == "squared_error":
+        sums = shared.sums if shared else training_sums(matrix, columns, *growing(origins))
+        fits = {o: sums.fit(o, usable[o], penalty, "log" if log_target else "cases") for o in origins}
+    else:
+        fits = dict(zip(origins, _in_parallel(panel.sparkSession, [one(o) for o in origins], parallelism)))
     forecasts = forecast_origins(fits, panel, int(max(horizons)), design_builder)
     truth = bl.origin_truth(panel, origins, horizons)
     label = name or getattr(model_factory, "name", next(iter(fits.values())).model_name)
@@ -134,10 +180,10 @@ def backtest_forecasts(panel: DataFrame, design_builder: ft.DesignBuilder, model
 def backtest(panel: DataFrame, design_builder: ft.DesignBuilder, model_factory: Callable,
              horizons: Sequence[int] = (1, 2, 4, 8), n_origins: int = 12, min_train_weeks: int = 52,
              feature_cols: Sequence[str] | None = None, objective: str = "squared_error", log_target: bool = False,
-             with_baselines: bool = True, name: str | None = None) -> DataFrame:
+             with_baselines: bool = True, name: str | None = None, shared: Shared | None = None) -> DataFrame:
     """Mean and pooled measures per (modele, horizon) with the skill against the best baseline."""
     rows = backtest_forecasts(panel, design_builder, model_factory, horizons, n_origins, min_train_weeks, feature_cols,
-                              objective, log_target, with_baselines, name=name)
+                              objective, log_target, with_baselines, name=name, shared=shared)
     return bl.summarise_backtest(materialise(rows))
 
 
@@ -146,14 +192,22 @@ def backtest(panel: DataFrame, design_builder: ft.DesignBuilder, model_factory:
 # ---------------------------------------------------------------------------
 def compare(panel: DataFrame, configs: Mapping[str, Mapping], **options) -> DataFrame:
     """Backtest every configuration (``design_builder``, ``model_factory``, ...) and stack the results."""
-    parts = [backtest(panel, **{**options, **config}).withColumn("config", F.lit(label)) for label, config in configs.items()]
+    parts = _in_parallel(panel.sparkSession, [lambda label=label, config=config: backtest(panel, **{**options, **config}).withColumn("config", F.lit(label))
+                                              for label, config in configs.items()])
     return reduce(DataFrame.unionByName, parts)
 
 
 def ablations(panel: DataFrame, builder: ft.DesignBuilder, model_factory: Callable, horizons: Sequence[int] = (1, 4),
               **options) -> DataFrame:
-    """Full features against no static covariates, no spatial lag and short lags only."""
+    """Full features against no static covariates, no spatial lag and short lags only.
+
+    The features of the smaller builders are columns of the full matrix, so least
+    squares of all configurations and origins come from the moments of one matrix.
+    """
     given = builder.__dict__
+    panel = materialise(panel)
+    if solvable(model_factory) and options.get("objective", "squared_error") == "squared_error":
+        options["shared"] = Shared.build(panel, builder, horizons, options.get("n_origins", 12), options.get("min_train_weeks", 52))
     configs = {
         "complet": builder,
         "sans covariables statiques": ft.DesignBuilder(**{**given, "static_df": None, "geometry": None}),
@@ -166,7 +220,9 @@ def ablations(panel: DataFrame, builder: ft.DesignBuilder, model_factory: Callab
 
 def objectives(panel: DataFrame, builder: ft.DesignBuilder, factory_for: Callable[[str], Callable],
                horizons: Sequence[int] = (1, 4), **options) -> DataFrame:
-    """Squared error, Poisson and log1p target on the same origins."""
+    """Squared error, Poisson and log1p target on the same origins, matrix and moments."""
+    panel = materialise(panel)
+    options["shared"] = Shared.build(panel, builder, horizons, options.get("n_origins", 12), options.get("min_train_weeks", 52))
     configs = {"squared_error": {}, "poisson": {"objective": "poisson"}, "log1p": {"log_target": True}}
     return compare(panel, {k: {"design_builder": builder, "model_factory": factory_for(c.get("objective", "squared_error")), **c}
                            for k, c in configs.items()}, horizons=horizons, with_baselines=False, **options)

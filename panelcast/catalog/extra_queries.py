@@ -76,14 +76,17 @@ def onset_from_week(spark, sf):
     return weeks.select("year", "week_", iso.onset_from_week("year", "week_", 52).alias("onset"), "n")
 
 
-@register(sql("""SELECT health_area, sexe, issue, count(*) AS n FROM linelist WHERE age_mois BETWEEN 1 AND 60 GROUP BY 1, 2, 3""", "linelist"))
+@register(sql("""SELECT health_area, sexe, issue, CASE WHEN age_mois BETWEEN 1 AND 60 THEN '1-60' WHEN age_mois > 60 THEN '61+' ELSE '?' END AS age_class, count(*) AS n
+    FROM linelist GROUP BY 1, 2, 3, 4""", "linelist"))
 def outcome_table(spark, sf):
-    return fx.linelist(spark, sf).where(F.col("age_mois").between(1, 60)).groupBy("health_area", "sexe", "issue").agg(F.count(F.lit(1)).alias("n"))
+    """Every case, split at 60 months."""
+    age = F.when(F.col("age_mois").between(1, 60), "1-60").when(F.col("age_mois") > 60, "61+").otherwise("?")
+    return fx.linelist(spark, sf).groupBy("health_area", "sexe", "issue", age.alias("age_class")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @register(sql("SELECT health_area, sexe, issue, count(*) AS n FROM linelist GROUP BY 1, 2, 3", "linelist"))
 def outcome_table_all_ages(spark, sf):
-    """Every case of the line list; ``outcome_table`` has those of 1 to 60 months."""
+    """Every case of the line list, without the split by age of ``outcome_table``."""
     return fx.linelist(spark, sf).groupBy("health_area", "sexe", "issue").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -47,6 +47,8 @@ MEASLES_STATIC = ["Urbanisation", "UrbanEncoded", "Temperature_Moy", "Humidite_M
 #: history that determines the span-4 exponential mean to double precision (0.6**80 < 2e-18)
 EWM_HISTORY = 80
 EWM_DECAY = 0.6
+#: weeks of a block of running sums: 0.6**-64 < 2e14
+EWM_BLOCK = 64
 
 
 def past_rows(width: int):
@@ -73,14 +75,25 @@ def ewm_of(history: Column) -> Column:
         lambda acc: F.try_divide(acc["n"], acc["d"]))
 
 
-def ewm_of_weeks(history: Column) -> Column:
-    """The same mean of an array of (week, value) structs: a week without a value fades what is before it."""
-    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("d"), F.lit(0).cast("bigint").alias("week"))
+def ewm_up_to(value: Column) -> Column:
+    """The same mean of all weeks up to a row's own, as running sums; a week without a value fades what is before it.
 
-    def step(acc: Column, x: Column) -> Column:
-        fade = F.pow(F.lit(EWM_DECAY), x["week"] - acc["week"])
-        return F.struct((acc["n"] * fade + x["value"]).alias("n"), (acc["d"] * fade + 1.0).alias("d"), x["week"].alias("week"))
-    return F.aggregate(history, start, step, lambda acc: F.try_divide(acc["n"], acc["d"]))
+    Sums of values and of weights fade alike, so inside a block of weeks both are running
+    sums of terms scaled by the week's place, and a block hands its totals to the next
+    one: a row costs a few numbers, not an array.  What lies two blocks back has a weight
+    below 1e-14.
+    """
+    week = F.col("week_index").cast("bigint")
+    block = F.floor(week / EWM_BLOCK)
+    place = week - block * EWM_BLOCK
+    own = Window.partitionBy("health_area", block).orderBy("week_index").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy("health_area").orderBy(block).rangeBetween(-1, -1)
+    grown, faded = F.pow(F.lit(1 / EWM_DECAY), place), F.pow(F.lit(EWM_DECAY), place)
+
+    def total(term: Column) -> Column:
+        before = F.coalesce(F.sum(term).over(earlier), F.lit(0.0)) * EWM_DECAY ** EWM_BLOCK
+        return faded * (F.coalesce(F.sum(term).over(own), F.lit(0.0)) + before)
+    return F.try_divide(total(value.cast("double") * grown), total(F.when(value.isNotNull(), grown)))
 
 
 # ---------------------------------------------------------------------------
@@ -102,9 +115,7 @@ def add_temporal_features(panel: DataFrame, lags: Sequence[int] = DEFAULT_LAGS,
     new["growth_rate"] = growth(last, before)
     new["cases_diff_1"] = last - before
     # the mean up to a week with a value, which stays the mean until the next one
-    seen = F.when(y.isNotNull(), F.struct(F.col("week_index").cast("bigint").alias("week"), y.cast("double").alias("value")))
-    history = F.collect_list(seen).over(area_window().rowsBetween(1 - EWM_HISTORY, 0))
-    df = panel.withColumns(new | {"_ewm": F.when(y.isNotNull(), ewm_of_weeks(history))})
+    df = panel.withColumns(new | {"_ewm": F.when(y.isNotNull(), ewm_up_to(y))})
     earlier = area_window().rowsBetween(Window.unboundedPreceding, -1)
     return df.withColumn("cases_ewm_4", F.last("_ewm", ignorenulls=True).over(earlier)).drop("_ewm")
 

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from itertools import combinations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..functions.labels import coefficient_label
-from ..functions.scalars import clip, number, pearson, ratio, settle
+from ..functions.scalars import clip, finite, number, ratio, settle
+from ..session import materialise
 from .features import one_row_per_area
+from .moments import segment_moments
 
 
 def kpi_malaria(cases: DataFrame) -> DataFrame:
@@ -193,15 +195,25 @@ def grouped_median_age(bands: DataFrame) -> DataFrame:
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pairwise-complete Pearson correlations (``variable_1, variable_2, r``, both directions).
 
-    All pairs come from one pass; rows where either side is null are skipped.
+    All pairs come from the moments of one scan, whatever the number of columns; values
+    are shifted by the column means first.  Rows where either side is missing (null or
+    not finite) are skipped; a pair with a side that does not vary has no correlation.
     """
-    pairs = list(combinations(columns, 2))
-
-    wide = df.agg(*[pearson(a, b).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
-    cells = [F.struct(F.lit(p).alias("variable_1"), F.lit(q).alias("variable_2"), F.col(f"_{i}").alias("r"))
-             for i, (a, b) in enumerate(pairs) for p, q in ((a, b), (b, a))]
-    cells += [F.struct(F.lit(c).alias("variable_1"), F.lit(c).alias("variable_2"), F.lit(1.0).alias("r")) for c in columns]
-    return wide.select(F.inline(F.array(*cells)))
+    columns = list(dict.fromkeys(columns))
+    table = materialise(df.select(*[finite(c).cast("double").alias(c) for c in columns]))
+    means = table.agg(*[F.avg(c).alias(c) for c in columns]).first().asDict()
+    parts = segment_moments(table, columns, {}, shift=means, squares=True)
+    rows = []
+    if parts:
+        m = parts[0].pairs()
+        with np.errstate(divide="ignore", invalid="ignore"):
+            xx, yy = m["xx"] - m["x"] ** 2 / m["n"], m["yy"] - m["y"] ** 2 / m["n"]
+            r = (m["xy"] - m["x"] * m["y"] / m["n"]) / np.sqrt(xx * yy)
+        varies = (m["n"] > 1) & (xx > 1e-13 * m["xx"]) & (yy > 1e-13 * m["yy"])
+        rows = [(a, b, 1.0 if a == b else float(np.clip(r[i, j], -1.0, 1.0)) if varies[i, j] else None) for i, a in enumerate(columns) for j, b in enumerate(columns)]
+    else:
+        rows = [(a, b, 1.0 if a == b else None) for a in columns for b in columns]
+    return df.sparkSession.createDataFrame(rows, "variable_1 string, variable_2 string, r double")
 
 
 def correlation_screening(matrix: DataFrame, target: str = "cases", weak: float = 0.2, strong: float = 0.3,

@@ -113,3 +113,19 @@ def test_random_folds_by_membership(spark):
     test = df.join(folds.where("role = 'test' and fold = 2").select("health_area"), "health_area")
     want = one.predict(test).agg(F.sum("predicted_cases")).first()[0]
     assert out.where("fold = 2").agg(F.sum("predicted")).first()[0] == pytest.approx(want, rel=1e-8)
+
+
+def test_correlations_of_many_columns(spark):
+    """Three hundred columns with gaps, a large mean, a constant and an empty one, in one scan."""
+    from panelcast.operators import kpi
+    rng = np.random.default_rng(7)
+    pdf = pd.DataFrame(rng.normal(size=(400, 300)).cumsum(axis=1), columns=[f"c{i}" for i in range(300)])
+    pdf["c1"] = 1e9 + pdf["c0"] + rng.normal(size=400)
+    pdf["c2"], pdf["c3"] = 5.1, np.nan
+    pdf = pdf.mask(rng.random(pdf.shape) < 0.1)
+    got = kpi.correlation_matrix(spark.createDataFrame(pdf).repartition(4), list(pdf.columns)).toPandas().pivot(index="variable_1", columns="variable_2", values="r")
+    want = pdf.drop(columns=["c2", "c3"]).corr()
+    assert np.allclose(got.loc[want.index, want.columns], want, atol=1e-9)
+    assert got.loc["c2"].drop("c2").isna().all() and got.loc["c3"].drop("c3").isna().all()
+    empty = kpi.correlation_matrix(spark.createDataFrame([], "a double, b double"), ["a", "b"])
+    assert {(r.variable_1, r.variable_2, r.r) for r in empty.collect()} == {("a", "a", 1.0), ("b", "b", 1.0), ("a", "b", None), ("b", "a", None)}

@@ -52,6 +52,10 @@ CODE = np.array([OTHER * (chr(c).isalnum() and not chr(c).isdecimal()) for c in
 CODE[[ord(c) for c in LETTERS]] = np.arange(1, len(LETTERS) + 1)
 #: A token with more than one reading: a look-alike, a letter twice or more, or signs between letters.
 MARK = re.compile(r"[01345789@$!|+€]|([^\W\d_])\1|[^\W\d_][\W_]+[^\W\d_]", re.S)
+#: A letter twice or more.
+REPEATED = re.compile(r"(.)\1+", re.S)
+#: Signs that stand for no letter.
+PLAIN = ".,;:?\"'()[]{}<>/\\-_*~#%&=^`"
 #: Two or more pieces of up to three characters, set apart by any blanks.
 SPACED = re.compile(r"(?<!\S)\S{1,3}(?:\s+\S{1,3})+(?!\S)")
 #: Characters of the longest token or run whose reading is remembered.
@@ -87,6 +91,7 @@ class Model:
         self.rows = self.lm.tolist()
         self.memory: dict[str, tuple[str, ...]] = {}
         self.strength: dict[str, float] = {}
+        self.heads = {f[:4] for f in self.weights}  # the features of a word share its first four characters
 
     def readings(self, token: str) -> list[list[tuple[tuple[int, ...], float]]]:
         """For each run of one character its readings: (letters, log probability)."""
@@ -128,11 +133,58 @@ class Model:
             out.append("".join(own if c == OTHER else LETTERS[c - 1] if c else " " for c in letters))
         return "".join(reversed(out))
 
+    def forked(self, word: str) -> str:
+        """The best reading of a word of letters: each repeated letter is a fork whose two ends meet again at the next letter, so it is decided by itself."""
+        rows, out, done = self.rows, [], 0
+        for run in REPEATED.finditer(word):
+            start, stop = run.span()
+            c = int(CODE[ord(word[start])])
+            before = int(CODE[ord(word[start - 1])]) if start else 0
+            after = int(CODE[ord(word[stop])]) if stop < len(word) else 0
+            twice, once = rows[before][c][c] + rows[c][c][after], rows[before][c][after]
+            keep = twice >= once + TWICE if stop - start == 2 else twice > once
+            out += [word[done:start], word[start] * (1 + keep)]
+            done = stop
+        return "".join([*out, word[done:]])
+
+    def closed(self, pieces: list[str]) -> str:
+        """The best reading of pieces of letters without repeated ones: each blank between two parts words or is dropped, the only choice of the lattice."""
+        rows, codes = self.rows, CODE
+        states: list[tuple] = [(0, 0, 0.0, ())]
+        for i, piece in enumerate(pieces):
+            after: dict = {}
+            for p, q, score, path in states:
+                for a, b, total, blank in ((q, 0, score + BREAK + rows[p][q][0], True), (p, q, score + CLOSE, False)) if i else ((p, q, score, False),):
+                    for letter in piece:
+                        c = int(codes[ord(letter)])
+                        total += rows[a][b][c]
+                        a, b = b, c
+                    if (a, b) not in after or after[a, b][0] < total:
+                        after[a, b] = (total, (path, blank))
+            states = [(a, b, total, path) for (a, b), (total, path) in after.items()]
+        path = max(states, key=lambda s: s[2] + rows[s[0]][s[1]][0])[3]
+        out: list[str] = []
+        for piece in reversed(pieces):
+            path, blank = path
+            out += [piece, " "] if blank else [piece]
+        return "".join(reversed(out))
+
+    def reading(self, token: str) -> str:
+        """The best reading of a token; signs around it that stand for no letter part words, as they do on the best path."""
+        if " " not in token:
+            if not MARK.search(token):
+                return token
+            if (word := token.strip(PLAIN)).isalpha():
+                return self.forked(word)
+        elif not REPEATED.search(token) and (pieces := token.split(" ")) and all(map(str.isalpha, pieces)):
+            return self.closed(pieces)
+        return self.decode(token)
+
     def words(self, token: str) -> tuple[str, ...]:
         """Words of the restored form of a lower-case token, or of a run of pieces with one blank between."""
         found = self.memory.get(token)
         if found is None:
-            found = tuple(WORDS.findall(self.decode(token) if " " in token or MARK.search(token) else token))
+            found = tuple(WORDS.findall(self.reading(token)))
             if len(token) <= LONGEST:
                 if len(self.memory) >= REMEMBERED:
                     self.memory.clear()
@@ -160,7 +212,10 @@ class Model:
         for t in self.tokens(text):
             s = known.get(t)
             if s is None:
-                s = max((self.weights.get(f, 0.0) for w in self.words(t) for f in features_of(w)), default=0.0)
+                s = 0.0
+                for w in self.words(t):
+                    if (w + "$")[:4] in self.heads:
+                        s = max(s, *(self.weights.get(f, 0.0) for f in features_of(w)))
                 if len(t) <= LONGEST:
                     if len(known) >= REMEMBERED:
                         known.clear()
@@ -278,10 +333,11 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", score: str = "score", predicted: str = "predicted") -> DataFrame:
-    """Add score and predicted to every row (other columns stay, so they must not have these names).
+    """Add score and predicted to every row; columns of these names are replaced, other columns stay.
 
     Null and empty texts have no evidence; repeated rows are scored alike; no rows give no rows.
     """
+    docs = docs.drop(score, predicted)
     at = docs.columns.index(text)
     lm, weights, slope, offset = model.lm, model.weights, model.slope, model.offset
 

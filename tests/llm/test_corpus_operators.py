@@ -452,3 +452,16 @@ def test_slices_by_bytes():
     batch = pa.record_batch([pa.array(["a" * 10, None, "b" * 50, "c", "d", "e" * 30, ""])], names=["text"])
     assert [len(s) for s in sliced(iter([batch]), "text", 3, 40)] == [2, 1, 3, 1]
     assert [len(s) for s in sliced(iter([batch]), "text", 100, 1000)] == [7]
+
+
+def test_forks_equal_the_lattice():
+    """Words of letters with repeated ones, plain signs around them: deciding each fork by itself is the best path of the whole lattice."""
+    rng = np.random.default_rng(11)
+    model = toxicity.Model(toxicity.language_model(toxicity.trigrams(lorem(3000, 3) + " aabb bee oops llama è éé " * 40).astype(float)))
+    for _ in range(4000):
+        word = "".join(rng.choice(list("aabbelnorsté漢"), rng.integers(1, 9)))
+        token = "".join(rng.choice(list(".,;-*("), rng.integers(0, 3))) + word + "".join(rng.choice(list(".,;:)?"), rng.integers(0, 3)))
+        if toxicity.MARK.search(token):
+            assert toxicity.WORDS.findall(model.reading(token)) == toxicity.WORDS.findall(model.decode(token)), token
+        pieces = " ".join("".join(rng.choice(list("abelnorsté漢"), rng.integers(1, 4))) for _ in range(rng.integers(2, 7)))
+        assert model.reading(pieces) == model.decode(pieces), pieces

@@ -11,8 +11,9 @@ In a bucket only edges to its smallest member are proposed (rows, not pairs), wh
 connects a group of copies at once.  What then lies in another class than its centre
 is compared with the whole bucket if the bucket is small, and by further stars among
 such members if it is large.  Stars that connect a large bucket leave one class that
-holds most of it; the members outside are compared with all others of the bucket, but
-for those that a bound on their likeness rules out.  So every two members of a bucket
+holds most of it; the members outside are compared with all others of the bucket, as
+matrix products over the shingles of both, but for those that a bound on their likeness
+rules out.  So every two members of a bucket
 end in one class, are compared or cannot be linked, without all pairs of a group.
 Every proposed edge is confirmed on full sets.  A pair shares about ten buckets at a
 likeness of 0.8 and is lost only if it shares none.
@@ -37,8 +38,10 @@ BINS = BANDS * ROWS
 PROBES = 4096
 #: Buckets of at most so many members are compared in full across classes at once; larger ones after so many further stars.
 SMALL, STARS = 32, 3
-#: Members of a large bucket that one task compares with those outside the bucket's greatest class.
-PART = 1024
+#: Shingles of members of a large bucket that one task compares with those outside the bucket's greatest class.
+PART = 1 << 19
+#: Members outside and columns of a matrix that are compared at a time.
+OUTER, COLUMNS = 256, 4096
 #: How often members that can have no link are looked for before the others are compared.
 ROUNDS = 2
 
@@ -172,15 +175,81 @@ def _lonely(ids: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     return hashed.join(own, "h").groupBy("id").agg(F.count(F.lit(1)).alias("lone"))
 
 
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """(left, right) sizes of the intersections of sets of hashes, as products of 0/1 matrices over the hashes that occur on both sides."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    flat = [np.concatenate([*side, np.zeros(0, np.int64)]) for side in (left, right)]
+    both = np.intersect1d(*flat)
+    owner = [np.repeat(np.arange(len(side)), [len(s) for s in side]) for side in (left, right)]
+    at = [np.minimum(np.searchsorted(both, f), max(len(both) - 1, 0)) for f in flat]
+    hit = [both[p] == f if len(both) else np.zeros(len(f), bool) for p, f in zip(at, flat, strict=True)]
+    for start in range(0, len(both), COLUMNS):
+        sides = []
+        for side in (0, 1):
+            some = hit[side] & (at[side] >= start) & (at[side] < start + COLUMNS)
+            m = np.zeros((len((left, right)[side]), min(COLUMNS, len(both) - start)), np.float32)
+            m[owner[side][some], at[side][some] - start] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    return out.astype(np.int64)
+
+
+def _meetings(percent: int):
+    """Parts of buckets, inner members before those outside the greatest class -> links across classes, one for each outer member and class."""
+    def done(inner, outer):
+        inter = shared_counts([r["hashes"] for r in inner], [r["hashes"] for r in outer])
+        sizes = [np.array([len(r["hashes"]) for r in side]) for side in (inner, outer)]
+        ok = 100 * inter >= percent * (sizes[0][:, None] + sizes[1][None, :] - inter)
+        c = [np.array([r["c"] for r in side]) for side in (inner, outer)]
+        ok &= (inter > 0) & (c[0][:, None] != c[1][None, :])
+        i, j = np.nonzero(ok)
+        _, first = np.unique(np.stack([c[0][i], j]), axis=1, return_index=True) if len(i) else (None, np.zeros(0, np.int64))
+        ids = [np.array([r["id"] for r in side], np.int64) for side in (inner, outer)]
+        x, y = ids[0][i[first]], ids[1][j[first]]
+        return pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, inner, outer = None, [], []
+        for batch in batches:
+            lists = batch.column("hashes")
+            flat, stops = np.asarray(lists.values), np.asarray(lists.offsets)
+            for i, row in enumerate(batch.select(["bucket", "part", "side", "id", "c"]).to_pylist()):
+                if (key := (row["bucket"], row["part"])) != now:
+                    if outer:
+                        yield done(inner, outer)
+                    now, inner, outer = key, [], []
+                row["hashes"] = flat[stops[i]:stops[i + 1]]
+                (outer if row["side"] else inner).append(row)
+                if len(outer) == OUTER:
+                    yield done(inner, outer)
+                    outer = []
+        if outer:
+            yield done(inner, outer)
+    return run
+
+
+def _sets(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 500):
+                some = batch.slice(at, 500)
+                found = [shingles(t.as_py() or b"", k).view(np.int64) for t in some.column(1)]
+                stops = np.cumsum([0, *map(len, found)]).astype(np.int32)
+                yield pa.record_batch([some.column(0), pa.ListArray.from_arrays(pa.array(stops), pa.array(np.concatenate([*found, np.zeros(0, np.int64)])))], names=["id", "hashes"])
+    return run
+
+
 def _across(large: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, m, id, n): members of a bucket outside its greatest class, each with the bucket's members of other classes that it may be like.
+    """(a, b): links between members of a bucket outside its greatest class and its members of other classes, confirmed on full sets.
 
     A shingle that only one class holds is in no intersection across classes.  With s
     shared and u lone shingles a likeness is at most min(s, s') / (max(s, s') + u + u'),
     so members with too many of their own meet no one, and what only they share becomes
     lone in the next round; nothing that could be a link is left out.  A bucket is cut
-    by a hash of its members into parts of about ``PART``, each of which meets the
-    members outside in a task of its own.
+    by a hash of its members into parts of about ``PART`` shingles, each of which meets
+    the members outside in a task of its own, where intersections are matrix products
+    over the shingles of both sides: no pair becomes a row but a link, and of links of a
+    member to one class a single one.
     """
     now = classes.select(F.col("id").alias("member"), F.col("component").alias("now"))
     several = materialise(large.join(now, F.col("id") == F.col("member"), "left").select("bucket", "id", "n", F.coalesce("now", "id").alias("c")))
@@ -188,21 +257,20 @@ def _across(large: DataFrame, classes: DataFrame, texts: DataFrame, k: int, perc
         shown = several.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high").select("bucket")
         several = materialise(several.select("bucket", "id", "n", "c").join(shown, "bucket"))
         if several.isEmpty():  # every large bucket is one class
-            return several.select(F.col("id").alias("a"), F.col("n").alias("m"), "id", "n")
+            return several.select(F.col("id").alias("a"), F.col("id").alias("b"))
         lone = _lonely(several.select("id", "c").distinct(), texts, k)
         several = materialise(several.join(lone, "id", "left").withColumn("u", F.coalesce("lone", F.lit(0))).withColumn("s", F.col("n") - F.col("u")).drop("lone"))
         least = several.groupBy("bucket").agg(F.min("u").alias("least"))
         several = materialise(several.join(least, "bucket").where(f"100 * s >= {percent} * (s + u + least)").drop("least"))
-    sizes = several.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("size"))
-    top = sizes.groupBy("bucket").agg(F.max(F.struct("size", "c")).alias("t"), F.sum("size").alias("many"))
-    several = several.join(top.select("bucket", F.col("t.c").alias("top"), F.ceil(F.col("many") / PART).cast("int").alias("parts")), "bucket")
-    several = materialise(several.join(several.groupBy("id").agg(F.collect_set("bucket").alias("in")), "id"))  # at most ``BANDS`` buckets
-    outside = several.where("c != top").select("bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("id").alias("a"),
-                                               F.col("n").alias("m"), F.col("c").alias("d"), F.col("u").alias("v"), F.col("s").alias("t"), F.col("in").alias("with"))
-    inside = several.withColumn("part", F.pmod(F.xxhash64("id", "bucket"), F.col("parts")).cast("int"))
-    met = inside.join(outside, ["bucket", "part"]).where(f"c != d and 100 * least(s, t) >= {percent} * (greatest(s, t) + u + v)"
-                                                         " and bucket = array_min(array_intersect(`in`, `with`))")
-    return met.select("a", "m", "id", "n")
+    sizes = several.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("held"))
+    top = sizes.groupBy("bucket").agg(F.max(F.struct("size", "c")).alias("t"), F.sum("held").alias("held"))
+    several = several.join(top.select("bucket", F.col("t.c").alias("top"), F.ceil(F.col("held") / PART).cast("int").alias("parts")), "bucket")
+    several = materialise(several.select("bucket", "id", "c", "top", "parts"))
+    sets = materialise(texts.join(several.select("id").distinct(), "id").select("id", "text").mapInArrow(_sets(k), "id bigint, hashes array<bigint>"))
+    outside = several.where("c != top").select("bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("side"), "id", "c")
+    inside = several.select("bucket", F.pmod(F.xxhash64("id", "bucket"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("side"), "id", "c")
+    met = inside.unionByName(outside).join(sets, "id").repartition("bucket", "part").sortWithinPartitions("bucket", "part", "side")
+    return materialise(met.mapInArrow(_meetings(percent), "a bigint, b bigint").distinct())
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -250,11 +318,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
         like = tried.where("ok").select("a", F.col("b").alias("id"))
         rest = materialise(met.where("c != d").join(like, ["a", "id"], "left_anti").select("bucket", "id", "n", "c"))
     # what the stars leave: in every large bucket, members outside its greatest class against those of other classes
-    met = _across(shelved.where(F.col("many") > SMALL), connected_components(tried.where("ok")), texts, k, percent)
-    pairs = _alike(met, percent).join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    tried = materialise(tried.unionByName(confirm(pairs, texts, k, percent)))
-    links = tried.where("ok").select("a", "b")
-    found = connected_components(copies.unionByName(links))
+    more = _across(shelved.where(F.col("many") > SMALL), connected_components(tried.where("ok")), texts, k, percent)
+    found = connected_components(copies.unionByName(tried.where("ok").select("a", "b")).unionByName(more))
     out = signed.join(found.withColumnRenamed("id", "member"), F.col("id") == F.col("member"), "left")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"),
                       F.coalesce(F.coalesce("component", "id") == F.col("id"), F.lit(True)).alias("kept"))

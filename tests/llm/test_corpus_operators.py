@@ -465,3 +465,24 @@ def test_forks_equal_the_lattice():
             assert toxicity.WORDS.findall(model.reading(token)) == toxicity.WORDS.findall(model.decode(token)), token
         pieces = " ".join("".join(rng.choice(list("abelnorsté漢"), rng.integers(1, 4))) for _ in range(rng.integers(2, 7)))
         assert model.reading(pieces) == model.decode(pieces), pieces
+
+
+def test_large_buckets_meet_as_matrix_products(monkeypatch):
+    """All links between outer members and inner ones of other classes, one for each outer member and class, whatever the cuts."""
+    import pyarrow as pa
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 60, 80)
+    sets = [np.unique(np.where(rng.random(80) < rng.uniform(0, 0.25), rng.integers(0, 1 << 60, 80), base)) for _ in range(60)]
+    assert (minhash.shared_counts(sets[:7], sets) == [[len(np.intersect1d(a, b)) for b in sets] for a in sets[:7]]).all()
+    assert minhash.shared_counts([base[:0]], sets[:2]).tolist() == [[0, 0]]
+    classes = rng.integers(0, 5, 60)
+    rows = [{"bucket": 1, "part": 0, "side": side, "id": i, "c": int(classes[i]), "hashes": sets[i].tolist()} for side, ids in ((0, range(60)), (1, range(40, 60))) for i in ids]
+    want = {(min(i, j), max(i, j)) for j in range(40, 60) for i in range(60) if classes[i] != classes[j]
+            and 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))}
+    for outer, columns in ((256, 4096), (3, 7)):
+        monkeypatch.setattr(minhash, "OUTER", outer)
+        monkeypatch.setattr(minhash, "COLUMNS", columns)
+        batches = pa.Table.from_pylist(rows).to_batches(max_chunksize=11)
+        got = {(r["a"], r["b"]) for b in minhash._meetings(80)(iter(batches)) for r in b.to_pylist()}
+        assert want and got <= want
+        assert {(j, int(classes[i])) for pair in want for i, j in (pair, pair[::-1]) if j >= 40} == {(j, int(classes[i])) for pair in got for i, j in (pair, pair[::-1]) if j >= 40}

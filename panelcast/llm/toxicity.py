@@ -204,7 +204,14 @@ class Model:
         return out
 
     def features(self, text: str) -> set[str]:
-        return {f for t in self.tokens(text) for w in self.words(t) for f in features_of(w)}
+        words: set[str] = set()
+        for t in self.tokens(text):
+            words.update(self.words(t))
+        return {f for w in words for f in features_of(w)}
+
+    def weighed(self, text: str) -> set[str]:
+        """The features of a text that have a weight."""
+        return {f for t in self.tokens(text) for w in self.words(t) if (w + "$")[:4] in self.heads for f in features_of(w) if f in self.weights}
 
     def evidence(self, text: str) -> float:
         """The weight of the strongest feature, 0 without any."""
@@ -317,11 +324,11 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     known = {r.f: (r.pos, r.neg) for r in best}
 
     def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(lm)
+        model = Model(lm, known)
         for batch in batches:
             ys, xs = batch.column(0).to_pylist(), []
             for y, t in zip(ys, batch.column(1).to_pylist(), strict=True):
-                own = np.array([known[f] for f in model.features(t or "") if f in known]).reshape(-1, 2)
+                own = np.array([known[f] for f in model.weighed(t or "")]).reshape(-1, 2)
                 one = bool(y)
                 w = weight(own[:, 0] - one, own[:, 1] - (not one), n_pos - one, n_neg - (not one)) if len(own) else np.zeros(1)
                 xs.append(float(w.max()))

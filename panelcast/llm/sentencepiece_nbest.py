@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import lattice
-from .common import sliced
+from .common import release, sliced
 from .lattice import BLANK, Vocabulary
 from .token_counts import PER_TRIE, SLICE
 
@@ -238,6 +238,8 @@ def encode(docs: DataFrame, model: str, n: int = 4, key: str = "doc_id", text: s
             if decoded:
                 columns.append(pa.array([decode_ids(x[0], vocabulary) for x in found], pa.string()))
             yield pa.record_batch(columns, names=names)
+            found = best = columns = None
+        release()
     return rows.mapInArrow(run, f"`{key}` {kind}, ids array<int>, scores array<double>, nbest array<array<int>>" + (f", `{decoded}` string" if decoded else ""))
 
 

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from ..session import materialise
+from .common import release
 
 #: Labelled documents that the weights are learned from: at most about so many, chosen by a hash of the key.
 MAX_LABELLED = 20_000
@@ -311,6 +312,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         for i in range(0, len(names), 100_000):
             part = names[i:i + 100_000]
             yield pa.record_batch([pa.array(part), pa.array([pos[f] for f in part], pa.int64()), pa.array([neg[f] for f in part], pa.int64())], names=["f", "pos", "neg"])
+        model = pos = neg = names = part = None
+        release()
 
     classes = {r.y: r.n for r in some.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_pos, n_neg = sum(v for k, v in classes.items() if k), classes.get(0, 0)
@@ -333,6 +336,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                 w = weight(own[:, 0] - one, own[:, 1] - (not one), n_pos - one, n_neg - (not one)) if len(own) else np.zeros(1)
                 xs.append(float(w.max()))
             yield pa.record_batch([pa.array(ys, pa.int32()), pa.array(xs, pa.float64())], names=["y", "x"])
+        model = None
+        release()
 
     points = some.mapInArrow(left_out, "y int, x double").collect()  # bounded by max_labelled
     slope, offset = logistic(np.array([p.x for p in points]), np.array([float(bool(p.y)) for p in points]))
@@ -353,4 +358,6 @@ def score(docs: DataFrame, model: Model, text: str = "text", score: str = "score
         for batch in batches:
             s = np.array([own.score(t.as_py() or "") for t in batch.column(at)], float)
             yield pa.record_batch([*batch.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*batch.schema.names, score, predicted])
+        own = batch = None
+        release()
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(score, DoubleType()), StructField(predicted, IntegerType())]))

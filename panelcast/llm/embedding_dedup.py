@@ -1,20 +1,27 @@
-"""Embedding near-duplicates by hashed runs of projection signs.
+"""Embedding near-duplicates by sorted projection passes.
 
 Equal vectors are one vector with a number of copies.  A pass hashes every vector to
-the signs of its projections on random directions; the vectors of a run (equal signs)
-are compared with each other, in double precision, and the pairs found are united.  A
-run reports one edge for each linked vector (to the smallest vector it is connected
-with), never all pairs, and the edges of all passes are united to components.
+the signs of its projections on 124 random directions, two words of 62.  The vectors of
+all passes are ordered lexicographically by pass, width and concatenated signs, and every
+vector meets its next ``WINDOW`` neighbours and the rest of its run (the vectors that
+agree with it in the leading signs).  The order is cut into chunks of equal length, each
+with the beginning of the next one, so no neighbour is lost at a border.
+
+Only signs and ids are sorted.  Neighbours whose signs differ too often to be linked are
+passed over; vectors with a neighbour left are joined to their numbers and compared in
+double precision, in the same order, within the same bounds.  A chunk reports one edge
+for each linked vector (to the smallest one that it is connected with), never all pairs,
+and the edges of all passes are united to components.
 
 Two vectors at the threshold agree in a sign with probability 1 - acos(t)/pi.  A run has
 so many signs that evenly spread vectors would leave it half a window to a window of
-rows; the number of passes follows from that and from the accepted chance to miss such
-a pair (closer pairs are missed far less).  Nothing else is assumed about the spread:
-runs are counted before they are compared.  A run with more rows than all passes
-together may cost (vectors in a narrow cone share their signs) is not compared in its
-pass; its vectors are crowded, and crowded vectors are compared with each other
-exactly, block against block, once.  So each pair that agrees in the signs of a pass
-is compared, however crowded its surroundings are; the price is one comparison of
+rows; the number of passes follows from that, from the chance that the signs of a link
+differ too often, and from the accepted chance to miss such a pair (closer pairs are
+missed far less).  Nothing else is assumed about the spread.  A run with more rows than
+all passes together may cost (vectors in a narrow cone share their signs) is longer than
+a neighbourhood may be; its vectors are crowded, and crowded vectors are compared with
+each other exactly, block against block, once.  So each pair that agrees in the signs of
+a pass is compared, however crowded its surroundings are; the price is one comparison of
 every two crowded vectors.
 
 All links of a vector lie in its component, so the direct links are then counted
@@ -31,12 +38,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranking import global_rank
 from ..session import materialise
 from .common import connected_components, partitions
 
-WINDOW, MISS, SIGNS, BLOCK = 64, 1e-6, 62, 1024
+WINDOW, MISS, SIGNS, BLOCK = 512, 1e-6, 62, 1024
+#: Chance that the signs of a pair at the threshold differ in more places than are looked at, for one word and for both.
+BLUR = 1e-3
 #: Runs of up to so many rows are compared in their pass at any number of rows.
 CROWD = 1024
+#: Rows of one chunk of the order, and numbers that a chunk's vectors may hold.
+CHUNK, ROOM = 1 << 15, 1 << 24
 #: Numbers that a task holds of one block, or of one slice of products.
 HELD = 1 << 22
 #: A component (or a width) and two of its blocks.
@@ -46,7 +58,7 @@ TILE = ("component", "i", "j")
 def passes_needed(n: int, threshold: float, window: int = WINDOW, miss: float = MISS) -> int:
     """Passes after which a pair at the threshold has been side by side with probability 1 - miss."""
     agree = 1 - math.acos(threshold) / math.pi
-    met = agree ** max(1.0, math.log2(max(n, 2) / window) + 1)
+    met = agree ** max(1.0, math.log2(max(n, 2) / window) + 1) * (1 - 2 * BLUR)
     return max(4, math.ceil(math.log(miss) / math.log(1 - met)))
 
 
@@ -55,8 +67,18 @@ def signs_needed(n: int, window: int = WINDOW) -> int:
     return min(SIGNS, int(max(1.0, math.log2(max(n, 2) / window) + 1)))
 
 
+def signs_apart(threshold: float, signs: int) -> int:
+    """Signs in which a pair at the threshold differs at most, but for a chance of ``BLUR``."""
+    apart, left = math.acos(threshold) / math.pi, 1.0
+    for k in range(signs):
+        left -= math.comb(signs, k) * apart ** k * (1 - apart) ** (signs - k)
+        if left <= BLUR:
+            return k
+    return signs
+
+
 def directions(number: int, width: int, seed: int) -> np.ndarray:
-    return np.random.default_rng([seed, number, width]).standard_normal((width, SIGNS))
+    return np.random.default_rng([seed, number, width]).standard_normal((width, 2 * SIGNS))
 
 
 def _vectors(column: pa.Array, width: int) -> np.ndarray:
@@ -65,10 +87,10 @@ def _vectors(column: pa.Array, width: int) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
-def _keyed(passes: int, signs: int, seed: int, *columns: str):
-    """The run of every vector in every pass, with the given columns."""
+def _keyed(passes: int, seed: int):
+    """The signs of every vector in every pass."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = (1 << np.arange(signs - 1, -1, -1)).astype(np.int64)
+        weights = (1 << np.arange(SIGNS - 1, -1, -1)).astype(np.int64)
         planes: dict[int, list[np.ndarray]] = {}
         for batch in batches:
             widths = np.asarray(batch.column("width"))
@@ -76,11 +98,55 @@ def _keyed(passes: int, signs: int, seed: int, *columns: str):
                 part = batch.filter(pa.array(widths == width)) if len(np.unique(widths)) > 1 else batch
                 x = _vectors(part.column("v"), int(width))
                 if int(width) not in planes:
-                    planes[int(width)] = [directions(p, int(width), seed)[:, :signs] for p in range(passes)]
+                    planes[int(width)] = [directions(p, int(width), seed) for p in range(passes)]
                 for p in range(passes):
-                    key = ((x @ planes[int(width)][p]) > 0).astype(np.int64) @ weights
-                    yield pa.record_batch([pa.array(np.full(len(x), p, np.int32)), part.column("width"), pa.array(key), *map(part.column, columns)],
-                                          names=["pass", "width", "run", *columns])
+                    signs = ((x @ planes[int(width)][p]) > 0).astype(np.int64)
+                    yield pa.record_batch([pa.array(np.full(len(x), p, np.int32)), part.column("width"), pa.array(signs[:, :SIGNS] @ weights),
+                                           pa.array(signs[:, SIGNS:] @ weights), part.column("id")], names=["pass", "width", "run", "more", "id"])
+    return run
+
+
+def _neighbours(run: np.ndarray, more: np.ndarray, lead: np.ndarray, window: int, crowd: int, one: int, both: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows in the order of signs: those with a neighbour that may be linked, and those of runs beyond ``crowd``."""
+    n = len(run)
+    rows, hit = np.arange(n), np.zeros(n, bool)
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(lead)) + 1, [n]])
+    length, stop = np.repeat(np.diff(cuts), np.diff(cuts)), np.repeat(cuts[1:], np.diff(cuts))
+    crowded = length > crowd
+    reach = np.where(crowded, window, np.maximum(window, stop - 1 - rows))
+
+    def meet(i: np.ndarray, step: int) -> None:
+        j = i + step
+        close = np.bitwise_count(run[i] ^ run[j]) + np.bitwise_count(more[i] ^ more[j]) <= both
+        close &= ~(crowded[i] & crowded[j])
+        hit[i[close]] = hit[j[close]] = True
+
+    for step in range(1, min(window, n - 1) + 1):
+        meet(np.flatnonzero(np.bitwise_count(run[:-step] ^ run[step:]) <= one), step)
+    live = np.flatnonzero(reach > window)
+    for step in range(window + 1, n):
+        live = live[reach[live] >= step]
+        if not len(live):
+            break
+        meet(live[np.bitwise_count(run[live] ^ run[live + step]) <= one], step)
+    return hit, crowded
+
+
+def _candidates(signs: int, window: int, crowd: int, threshold: float):
+    """Rows to be compared (id, place), and runs beyond ``crowd`` (lead)."""
+    one, both = signs_apart(threshold, SIGNS), signs_apart(threshold, 2 * SIGNS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (chunk, number, width), at, first, more, ids in _groups(batches, ("chunk", "pass", "width"), "at", "run", "more", "id"):
+            lead = first >> (SIGNS - signs)
+            hit, crowded = _neighbours(first, more, lead, window, crowd, one, both)
+            runs = np.unique(lead[crowded])
+            n, m = int(hit.sum()), len(runs)
+            if n + m:
+                none = lambda k: pa.nulls(k, pa.int64())
+                yield pa.record_batch([pa.array(np.full(n + m, chunk, np.int64)), pa.array(np.full(n + m, number, np.int32)), pa.array(np.full(n + m, width, np.int32)),
+                                       pa.concat_arrays([pa.array(at[hit]), none(m)]), pa.concat_arrays([pa.array(ids[hit]), none(m)]),
+                                       pa.concat_arrays([none(n), pa.array(runs)])], names=["chunk", "pass", "width", "at", "id", "lead"])
     return run
 
 
@@ -101,7 +167,7 @@ def _united(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], *columns: str):
-    """(key, columns, vectors) of the rows of each key; the rows of a key follow each other, over batches too."""
+    """(key, columns, vectors if there are any) of the rows of each key; the rows of a key follow each other, over batches too."""
     held = None
     for batch in batches:
         at, given = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in keys]), [np.asarray(batch.column(c)) for c in columns]
@@ -109,8 +175,10 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], *columns:
         for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
             if start == stop:
                 continue
-            column = batch.column("v").slice(start, stop - start)
-            group = (tuple(at[:, start].tolist()), *(c[start:stop] for c in given), _vectors(column, len(column[0])))
+            group = (tuple(at[:, start].tolist()), *(c[start:stop] for c in given))
+            if "v" in batch.schema.names:
+                column = batch.column("v").slice(start, stop - start)
+                group = (*group, _vectors(column, len(column[0])))
             if held is not None and held[0] == group[0]:
                 held = (held[0], *(np.concatenate(x) for x in zip(held[1:], group[1:], strict=True)))
             else:
@@ -135,8 +203,8 @@ def _table(names: list[str], groups):
         yield pa.record_batch([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*done, strict=True)], names=names)
 
 
-def _stars(ids: np.ndarray, x: np.ndarray, threshold: float, left: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of the linked vectors to the smallest they are connected with: all rows, or the first ``left`` against the others."""
+def _stars(ids: np.ndarray, x: np.ndarray, threshold: float, left: int | None = None, until: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of the linked vectors to the smallest they are connected with: all rows (each as far as ``until``), or the first ``left`` against the others."""
     n, last = len(ids), len(ids) if left is None else left
     pairs, many, step = [], 0, max(1, HELD // max(len(ids), 1))
     order = np.argsort(ids, kind="stable")  # indices in the order of ids, so the smallest index is the smallest id
@@ -150,7 +218,9 @@ def _stars(ids: np.ndarray, x: np.ndarray, threshold: float, left: int | None =
 
     for start in range(0, last, step):
         base = start if left is None else left
-        i, j = np.nonzero(x[start:min(start + step, last)] @ x[base:].T >= threshold)
+        stop = min(start + step, last)
+        end = n if until is None else int(until[stop - 1])
+        i, j = np.nonzero(x[start:stop] @ x[base:end].T >= threshold)
         i, j = i + start, j + base
         apart = i < j
         if apart.any():
@@ -165,9 +235,11 @@ def _stars(ids: np.ndarray, x: np.ndarray, threshold: float, left: int | None =
     return ids[order][low], ids[order][moved]
 
 
-def _run_edges(threshold: float):
+def _chunk_edges(threshold: float, reach: int):
+    """Rows of a chunk against those at most ``reach`` places further in the order."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _table(["a", "b"], (_stars(ids, x, threshold) for _, ids, x in _groups(batches, ("pass", "width", "run"), "id") if len(ids) > 1))
+        yield from _table(["a", "b"], (_stars(ids, x, threshold, until=np.searchsorted(at, at + reach, "right"))
+                                       for _, at, ids, x in _groups(batches, ("chunk", "pass", "width"), "at", "id") if len(ids) > 1))
     return run
 
 
@@ -217,7 +289,6 @@ def near_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding"
     square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     sound = every.where("id is not null and v is not null and size(v) > 0").where(F.forall("v", finite))
     sound = sound.withColumn("square", square).where((F.col("square") > 0) & (F.col("square") < F.lit(float("inf"))))
-    kind = dict(sound.dtypes)["v"]
     unit = sound.select("id", F.size("v").alias("width"), "v")
     unit = materialise(unit.groupBy("id").agg(F.min(F.struct("width", "v")).alias("u")).select("id", "u.*"))
     one = materialise(unit.groupBy("width", "v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")).select("id", "width", "v", "copies"))
@@ -226,18 +297,20 @@ def near_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding"
     n, widest = one.agg(F.count(F.lit(1)), F.coalesce(F.max("width"), F.lit(1))).first()
     passes, signs = passes_needed(n, threshold, window, miss), signs_needed(n, window)
     # all passes together never compare more than every two vectors once
-    crowd = max(CROWD, min(n // passes, HELD // widest))
-    at = ["pass", "width", "run"]
-    keys = one.mapInArrow(_keyed(passes, signs, seed, "id"), "pass int, width int, run bigint, id bigint")
-    large = materialise(keys.groupBy(*at).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > crowd).select(*at))
-    keyed = one.mapInArrow(_keyed(passes, signs, seed, "id", "v"), f"pass int, width int, run bigint, id bigint, v {kind}")
-    crowded = not large.isEmpty()
-    if crowded:
-        keyed = keyed.join(large, at, "left_anti")
-    runs = keyed.repartition(partitions(spark), *at).sortWithinPartitions(*at)
-    edges = runs.mapInArrow(_run_edges(threshold), "a bigint, b bigint")
-    if crowded:
-        dense = materialise(keys.join(large, at, "left_semi").select(F.col("width").alias("component"), "id").distinct())
+    crowd = max(CROWD, window, min(n // passes, HELD // widest))
+    length = max(2 * crowd, min(CHUNK, ROOM // widest))
+    ordered = global_rank(one.mapInArrow(_keyed(passes, seed), "pass int, width int, run bigint, more bigint, id bigint"), ["pass", "width", "run", "id"], "at")
+    chunk, inside = F.expr(f"(at - 1) div {length}"), F.expr(f"(at - 1) % {length}")
+    placed = ordered.withColumn("chunk", F.explode(F.when((inside < crowd) & (chunk > 0), F.array(chunk - 1, chunk)).otherwise(F.array(chunk))))
+    place = ["chunk", "pass", "width"]
+    chunks = placed.repartition(partitions(spark), "chunk").sortWithinPartitions(*place, "at")
+    near = materialise(chunks.mapInArrow(_candidates(signs, window, crowd, threshold), "chunk bigint, pass int, width int, at bigint, id bigint, lead bigint"))
+    met = near.where("id is not null").select(*place, "at", "id").join(one.select("id", "v"), "id")
+    edges = met.repartition(partitions(spark), "chunk").sortWithinPartitions(*place, "at").mapInArrow(_chunk_edges(threshold, crowd), "a bigint, b bigint")
+    large = near.where("id is null").select("pass", "width", "lead").distinct()
+    if not large.isEmpty():
+        runs = ordered.withColumn("lead", F.shiftright("run", SIGNS - signs))
+        dense = materialise(runs.join(large, ["pass", "width", "lead"], "left_semi").select(F.col("width").alias("component"), "id").distinct())
         blocks = F.greatest(F.ceil(F.count(F.lit(1)) * F.col("component") / HELD), F.least(F.lit(8), F.ceil(F.count(F.lit(1)) / BLOCK)))
         dense = dense.join(dense.groupBy("component").agg(blocks.cast("int").alias("blocks")), "component")
         edges = edges.unionByName(_tiles(dense, one).mapInArrow(_tile_edges(threshold), "a bigint, b bigint"))

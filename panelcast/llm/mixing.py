@@ -8,13 +8,15 @@ by n/2 seats at most, so a source's seats lie between round(p (m - n/2)) and
 round(p (m + n/2)), together about 2 n candidates instead of one for each block.
 
 Each source's documents, in seeded order, form one stream of tokens cut into blocks.
-A quota takes every block as often as it goes round the stream, and the rest as a run
-of blocks from a seeded block on (the stream is shuffled already, so a run of it is a
-random selection and cuts two documents at most).
+The blocks in the order of selection are those from a seeded block on, round and round.
+Every shard takes its quota of them, one shard after the other (the stream is shuffled
+already, so a run of it is a random selection and cuts two documents at most); all shards
+together take every block as often as the quotas go round the stream, and the rest once more.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -89,7 +91,8 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     source_size, target, taken (words, repeats counted), passes (whole copies), and
     ``first``/``words``: the run of words taken once more (0 words: none; a run may go
     past the end of the stream and come back, then it is the document's last words and
-    its first ones, ``words2`` of them).  Null texts have size 0 and nothing is taken
+    its first ones, ``words2`` of them), and ``shards``: the words that each shard takes of
+    it, an array of (shard, words) in the order of shards, shards without any left out.  Null texts have size 0 and nothing is taken
     of them; null sources are one source; repeated rows count each; null keys are
     values like others; no rows give no rows.  Reruns agree: order and start depend on
     the seed and the row alone.
@@ -101,10 +104,11 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     placed = materialise(global_rank(slim, order, "at", weight="size"))
     sources = placed.groupBy("source").agg(F.sum("size").alias("source_size"), F.min("at").alias("begin"))
     quotas = shard_quotas(source_targets(sources.select("source", "source_size"), weights, share), shards, block)
-    whole = quotas.where(F.col("shard") == shards - 1)
+    seats = F.transform(F.array_sort(F.collect_list(F.struct("shard", "seats"))), lambda x: x["seats"])
+    whole = quotas.groupBy("source", "source_size", "target", "blocks").agg(F.max("seats").alias("seats"), seats.alias("upto"))
     begin = sources.select(F.col("source").alias("s"), "begin")
     plan = whole.join(begin, whole.source.eqNullSafe(begin.s)).select(
-        F.col("source").alias("s"), "source_size", "target", "blocks", "begin", F.col("seats").alias("quota"))
+        F.col("source").alias("s"), "source_size", "target", "blocks", "begin", "upto", F.col("seats").alias("quota"))
     many = F.greatest("blocks", F.lit(1))
     plan = plan.withColumn("passes", F.expr("quota div greatest(blocks, 1)")).withColumn("rest", F.col("quota") - F.col("passes") * F.col("blocks"))
     plan = materialise(plan.withColumn("from", F.pmod(F.xxhash64(F.lit(seed), "s"), many)))
@@ -115,7 +119,15 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     rows = rows.withColumn("first", F.greatest(none, lo - a)).withColumn("words", F.greatest(none, F.least(b, hi) - F.greatest(a, lo)))
     rows = rows.withColumn("words2", F.greatest(none, F.least(b, hi - turn) - a))
     taken = F.col("passes") * F.col("size") + F.col("words") + F.col("words2")
-    return rows.select(F.col("key").alias(key), "source", "text_hash", "size", "source_size", "target", taken.alias("taken"), "passes", "first", "words", "words2")
+    # a shard's blocks are a run of the stream laid out from the first selected block on, where a document comes once a turn
+    rows = rows.withColumn("away", a - lo).withColumn("turn", turn)
+    start = lambda h: F.when(h > 0, F.element_at("upto", F.greatest(h, F.lit(1)))).otherwise(none) * block
+    stop = lambda h: F.element_at("upto", h + 1) * block
+    met = lambda h: sum((F.greatest(none, F.least(F.col("away") + t * F.col("turn") + F.col("size"), stop(h)) - F.greatest(F.col("away") + t * F.col("turn"), start(h)))
+                         for t in range(math.ceil(CEILING) + 2)), none)
+    parts = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda h: F.struct(h.alias("shard"), met(h).alias("words")))
+    parts = F.filter(parts, lambda x: x["words"] > 0).alias("shards")
+    return rows.select(F.col("key").alias(key), "source", "text_hash", "size", "source_size", "target", taken.alias("taken"), "passes", "first", "words", "words2", parts)
 
 
 def apply_mixture(docs: DataFrame, taken: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:

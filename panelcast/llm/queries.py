@@ -93,7 +93,7 @@ def op9_sharding(spark, sf_dir):
 @query
 def op10_mixing(spark, sf_dir):
     rows = mixing.mix(table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "size", "source_size", "target", "taken", "source")
+    return rows.select("doc_id", "size", "source_size", "target", "taken", "source", "shards")
 
 
 #: Fields of a document's leaf, in order.

@@ -81,6 +81,33 @@ def classes_of_vectors(x, threshold=0.95):
         root = new
 
 
+def test_neighbour_windows_equal_all_pairs():
+    """Rows within the window, or within a run that is not too long, whose signs differ little enough."""
+    rng = np.random.default_rng(2)
+    run = np.sort(np.concatenate([rng.integers(0, 1 << 62, 150), (5 << 56) + rng.integers(0, 1 << 55, 60), (9 << 56) + rng.integers(0, 1 << 55, 20)]))
+    more = rng.integers(0, 1 << 62, len(run))
+    more[1::3] = more[:-1:3] ^ 5
+    lead, n = run >> 55, len(run)
+    length = np.array([(lead == k).sum() for k in lead])
+    differ = lambda a, b: int(np.bitwise_count(a ^ b))
+    hit = np.zeros(n, bool)
+    for i in range(n):
+        for j in range(i + 1, n):
+            same = lead[i] == lead[j]
+            close = differ(run[i], run[j]) <= 26 and differ(run[i], run[j]) + differ(more[i], more[j]) <= 45
+            if close and (j - i <= 4 or same and length[i] <= 30) and not (same and length[i] > 30):
+                hit[[i, j]] = True
+    got, crowded = embedding_dedup._neighbours(run, more, lead, 4, 30, 26, 45)
+    assert got.tolist() == hit.tolist() and crowded.tolist() == (length > 30).tolist() and 0 < hit.sum() < n
+
+
+def test_signs_apart_keeps_all_but_the_blur():
+    rng = np.random.default_rng(3)
+    differing = (rng.random((200_000, 124)) < math.acos(0.95) / math.pi).sum(1)
+    assert (differing > embedding_dedup.signs_apart(0.95, 124)).mean() < 2 * embedding_dedup.BLUR
+    assert embedding_dedup.signs_apart(1.0, 62) == 0 and embedding_dedup.signs_apart(-1.0, 62) == 62
+
+
 @pytest.mark.parametrize("crowd", [1024, 50])
 def test_crowded_vectors_lose_no_link(spark, monkeypatch, crowd):
     """A third of the rows in a cone of mutual cosine 0.9, pairs at 0.952 in it, and a vector that many rows share."""
@@ -308,6 +335,13 @@ def test_mixture(spark, odd, none, sf):
     words = mixed.select(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")))).first()[0]
     assert words == sum(r.taken for r in by)
     assert sorted(map(str, taken.collect())) == sorted(map(str, mixing.mix(docs.repartition(7)).collect()))
+    # each shard takes the words of its quota of blocks: all of them but what the last block of a stream lacks, and a document's shards add up
+    sources = taken.groupBy("source").agg(F.first("source_size").alias("source_size"))
+    quotas = {(r.source, r.shard): r.quota for r in mixing.shard_quotas(mixing.source_targets(sources)).collect()}
+    dealt = {(r.source, r.shard): r.words for r in taken.select("source", F.inline("shards")).groupBy("source", "shard").agg(F.sum("words").alias("words")).collect()}
+    assert dealt.keys() <= quotas.keys()
+    assert all(0 <= quota * mixing.BLOCK - dealt.get(k, 0) < 2 * mixing.BLOCK for k, quota in quotas.items())
+    assert all(sum(p.words for p in r.shards) == r.taken for r in taken.collect())
     twice = docs.unionByName(docs.limit(20))
     plan = mixing.mix(twice)
     total = mixing.apply_mixture(twice, plan).select(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")))).first()[0]

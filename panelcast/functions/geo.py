@@ -77,15 +77,20 @@ def polygon_measures(multipolygon: Col) -> Column:
                              F.try_divide(acc["my"], acc["area"]).alias("cy")))
 
 
-def in_ring(x: Column, y: Column, ring: Column) -> Column:
-    """Even-odd test of a point against a closed ring."""
+def _odd_crossings(x: Column, y: Column, edges: Column) -> Column:
+    """Whether the ray to the right of a point crosses an odd number of edges."""
     def crossing(inside: Column, edge: Column) -> Column:
         ax, ay, bx, by = edge["a"]["x"], edge["a"]["y"], edge["b"]["x"], edge["b"]["y"]
         spans = (ay > y) != (by > y)
         at = ax + F.try_divide((y - ay) * (bx - ax), by - ay)
         return F.when(spans & (x < at), ~inside).otherwise(inside)
 
-    return F.aggregate(_edges(ring), F.lit(False), crossing)
+    return F.aggregate(edges, F.lit(False), crossing)
+
+
+def in_ring(x: Column, y: Column, ring: Column) -> Column:
+    """Even-odd test of a point against a closed ring."""
+    return _odd_crossings(x, y, _edges(ring))
 
 
 def contains(multipolygon: Col, x: Col, y: Col) -> Column:
@@ -95,6 +100,37 @@ def contains(multipolygon: Col, x: Col, y: Col) -> Column:
         polygon, F.lit(False), lambda inside, ring: inside != in_ring(x, y, ring)))
 
 
+def outline(multipolygon: Col) -> Column:
+    """The edges of each polygon, those of all its rings together: ``array<array<{a, b}>>``."""
+    return F.transform(_c(multipolygon), lambda polygon: F.flatten(F.transform(polygon, _edges)))
+
+
+def outline_contains(shape: Col, x: Col, y: Col) -> Column:
+    """:func:`contains` on an outline."""
+    return F.exists(_c(shape), lambda edges: _odd_crossings(_c(x), _c(y), edges))
+
+
+def outline_beside(shape: Col, box: Column) -> Column:
+    """The edges that a ray to the right can cross from within ``box`` (``{x0, y0, x1, y1}``)."""
+    return F.transform(_c(shape), lambda edges: F.filter(edges, lambda e: (
+        (F.greatest(e["a"]["y"], e["b"]["y"]) >= box["y0"]) & (F.least(e["a"]["y"], e["b"]["y"]) <= box["y1"])
+        & (F.greatest(e["a"]["x"], e["b"]["x"]) >= box["x0"]))))
+
+
+def outline_touches(shape: Col, box: Column) -> Column:
+    """Whether an edge comes into ``box``: their extents overlap and the corners are not all on one side of it."""
+    def side(e: Column, x: Column, y: Column) -> Column:
+        return (e["b"]["x"] - e["a"]["x"]) * (y - e["a"]["y"]) - (e["b"]["y"] - e["a"]["y"]) * (x - e["a"]["x"])
+
+    def meets(e: Column) -> Column:
+        corners = [side(e, box[x], box[y]) for x in ("x0", "x1") for y in ("y0", "y1")]
+        return ((F.greatest(e["a"]["x"], e["b"]["x"]) >= box["x0"]) & (F.least(e["a"]["x"], e["b"]["x"]) <= box["x1"])
+                & (F.greatest(e["a"]["y"], e["b"]["y"]) >= box["y0"]) & (F.least(e["a"]["y"], e["b"]["y"]) <= box["y1"])
+                & (F.least(*corners) <= 0) & (F.greatest(*corners) >= 0))
+
+    return F.exists(_c(shape), lambda edges: F.exists(edges, meets))
+
+
 def bounds(multipolygon: Col) -> Column:
     """``{x0, y0, x1, y1}`` of a multipolygon."""
     points = F.flatten(F.flatten(_c(multipolygon)))

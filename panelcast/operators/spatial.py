@@ -37,27 +37,59 @@ def heat_points(layer: DataFrame, weight: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 # point in polygon
 # ---------------------------------------------------------------------------
-def cells_in_areas(cells: DataFrame, layer: DataFrame, tile: float | None = None, salts: int = 8) -> DataFrame:
+DEPTH = 4          # splits of an area's tiles, so a leaf is a 4th to a 16th of the area across
+FINEST = -30       # exponent of the smallest tile; leaf numbers of coordinates up to 1e8 fit 64 bits
+MARGIN = 1e-6      # of a node, by which it is widened against rounding
+
+
+def area_cover(layer: DataFrame) -> DataFrame:
+    """Quadtree leaves of every area: ``health_area, _level, _ix, _iy, _full, _shape``.
+
+    Sides are powers of two, every second one, so an area lies in at most four tiles of
+    its own level whatever the other areas are like, and the number of leaves of an area
+    is bounded.  A node is split with the edges that matter within it; a node without an
+    edge is full or is dropped.  ``_full`` leaves lie inside the area; the others keep the
+    edges that a ray cast from within them can cross.  All of it is row-local.
+    """
+    extent = F.greatest(F.col("_b.x1") - F.col("_b.x0"), F.col("_b.y1") - F.col("_b.y0"))
+    nodes = (layer.select(normal_key("health_area").alias("health_area"), geo.outline("polygons").alias("_shape"), geo.bounds("polygons").alias("_b"))
+             .where((extent > 0) & (extent < F.lit(float("inf"))))  # an area without extent holds no cell
+             .withColumn("_level", F.greatest(F.lit(FINEST), 2 * F.ceil(F.log2(extent) / 2)).cast("int")))
+    side = lambda depth: F.pow(F.lit(2.0), F.col("_level") - depth)
+    span = lambda axis: F.sequence(F.floor(F.col(f"_b.{axis}0") / side(0)), F.floor(F.col(f"_b.{axis}1") / side(0)))
+    nodes = nodes.withColumn("_ix", F.explode(span("x"))).withColumn("_iy", F.explode(span("y"))).drop("_b").withColumn("_full", F.lit(False))
+    for depth in range(0, DEPTH + 1, 2):
+        if depth:  # two levels of the tree at once
+            part = F.explode(F.array(*[F.struct(F.lit(i).alias("x"), F.lit(j).alias("y")) for i in range(4) for j in range(4)]))
+            nodes = nodes.withColumn("_part", part).withColumns({"_ix": F.col("_ix") * 4 + F.col("_part.x"), "_iy": F.col("_iy") * 4 + F.col("_part.y")}).drop("_part")
+        s, x, y = side(depth), F.col("_ix"), F.col("_iy")
+        box = F.struct(((x - MARGIN) * s).alias("x0"), ((y - MARGIN) * s).alias("y0"), ((x + 1 + MARGIN) * s).alias("x1"), ((y + 1 + MARGIN) * s).alias("y1"))
+        nodes = nodes.withColumn("_box", box).withColumn("_shape", F.when(~F.col("_full"), geo.outline_beside("_shape", F.col("_box"))))
+        nodes = nodes.withColumn("_edge", F.coalesce(geo.outline_touches("_shape", F.col("_box")), F.lit(False)))
+        nodes = nodes.withColumn("_full", F.col("_full") | (~F.col("_edge") & F.coalesce(geo.outline_contains("_shape", (x + 0.5) * s, (y + 0.5) * s), F.lit(False))))
+        nodes = nodes.where("_full or _edge").drop("_box", "_edge")
+    return nodes.withColumn("_shape", F.when(~F.col("_full"), F.col("_shape")))
+
+
+def cells_in_areas(cells: DataFrame, layer: DataFrame) -> DataFrame:
     """Cells (``x, y, ...``) with the ``health_area`` whose polygon contains them.
 
-    Both sides are keyed by a square tile: a polygon is listed in every tile its
-    bounding box touches, a cell in exactly one, so the range condition becomes an
-    equi-join followed by the exact ray cast.  Tiles are salted, because a third of
-    all cells may fall into one: the cell side spreads over ``salts`` keys, the
-    polygon side (areas hardly overlap, so few per tile) is repeated.
+    Areas are cut to quadtree leaves (:func:`area_cover`), a cell lies in one leaf of each
+    level in use, and the two meet by an equi-join.  A leaf inside its area takes its cells
+    as they are, one at the border casts rays at its own edges.  An area that holds a third
+    of all cells is spread over its leaves; a single crowded leaf is left to the skew
+    handling of adaptive execution.  Cells without a position lie nowhere.
     """
-    boxes = layer.select(normal_key("health_area").alias("health_area"), "polygons").withColumn("_b", geo.bounds("polygons"))
-    if tile is None:
-        tile = boxes.agg(F.avg(F.greatest(F.col("_b.x1") - F.col("_b.x0"), F.col("_b.y1") - F.col("_b.y0")))).first()[0] or 1.0
-    index = lambda v: F.floor(v / F.lit(float(tile)))
-    tiled = (boxes.withColumn("_tx", F.explode(F.sequence(index(F.col("_b.x0")), index(F.col("_b.x1")))))
-             .withColumn("_ty", F.explode(F.sequence(index(F.col("_b.y0")), index(F.col("_b.y1")))))
-             .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
-    placed = cells.withColumns({"_tx": index(F.col("x")), "_ty": index(F.col("y")),
-                                "_salt": F.pmod(F.xxhash64("x", "y"), F.lit(salts)).cast("int")})
-    inside = (F.col("x").between(F.col("_b.x0"), F.col("_b.x1")) & F.col("y").between(F.col("_b.y0"), F.col("_b.y1")))
-    joined = placed.join(tiled, ["_tx", "_ty", "_salt"]).where(inside & geo.contains("polygons", "x", "y"))
-    return joined.drop("_tx", "_ty", "_salt", "_b", "polygons")
+    cover = materialise(area_cover(layer))
+    levels = sorted(r[0] for r in cover.select("_level").distinct().collect())  # a few exponents
+    if not levels:
+        return cells.withColumn("health_area", F.lit(None).cast("string")).limit(0)
+    grid = F.explode(F.array(*[F.struct(F.lit(n).alias("level"), F.lit(2.0 ** (n - DEPTH)).alias("side")) for n in levels]))
+    known = ~F.isnan("x") & ~F.isnan("y") & F.col("x").isNotNull() & F.col("y").isNotNull()
+    placed = cells.where(known).withColumn("_grid", grid).withColumns({
+        "_level": F.col("_grid.level"), "_ix": F.floor(F.col("x") / F.col("_grid.side")), "_iy": F.floor(F.col("y") / F.col("_grid.side"))})
+    joined = placed.join(cover, ["_level", "_ix", "_iy"]).where(F.col("_full") | geo.outline_contains("_shape", "x", "y"))
+    return joined.drop("_level", "_ix", "_iy", "_grid", "_full", "_shape")
 
 
 def _all_areas(layer: DataFrame, stats: DataFrame) -> DataFrame:

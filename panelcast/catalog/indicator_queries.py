@@ -492,3 +492,22 @@ def match_keys(spark, sf):
     return fx.table(spark, sf, "orders").select("o_orderkey", match_key("o_orderpriority").alias("match_key"))
 
 
+
+
+# Spellings of a customer's area, an invented name of 16 letters.  By the customer's key: a letter left out, a letter doubled
+# (both found), another beginning (rejected: the first four letters differ), and a name that two areas are equally close to (rejected: a rival).
+_AREA = "substr(md5(CAST(c_custkey AS {text})), 1, 16)"
+_SPELLING = """CASE c_custkey % 4 WHEN 0 THEN concat(substr({area}, 1, 8), substr({area}, 10)) WHEN 1 THEN concat({area}, 'z')
+    WHEN 2 THEN concat('z', substr({area}, 2)) ELSE concat({area}, 'w') END"""
+_REAL = "CASE c_custkey % 4 WHEN 3 THEN concat({area}, {end}) ELSE {area} END"
+
+
+@register(sql(f"""SELECT {_SPELLING.format(area=_AREA.format(text='VARCHAR'))} AS raw_name, {_AREA.format(text='VARCHAR')} AS health_area,
+    {r('CASE c_custkey % 4 WHEN 0 THEN 30.0 / 31 ELSE 32.0 / 33 END')} AS score FROM customer WHERE c_custkey % 4 < 2"""))
+def name_match_rivals(spark, sf):
+    """The conservative mapping with matches, rejections and rivals."""
+    area = _AREA.format(text="STRING")
+    customer = fx.table(spark, sf, "customer")
+    cases = customer.select(F.expr(_SPELLING.format(area=area)).alias("health_area"))
+    layer = customer.select(F.explode(F.expr("array('x', 'y')")).alias("end"), "c_custkey").select(F.expr(_REAL.format(area=area, end="end")).alias("health_area"))
+    return rounded(matching.build_auto_health_area_mapping(layer, cases))

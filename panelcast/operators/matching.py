@@ -1,10 +1,15 @@
 """Fuzzy matching of dirty area names to a reference layer.
 
-Only distinct names are compared.  Both name lists are cut into bounded fragments
-that meet by an equi-join on the fragment pair (fragment-and-replicate), so no
-task ever holds a whole list and no pair leaves a task unless it is a winner.
-Inside a task a letter-count bound skips almost all full comparisons; the bound
-never underestimates a score, so the result is exact.
+Only distinct names are compared.  Close matches (ratio ``INDEXED`` or more) come from an
+inverted index: two names of that ratio share so many pairs of letters that they share
+two of the rarest of each (:func:`pairs_needed`), so names meet by an equi-join on two
+rare ones, within their length bands, instead of all meeting all.
+
+Names without a match that close, and very short ones, are compared in full: both
+lists are cut into bounded fragments that meet by an equi-join on the fragment pair
+(fragment-and-replicate), so no task ever holds a whole list and no pair leaves a task
+unless it is a winner.  Inside a task a letter-count bound skips almost all full
+comparisons.  Neither bound underestimates a score, so the result is exact.
 """
 
 from __future__ import annotations
@@ -18,8 +23,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.scalars import fold_accents, match_key
+from ..session import materialise
 
 FRAGMENT = 20_000
+#: Ratio from which on the index of letter pairs is used; below it names of usual length need not share any.
+INDEXED = 0.9
+#: Letter pairs that names must have in common to meet.
+SHARED = 2
 
 
 def similarity(a: str, b: str) -> float:
@@ -59,14 +69,69 @@ def best_in_fragment(names: pd.DataFrame, layer: pd.DataFrame, cutoff: float, ke
     return out
 
 
+def pairs_needed(length, cutoff: float):
+    """Neighbouring letters that a name of this length shares at least with any name of ratio ``cutoff``.
+
+    Of T letters in both names M match on each side, in k blocks; between two blocks a
+    letter is left over, so k <= T - 2 M + 1, and the blocks hold M - k >= 3 M - T - 1
+    pairs, with M >= cutoff T / 2.  T is smallest for the shortest partner, which must
+    hold the M letters itself.
+    """
+    return F.ceil(length * (2 / (2 - cutoff)) * (1.5 * cutoff - 1) - 1 - 1e-9)
+
+
+def _indexed(names: DataFrame, layer: DataFrame, cutoff: float, candidate_first: bool) -> DataFrame:
+    """``key, cand, score`` of all pairs of at least ``cutoff``; every key must need ``SHARED`` pairs of letters.
+
+    With the letter pairs of a name ordered from the rarest on, two names that share n of
+    them share ``SHARED`` of their first size - n + ``SHARED``: names meet on combinations of those.
+    """
+    def grams(name):
+        two = F.when(F.length(name) > 1, F.transform(F.sequence(F.lit(1), F.length(name) - 1), lambda i: F.substring(name, i, F.lit(2))))
+        # the second "an" of a name is another one than its first
+        return F.transform(two, lambda g, i: F.concat(g, F.size(F.filter(F.slice(two, F.lit(1), i + 1), lambda x: x == g)).cast("string")))
+
+    both = names.select(F.col("key").alias("name"), F.lit(True).alias("left")).unionByName(layer.select(F.col("cand").alias("name"), F.lit(False).alias("left")))
+    both = both.select("left", "name", F.explode(grams(F.col("name"))).alias("gram"))
+    often = both.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    ranked = both.join(often, "gram").groupBy("left", "name").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("grams"))
+    length = F.length("name")
+    first = F.slice("grams", F.lit(1), F.least(F.size("grams"), F.size("grams") - pairs_needed(length, cutoff).cast("int") + SHARED))
+    ranked = ranked.select("left", "name", length.alias("size"), F.transform(first, lambda g: g["gram"]).alias("first"))
+    twos = F.flatten(F.transform("first", lambda x, i: F.transform(F.slice("first", i + 2, F.size("first")), lambda y: F.concat(x, y))))
+    index = ranked.select("left", "name", "size", F.explode(twos).alias("gram"))
+    a = index.where("left").select("gram", F.col("name").alias("key"), F.col("size").alias("m"))
+    b = index.where("not left").select("gram", F.col("name").alias("cand"), F.col("size").alias("n"))
+    close = 2 * F.least("m", "n") >= cutoff * (F.col("m") + F.col("n")) - 1e-9
+    pairs = a.join(b, "gram").where(close).select("key", "cand").distinct()
+    sides = ("cand", "key") if candidate_first else ("key", "cand")
+    return pairs.withColumn("score", _pair_ratio(*sides)).where(F.col("score") >= cutoff)
+
+
+def _best(scored: DataFrame, keep: int) -> DataFrame:
+    order = Window.partitionBy("key").orderBy(F.desc("score"), "cand")
+    return scored.select("key", "cand", "score").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep)
+
+
 def score_names(names: DataFrame, layer: DataFrame, cutoff: float, keep: int = 1,
                 candidate_first: bool = False) -> DataFrame:
     """``key, cand, score, rank``: best candidates of each distinct ``key``.
 
     ``names`` has one string column, ``layer`` too.  Ties go to the smaller name.
     """
-    names = names.toDF("key").where("key is not null and key <> ''").distinct()
-    layer = layer.toDF("cand").where("cand is not null").distinct()
+    names = materialise(names.toDF("key").where("key is not null and key <> ''").distinct())
+    layer = materialise(layer.toDF("cand").where("cand is not null").distinct())
+    high = max(cutoff, INDEXED)
+    long = names.where(pairs_needed(F.length("key"), high) >= SHARED)
+    hits = materialise(_best(_indexed(long, layer, high, candidate_first), keep))
+    # below the index's ratio only names that have all their matches above it are settled
+    settled = long if cutoff >= high else hits.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= keep).select("key")
+    rest = score_in_fragments(names.join(settled, "key", "left_anti"), layer, cutoff, keep, candidate_first)
+    return hits.join(settled, "key", "left_semi").unionByName(rest)
+
+
+def score_in_fragments(names: DataFrame, layer: DataFrame, cutoff: float, keep: int, candidate_first: bool) -> DataFrame:
+    """:func:`score_names` by comparing every name with every candidate (``key`` and ``cand`` distinct)."""
     rows = names.count()
     slots = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n_left = max(1, min(slots, rows), -(-rows // FRAGMENT))
@@ -82,8 +147,7 @@ def score_names(names: DataFrame, layer: DataFrame, cutoff: float, keep: int = 1
 
     hits = (left.groupBy("_l", "_r").cogroup(right.groupBy("_l", "_r"))
             .applyInPandas(compare, "key string, cand string, score double"))
-    order = Window.partitionBy("key").orderBy(F.desc("score"), "cand")
-    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep)
+    return _best(hits, keep)
 
 
 def unmatched_names(cases: DataFrame, layer: DataFrame, key: str = "health_area") -> DataFrame:

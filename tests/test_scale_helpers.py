@@ -184,3 +184,41 @@ def test_quantiles_of_many_distinct_values(spark, monkeypatch):
     got = quantiles.exact_quantiles(df, ["v", "w"], [0.0, 0.25, 0.5, 1.0])
     for c in "vw":
         assert got[c] == pytest.approx(np.quantile(pdf[c], [0.0, 0.25, 0.5, 1.0]).tolist(), rel=1e-12)
+
+
+def test_indexed_names_equal_the_full_comparison(spark):
+    rng = np.random.default_rng(12)
+    word = lambda: "".join(rng.choice(list("abcdeinorst "), int(rng.integers(1, 18))))
+    layer = sorted({word() for _ in range(250)} | {"banana banana", "banana", "ana ana ana", "a", "", "\u00e9t\u00e9 \U0001f600 nord"})
+    names = [None, "", "a", "bananana", "ana ana an"]
+    for name in layer:
+        for _ in range(2):  # a letter dropped, doubled or replaced
+            at = int(rng.integers(0, len(name) + 1))
+            names.append(name[:at] + str(rng.choice(["", "x", name[at:at + 1] * 2])) + name[at + int(rng.integers(0, 2)):])
+    left, right = spark.createDataFrame([(n,) for n in names], "n string"), spark.createDataFrame([(n,) for n in layer], "n string")
+    for cutoff, keep, first in ((0.9, 5, True), (0.7, 1, False), (0.7, 3, True), (0.95, 2, False)):
+        got = {}
+        for r in matching.score_names(left, right, cutoff, keep, first).orderBy("rank").collect():
+            got.setdefault(r["key"], []).append((r["score"], r["cand"]))
+        want = {}
+        for key in {n for n in names if n}:
+            scores = [(matching.similarity(c, key) if first else matching.similarity(key, c), c) for c in layer]
+            best = sorted([p for p in scores if p[0] >= cutoff], key=lambda p: (-p[0], p[1]))[:keep]
+            if best:
+                want[key] = best
+        assert got == want and len(want) > 100
+
+
+def test_indexed_names_do_not_meet_all(spark):
+    """Few candidate pairs per name reach the comparison."""
+    names = spark.range(3000).select(F.substring(F.md5(F.col("id").cast("string")), 1, 16).alias("cand"))
+    keys = names.select(F.concat(F.substring("cand", 1, 15), F.lit("z")).alias("key"))
+    every = []
+    ratio = matching._pair_ratio
+    try:
+        matching._pair_ratio = lambda a, b: F.lit(1.0)
+        every = matching._indexed(keys, names, 0.9, True).count()
+    finally:
+        matching._pair_ratio = ratio
+    assert 3000 <= every < 3000 * 3000 / 20
+    assert matching._indexed(keys, names, 0.9, True).where("substring(key, 1, 15) = substring(cand, 1, 15)").count() == 3000

@@ -86,13 +86,11 @@ def _indexed(names: DataFrame, layer: DataFrame, cutoff: float, candidate_first:
     With the letter pairs of a name ordered from the rarest on, two names that share n of
     them share ``SHARED`` of their first size - n + ``SHARED``: names meet on combinations of those.
     """
-    def grams(name):
-        two = F.when(F.length(name) > 1, F.transform(F.sequence(F.lit(1), F.length(name) - 1), lambda i: F.substring(name, i, F.lit(2))))
-        # the second "an" of a name is another one than its first
-        return F.transform(two, lambda g, i: F.concat(g, F.size(F.filter(F.slice(two, F.lit(1), i + 1), lambda x: x == g)).cast("string")))
-
     both = names.select(F.col("key").alias("name"), F.lit(True).alias("left")).unionByName(layer.select(F.col("cand").alias("name"), F.lit(False).alias("left")))
-    both = both.select("left", "name", F.explode(grams(F.col("name"))).alias("gram"))
+    both = both.where(F.length("name") > 1).withColumn("two", F.transform(F.sequence(F.lit(1), F.length("name") - 1), lambda i: F.substring("name", i, F.lit(2))))
+    # the second "an" of a name is another one than its first
+    numbered = F.transform("two", lambda g, i: F.concat(g, F.size(F.filter(F.slice("two", F.lit(1), i + 1), lambda x: x == g)).cast("string")))
+    both = materialise(both.select("left", "name", F.explode(numbered).alias("gram")))
     often = both.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     ranked = both.join(often, "gram").groupBy("left", "name").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("grams"))
     length = F.length("name")

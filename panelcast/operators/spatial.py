@@ -1,4 +1,4 @@
-"""Spatial joins: cells in polygons, nearest lines and points, neighbours, clusters."""
+"""Spatial joins: cells in polygons (quadtree leaves), nearest lines and points, neighbours, clusters."""
 
 from __future__ import annotations
 

@@ -48,12 +48,17 @@ def global_rank(df: DataFrame, keys: Sequence[str], name: str, n_buckets: int |
             .withColumn(name, (F.col("_offset") + local).cast("bigint")).drop("_bucket", "_offset", "_at"))
 
 
-def sequential_id(df: DataFrame, name: str, chunk: int = 1_000_000) -> DataFrame:
+#: Rows that a task of :func:`sequential_id` unrolls.
+UNROLLED = 500_000
+
+
+def sequential_id(df: DataFrame, name: str, chunk: int = 10_000) -> DataFrame:
     """Number the rows 1..n.
 
     Exact copies are counted first, so a row repeated millions of times is one
     weighted row until its block of numbers is unrolled, at most ``chunk`` per
-    generator call after a redistribution.
+    generator call.  The blocks are few bytes however many rows they stand for, so
+    they are dealt by the number of rows: Spark would merge them into one task by size.
     """
     columns = df.columns
     counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_copies"))
@@ -61,7 +66,8 @@ def sequential_id(df: DataFrame, name: str, chunk: int = 1_000_000) -> DataFrame
     start = global_rank(keyed, ["_key", *columns], "_start", weight="_copies")
     blocks = start.select(*columns, "_start", "_copies", F.explode(
         F.sequence(F.lit(0).cast("bigint"), F.col("_copies") - 1, F.lit(chunk).cast("bigint"))).alias("_from"))
-    blocks = blocks.repartition(F.xxhash64("_start", "_from"))
+    total = start.agg(F.sum("_copies")).first()[0] or 0
+    blocks = blocks.repartition(max(1, -(-total // UNROLLED)), F.xxhash64("_start", "_from"))
     last = F.least(F.col("_copies"), F.col("_from") + chunk) - 1
     numbers = F.sequence(F.col("_start") + F.col("_from"), F.col("_start") + last)
     return blocks.select(F.explode(numbers).alias(name), *columns)

@@ -17,6 +17,16 @@ def test_ids_are_dense_with_a_hot_copy(spark):
     assert sorted(ids) == list(range(1, 3001))
 
 
+def test_copies_are_unrolled_by_many_tasks(spark, monkeypatch):
+    """Blocks of copies are tiny until they are unrolled; their tasks follow the number of rows."""
+    monkeypatch.setattr(ranking, "UNROLLED", 20_000)
+    df = spark.range(200_000).select((F.col("id") % 3).alias("k"))
+    ids = ranking.sequential_id(df, "i", chunk=1000)
+    tasks = [r["n"] for r in ids.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(tasks) >= 8 and max(tasks) <= 60_000
+    assert ids.agg(F.count(F.lit(1)), F.countDistinct("i"), F.min("i"), F.max("i")).first()[:] == (200_000, 200_000, 1, 200_000)
+
+
 def test_rank_equals_sorting(spark):
     rng = np.random.default_rng(0)
     pdf = pd.DataFrame({"a": rng.integers(0, 50, 2000).astype(float), "b": np.arange(2000)})

@@ -1,9 +1,11 @@
 """Fuzzy matching of dirty area names to a reference layer.
 
-Only distinct names are compared.  Close matches (ratio ``INDEXED`` or more) come from an
-inverted index: two names of that ratio share so many pairs of letters that they share
-two of the rarest of each (:func:`pairs_needed`), so names meet by an equi-join on two
-rare ones, within their length bands, instead of all meeting all.
+Only distinct names are compared.  Close matches (ratio ``INDEXED`` or more) come from
+indexes.  Names that differ in at most three letters have a half that differs in at most
+one (:func:`_by_halves`), so they meet by an equi-join on half names, one letter left out.
+Longer names, and those of crowded halves, share so many pairs of letters that they share
+two of the rarest of each (:func:`pairs_needed`): they meet by an equi-join on two rare
+ones, within their length bands.
 
 Names without a match that close, and very short ones, are compared in full: both
 lists are cut into bounded fragments that meet by an equi-join on the fragment pair
@@ -30,6 +32,8 @@ FRAGMENT = 20_000
 INDEXED = 0.9
 #: Letter pairs that names must have in common to meet.
 SHARED = 2
+#: Candidates of one half name from which on its names meet on rare letter pairs instead.
+CROWD = 200
 
 
 def similarity(a: str, b: str) -> float:
@@ -80,8 +84,97 @@ def pairs_needed(length, cutoff: float):
     return F.ceil(length * (2 / (2 - cutoff)) * (1.5 * cutoff - 1) - 1 - 1e-9)
 
 
+def letters_apart(letters, cutoff: float):
+    """Letters that two names of ratio ``cutoff`` with so many letters in both may leave unmatched at most."""
+    return F.floor(letters * (1 - cutoff) + 1e-9)
+
+
+def _longest(length, cutoff: float):
+    """Letters of a name of this length and of its longest possible match."""
+    return length + F.floor(length * (2 - cutoff) / cutoff + 1e-9)
+
+
+def _close(m: str, n: str, cutoff: float):
+    """Lengths that allow a ratio of ``cutoff``."""
+    return 2 * F.least(m, n) >= cutoff * (F.col(m) + F.col(n)) - 1e-9
+
+
+def _code(kind: str, half, text):
+    return F.xxhash64(F.lit(kind), half, text)
+
+
+def _without_one(kind: str, half, text):
+    """Codes of a text with one letter left out."""
+    cut = F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.length(text))))
+    return F.transform(F.array_distinct(cut), lambda t: _code(kind, half, t))
+
+
+def _half_codes(length, start, end, cutoff: float):
+    """Codes of one candidate's halves, whole and with one letter left out where a match may leave two unmatched."""
+    loose = letters_apart(_longest(length, cutoff), cutoff) >= 2
+    codes = [F.array(_code(side + "=", F.length(text), text)) for side, text in (("s", start), ("e", end))]
+    cut = [_without_one(side + "-", F.length(text), text) for side, text in (("s", start), ("e", end))]
+    return F.flatten(F.array(*codes, F.when(loose, F.flatten(F.array(*cut))).otherwise(F.array().cast("array<bigint>"))))
+
+
+def _by_halves(names: DataFrame, layer: DataFrame, cutoff: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs ``key, cand`` of names that differ in at most three letters, and the names of crowded halves.
+
+    The matched letters of two names are a common subsequence.  Cut the candidate in the
+    middle and the key where the subsequence passes it: of three unmatched letters one of
+    the halves has at most one.  Both ends of a name are fixed, so that half is equal to a
+    head or tail of the key, of the same length, or after one letter is left out of either.
+    Pairs that meet in crowded halves only are left to the caller: a half that more than
+    ``CROWD`` candidates share would let them all meet.
+    """
+    length = F.length("cand")
+    near = letters_apart(length + F.ceil(length * cutoff / (2 - cutoff) - 1e-9), cutoff) <= 3
+    halves = layer.where((length > 1) & near).withColumns({
+        "n": length, "start": F.substring("cand", F.lit(1), F.floor(length / 2).cast("int")), "end": F.expr("substring(cand, CAST(floor(length(cand) / 2) AS INT) + 1)")})
+    b = materialise(halves.select("cand", "n", F.explode(F.array_distinct(_half_codes(F.col("n"), F.col("start"), F.col("end"), cutoff))).alias("code")))
+    # lengths of the layer whose names may be as close: bounded, as longer names leave more letters unmatched
+    sizes = [r["n"] for r in b.select("n").distinct().collect()]
+    wanted = F.filter(F.array(*[F.lit(n) for n in sorted(sizes)]).cast("array<int>"), lambda n: 2 * F.least(n, F.col("m")) >= cutoff * (n + F.col("m")) - 1e-9)
+
+    def tried(side: str, half, part):
+        """Codes that a key may share with a half of this length; ``part(k)`` is its head or tail of k letters."""
+        loose = letters_apart(_longest(F.col("m"), cutoff), cutoff) >= 2
+        more = F.concat(F.array(_code(side + "-", half, part(half - 1))), _without_one(side + "=", half, part(half + 1)))
+        return F.concat(F.array(_code(side + "=", half, part(half))), F.when(loose, more).otherwise(F.array().cast("array<bigint>")))
+
+    def head(k):
+        return F.substring("key", F.lit(1), k)
+
+    def tail(k):
+        return F.substring(F.col("key"), F.greatest(F.col("m") - k + 1, F.lit(1)), k)
+
+    heads = F.array_distinct(F.transform("wanted", lambda n: F.floor(n / 2).cast("int")))
+    tails = F.array_distinct(F.transform("wanted", lambda n: n - F.floor(n / 2).cast("int")))
+    codes = F.concat(F.flatten(F.transform(heads, lambda h: tried("s", h, head))), F.flatten(F.transform(tails, lambda h: tried("e", h, tail))))
+    keys = names.withColumn("m", F.length("key")).withColumn("wanted", wanted)
+    a = materialise(keys.select("key", "m", F.explode(F.array_distinct(codes)).alias("code")))
+    crowds = materialise(b.groupBy("code").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > CROWD).select("code"))
+    # every pair passes a distinct: few letters apart is checked before
+    apart = F.levenshtein("key", "cand", 3) >= 0
+    pairs = (a.join(crowds, "code", "left_anti").join(b, "code").where(_close("m", "n", cutoff) & apart)
+             .select("key", "cand").distinct())
+    return pairs, a.join(crowds, "code", "left_semi").select("key").distinct(), b.join(crowds, "code", "left_semi").select("cand").distinct()
+
+
 def _indexed(names: DataFrame, layer: DataFrame, cutoff: float, candidate_first: bool) -> DataFrame:
-    """``key, cand, score`` of all pairs of at least ``cutoff``; every key must need ``SHARED`` pairs of letters.
+    """``key, cand, score`` of all pairs of at least ``cutoff``; every key must need ``SHARED`` pairs of letters."""
+    pairs, keys, cands = _by_halves(names, layer, cutoff)
+    # pairs of four letters apart: of two long names; the others again where their half is crowded
+    far = [letters_apart(_longest(F.length(c), cutoff), cutoff) > 3 for c in ("key", "cand")]
+    some = [materialise(x.where(f).unionByName(y).distinct()) for x, f, y in ((names, far[0], keys), (layer, far[1], cands))]
+    if not (some[0].isEmpty() or some[1].isEmpty()):
+        pairs = pairs.unionByName(_by_rare_pairs(*some, cutoff)).distinct()
+    sides = ("cand", "key") if candidate_first else ("key", "cand")
+    return pairs.withColumn("score", _pair_ratio(*sides)).where(F.col("score") >= cutoff)
+
+
+def _by_rare_pairs(names: DataFrame, layer: DataFrame, cutoff: float) -> DataFrame:
+    """Pairs ``key, cand`` that share so many pairs of letters as a ratio of ``cutoff`` needs.
 
     With the letter pairs of a name ordered from the rarest on, two names that share n of
     them share ``SHARED`` of their first size - n + ``SHARED``: names meet on combinations of those.
@@ -100,10 +193,7 @@ def _indexed(names: DataFrame, layer: DataFrame, cutoff: float, candidate_first:
     index = ranked.select("left", "name", "size", F.explode(twos).alias("gram"))
     a = index.where("left").select("gram", F.col("name").alias("key"), F.col("size").alias("m"))
     b = index.where("not left").select("gram", F.col("name").alias("cand"), F.col("size").alias("n"))
-    close = 2 * F.least("m", "n") >= cutoff * (F.col("m") + F.col("n")) - 1e-9
-    pairs = a.join(b, "gram").where(close).select("key", "cand").distinct()
-    sides = ("cand", "key") if candidate_first else ("key", "cand")
-    return pairs.withColumn("score", _pair_ratio(*sides)).where(F.col("score") >= cutoff)
+    return a.join(b, "gram").where(_close("m", "n", cutoff)).select("key", "cand").distinct()
 
 
 def _best(scored: DataFrame, keep: int) -> DataFrame:
@@ -131,6 +221,8 @@ def score_names(names: DataFrame, layer: DataFrame, cutoff: float, keep: int = 1
 def score_in_fragments(names: DataFrame, layer: DataFrame, cutoff: float, keep: int, candidate_first: bool) -> DataFrame:
     """:func:`score_names` by comparing every name with every candidate (``key`` and ``cand`` distinct)."""
     rows = names.count()
+    if not rows:  # nothing to compare: the layer need not move
+        return names.select("key", F.lit("").alias("cand"), F.lit(0.0).alias("score"), F.lit(1).alias("rank")).where(F.lit(False))
     slots = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n_left = max(1, min(slots, rows), -(-rows // FRAGMENT))
     n_right = max(1, -(-layer.count() // FRAGMENT))

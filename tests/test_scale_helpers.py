@@ -232,3 +232,33 @@ def test_indexed_names_do_not_meet_all(spark):
         matching._pair_ratio = ratio
     assert 3000 <= every < 3000 * 3000 / 20
     assert matching._indexed(keys, names, 0.9, True).where("substring(key, 1, 15) = substring(cand, 1, 15)").count() == 3000
+
+
+@pytest.mark.parametrize("crowd", [200, 1])
+def test_half_names_lose_no_match(spark, monkeypatch, crowd):
+    """Names of 4 to 26 letters with up to four letters left out or put in, also where halves are shared by many."""
+    monkeypatch.setattr(matching, "CROWD", crowd)
+    rng = np.random.default_rng(5)
+    word = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    layer = {word(int(rng.integers(4, 27))) for _ in range(120)} | {"site_" + word(6) for _ in range(60)}
+    names = set()
+    for name in sorted(layer):
+        for edits in (1, 2, 3, 4):
+            new = name
+            for _ in range(edits):
+                at = int(rng.integers(0, len(new) + 1))
+                new = new[:at] + (new[at + 1:] if rng.random() < 0.5 else "x" + new[at:])
+            names.add(new)
+    names = sorted(n for n in names if len(n) >= 4)
+    left, right = spark.createDataFrame([(n,) for n in names], "key string"), spark.createDataFrame([(n,) for n in sorted(layer)], "cand string")
+    got = {(r["key"], r["cand"]): r["score"] for r in matching._indexed(left, right, 0.9, True).collect()}
+    want = {(k, c): s for k in names for c in layer if (s := matching.similarity(c, k)) >= 0.9}
+    assert got == want and len(want) > 200
+
+
+def test_candidate_pairs_grow_with_the_names(spark, monkeypatch):
+    """Twice the names, about twice the pairs that reach the comparison."""
+    monkeypatch.setattr(matching, "_pair_ratio", lambda a, b: F.lit(1.0))
+    names = spark.range(6000).select(F.substring(F.md5(F.col("id").cast("string")), 1, 16).alias("cand"))
+    keys = names.select(F.concat(F.substring("cand", 1, 15), F.lit("z")).alias("key"))
+    assert 6000 <= matching._indexed(keys, names, 0.9, True).count() < 1.1 * 6000

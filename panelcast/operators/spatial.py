@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -161,18 +163,19 @@ def seasonal_statistics(images: DataFrame, layer: DataFrame, scale: float = 1.0,
 # ---------------------------------------------------------------------------
 LEAF = 16          # targets a finest cell should hold
 MAX_DEPTH = 12     # 4096 x 4096 cells
+HOME = 64          # points that a cell of points should hold
+CROWD = 1024       # points that are compared together at most
+BLOCK = 4_000_000  # distances that a task holds at once
 
 
-def _near(px: Column, py: Column) -> Column:
-    dx = F.greatest(F.col("x0") - px, px - F.col("x1"), F.lit(0.0))
-    dy = F.greatest(F.col("y0") - py, py - F.col("y1"), F.lit(0.0))
-    return F.sqrt(dx * dx + dy * dy)
-
-
-def _far(px: Column, py: Column) -> Column:
-    dx = F.greatest(F.abs(px - F.col("x0")), F.abs(px - F.col("x1")))
-    dy = F.greatest(F.abs(py - F.col("y0")), F.abs(py - F.col("y1")))
-    return F.sqrt(dx * dx + dy * dy)
+def _apart(edges: Sequence[str]) -> tuple[Column, Column]:
+    """Smallest and largest distance between the box of a cell (x0, y0, x1, y1) and another box."""
+    near, far = F.lit(0.0), F.lit(0.0)
+    for low, high, other_low, other_high in (("x0", "x1", edges[0], edges[2]), ("y0", "y1", edges[1], edges[3])):
+        gap = F.greatest(F.col(low) - F.col(other_high), F.col(other_low) - F.col(high), F.lit(0.0))
+        reach = F.greatest(F.col(other_high) - F.col(low), F.col(high) - F.col(other_low))
+        near, far = near + gap * gap, far + reach * reach
+    return F.sqrt(near), F.sqrt(far)
 
 
 def k_nearest(points: DataFrame, targets: DataFrame, k: int = 1, exclude_self: bool = False) -> DataFrame:
@@ -181,40 +184,68 @@ def k_nearest(points: DataFrame, targets: DataFrame, k: int = 1, exclude_self: b
     ``points``: ``pid, px, py``.  ``targets``: ``tid, x1, y1, x2, y2`` (segments; a
     point has both ends equal).  Result: ``pid, tid, distance, rank``.
 
-    Targets are filed by midpoint into a pyramid of grid cells, each with the true
-    bounding box and number of its targets.  Points descend the pyramid two levels
-    per join.  At each stop the farthest corner of the boxes that together hold ``k``
-    targets bounds the k-th distance, and boxes that start beyond it are dropped.
-    Only the surviving finest cells are joined to their targets.  Ties go to the
-    smaller ``tid``.
+    Long segments are cut to pieces of about a finest cell.  Pieces are filed by midpoint
+    into a pyramid of grid cells, each with the true bounding box of its pieces and the
+    number of its targets (a target counts where its middle piece is).  Points are filed
+    by cells of the same grid, and these cells, not the points, descend the pyramid two
+    levels per join.  At each stop the largest distance to the boxes that together hold
+    ``k`` targets bounds the k-th distance, and boxes that start beyond it are dropped.
+    The targets of the surviving finest cells meet the points of a cell in one bounded
+    group, by their whole segments.  Ties go to the smaller ``tid``; rows without a position come last.
     """
-    wanted = k + 1 if exclude_self else k
-    mid = targets.withColumns({"_mx": (F.col("x1") + F.col("x2")) / 2, "_my": (F.col("y1") + F.col("y2")) / 2})
-    frame = mid.agg(F.count(F.lit(1)), F.min("_mx"), F.min("_my"), F.max("_mx"), F.max("_my")).first()
+    copies = Window.partitionBy("x1", "y1", "x2", "y2", "tid").orderBy("tid")
+    spots = Window.partitionBy("x1", "y1", "x2", "y2").orderBy("tid")
+    ends = [F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")]
+    # of targets in one place only the first can be among the nearest, however many there are
+    placed = targets.select("tid", *ends).withColumns({"_copy": F.row_number().over(copies), "_same": F.dense_rank().over(spots)})
+    placed = placed.where((F.col("_copy") <= k) & (F.col("_same") <= (k + 1 if exclude_self else k)))
+    mid = materialise(placed.select("tid", "x1", "y1", "x2", "y2", ((F.col("x1") + F.col("x2")) / 2).alias("_mx"), ((F.col("y1") + F.col("y2")) / 2).alias("_my"),
+                                    F.monotonically_increasing_id().alias("_row")))
+    known = mid.where(F.col("_mx").isNotNull() & F.col("_my").isNotNull())
+    frame = known.agg(F.count(F.lit(1)), F.min("_mx"), F.min("_my"), F.max("_mx"), F.max("_my")).first()
     n, left, low = frame[0], frame[1] or 0.0, frame[2] or 0.0
     side = max((frame[3] or 0.0) - left, (frame[4] or 0.0) - low) or 1.0
+    wanted = k
+    if exclude_self:
+        wanted = k + (mid.groupBy("tid").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0)
     depth = 1
     while depth < MAX_DEPTH and n > LEAF * 4 ** depth:
         depth += 1
     # clustered targets leave most cells empty: refine until the fullest cell is small
     while depth < MAX_DEPTH and n > LEAF * 4:
-        fullest = (mid.groupBy(*_cell(left, low, side, depth)).count().agg(F.max("count")).first()[0] or 0)
+        fullest = (known.groupBy(*_cell(left, low, side, depth)).count().agg(F.max("count")).first()[0] or 0)
         if fullest <= LEAF * 4:
             break
         depth += 2
     depth = min(depth, MAX_DEPTH)
+    pieces = F.least(F.ceil(F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1"))) / (side / 2 ** depth)), F.lit(2 ** depth))
+    cut = known.withColumn("_cut", F.greatest(pieces, F.lit(1))).withColumn("_i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_cut") - 1)))
+
+    def along(c: str, i: Column) -> Column:
+        # both ends of a segment stay as they are
+        return F.when(i == F.col("_cut"), F.col(c + "2")).otherwise(F.col(c + "1") + (F.col(c + "2") - F.col(c + "1")) * (i / F.col("_cut")))
+
+    cut = cut.withColumns({"_fx": along("x", F.col("_i")), "_fy": along("y", F.col("_i")), "_tx": along("x", F.col("_i") + 1), "_ty": along("y", F.col("_i") + 1)})
+    cut = cut.withColumns({"_mx": (F.col("_fx") + F.col("_tx")) / 2, "_my": (F.col("_fy") + F.col("_ty")) / 2, "held": (F.col("_i") == F.floor(F.col("_cut") / 2)).cast("bigint")})
     ix, iy = _cell(left, low, side, depth)
-    filed = materialise(mid.withColumns({"_ix": ix, "_iy": iy}))  # read once per stop of the descent
-    boxes = [F.min(F.least("x1", "x2")).alias("x0"), F.min(F.least("y1", "y2")).alias("y0"),
-             F.max(F.greatest("x1", "x2")).alias("x1"), F.max(F.greatest("y1", "y2")).alias("y1"),
-             F.count(F.lit(1)).alias("held")]
-    finest = filed.groupBy("_ix", "_iy").agg(*boxes)
-    again = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"),
-             F.sum("held").alias("held")]
-    spot = points.select("pid", F.col("px").cast("double").alias("px"), F.col("py").cast("double").alias("py"))
-    alive = spot.withColumns({"_ix": F.lit(0).cast("bigint"), "_iy": F.lit(0).cast("bigint")})
-    by_far = Window.partitionBy("pid").orderBy("_far").rowsBetween(Window.unboundedPreceding, 0)
+    filed = materialise(cut.select(ix.alias("_ix"), iy.alias("_iy"), "tid", "_row", "held", "x1", "y1", "x2", "y2", "_fx", "_fy", "_tx", "_ty"))
+    finest = materialise(filed.groupBy("_ix", "_iy").agg(F.min(F.least("_fx", "_tx")).alias("x0"), F.min(F.least("_fy", "_ty")).alias("y0"),
+                                                         F.max(F.greatest("_fx", "_tx")).alias("x1"), F.max(F.greatest("_fy", "_ty")).alias("y1"), F.sum("held").alias("held")))
+    again = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.sum("held").alias("held")]
+    # copies of a point have the same neighbours, and only k rows of a key are returned
+    spot = points.select("pid", F.col("px").cast("double").alias("px"), F.col("py").cast("double").alias("py")).groupBy("pid", "px", "py").agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("_times"))
+    lost = F.col("px").isNull() | F.col("py").isNull()
+    spot = materialise(spot)
+    rows, home = spot.count(), 0
+    while home < depth and rows > HOME * 4 ** home:
+        home += 1
+    spot = spot.withColumns(dict(zip(("_cx", "_cy"), _cell(left, low, side, home, "px", "py"))))
+    homes = spot.where(~lost).groupBy("_cx", "_cy").agg(F.min("px").alias("a0"), F.min("py").alias("b0"), F.max("px").alias("a1"), F.max("py").alias("b1"), F.count(F.lit(1)).alias("_n"))
+    homes = homes.select("_cx", "_cy", F.struct("a0", "b0", "a1", "b1", "_n").alias("_home"))
+    alive = homes.withColumns({"_ix": F.lit(0).cast("bigint"), "_iy": F.lit(0).cast("bigint")})
+    by_far = Window.partitionBy("_cx", "_cy").orderBy("_far").rowsBetween(Window.unboundedPreceding, 0)
     levels = sorted({*range(2, depth + 1, 2), depth})  # two levels per join: 16 children at a time
+    near, far = _apart([f"_home.{c}" for c in ("a0", "b0", "a1", "b1")])
     for above, level in zip([0, *levels], levels):
         shrink, fan = 2 ** (depth - level), 2 ** (level - above)
         cells = finest.select(F.floor(F.col("_ix") / shrink).alias("_ix"), F.floor(F.col("_iy") / shrink).alias("_iy"),
@@ -222,28 +253,71 @@ def k_nearest(points: DataFrame, targets: DataFrame, k: int = 1, exclude_self: b
         cells = cells.withColumns({"_px": F.floor(F.col("_ix") / fan), "_py": F.floor(F.col("_iy") / fan)})
         if level <= 6:
             cells = F.broadcast(cells)  # at most 4**6 = 4096 rows, whatever the number of targets
-        parents = alive.select("pid", "px", "py", F.col("_ix").alias("_px"), F.col("_iy").alias("_py"))
-        scored = parents.join(cells, ["_px", "_py"]).withColumns({"_near": _near(F.col("px"), F.col("py")),
-                                                                 "_far": _far(F.col("px"), F.col("py"))})
+        parents = alive.select("_cx", "_cy", "_home", F.col("_ix").alias("_px"), F.col("_iy").alias("_py"))
+        scored = parents.join(cells, ["_px", "_py"]).withColumns({"_near": near, "_far": far})
         reach = scored.withColumn("_upto", F.sum("held").over(by_far))
-        limit = F.min(F.when(F.col("_upto") >= wanted, F.col("_far"))).over(Window.partitionBy("pid"))
+        limit = F.min(F.when(F.col("_upto") >= wanted, F.col("_far"))).over(Window.partitionBy("_cx", "_cy"))
+        # the slack covers the rounding of cut segments and of distances
         alive = (reach.withColumn("_limit", limit)
-                 .where(F.col("_limit").isNull() | (F.col("_near") <= F.col("_limit")))
-                 .select("pid", "px", "py", "_ix", "_iy"))
-    leaves = filed.select("_ix", "_iy", "tid", "x1", "y1", "x2", "y2")
-    pairs = alive.join(leaves, ["_ix", "_iy"]).select(
-        "pid", "tid", geo.segment_distance("px", "py", "x1", "y1", "x2", "y2").alias("distance"))
+                 .where(F.col("_limit").isNull() | (F.col("_near") <= F.col("_limit") * (1 + 1e-9) + side * 1e-12))
+                 .select("_cx", "_cy", "_home", "_ix", "_iy"))
+    # crowded cells are cut to groups of points
+    slices = F.ceil(F.col("_home._n") / CROWD)
+    edges = alive.select("_cx", "_cy", "_ix", "_iy", F.explode(F.sequence(F.lit(0).cast("bigint"), slices - 1)).alias("_s"))
+    near_by = edges.join(filed.select("_ix", "_iy", "_row", "x1", "y1", "x2", "y2"), ["_ix", "_iy"]).select("_cx", "_cy", "_s", "_row", "x1", "y1", "x2", "y2")
+    own = spot.where(~lost).join(homes.select("_cx", "_cy", slices.alias("_slices")), ["_cx", "_cy"])
+    own = own.select("_cx", "_cy", F.pmod(F.xxhash64("pid", "px", "py"), "_slices").alias("_s"), "pid", "px", "py", "_times")
+    numbered = materialise(own.withColumn("_point", F.monotonically_increasing_id()))
+    found = (numbered.select("_cx", "_cy", "_s", "_point", "px", "py").groupBy("_cx", "_cy", "_s").cogroup(near_by.groupBy("_cx", "_cy", "_s"))
+             .applyInPandas(_nearest_rows(wanted), "_point bigint, _row bigint, distance double"))
+    some = numbered.select("_point", "pid", "_times").join(found, "_point").join(mid.select("_row", "tid"), "_row")
+    # points without a position take the first targets, as do all where fewer than k targets have one
+    first = mid.orderBy("tid").limit(wanted).select("tid")
+    nowhere = spot.where(lost).select("pid", "_times").join(F.broadcast(first)).withColumn("distance", F.lit(None).cast("double"))
+    pairs = some.select("pid", "_times", "tid", "distance").unionByName(nowhere.select("pid", "_times", "tid", "distance"))
+    if n < wanted:
+        unplaced = mid.where(F.col("_mx").isNull() | F.col("_my").isNull()).orderBy("tid").limit(wanted).select("tid")
+        pairs = pairs.unionByName(spot.where(~lost).select("pid", "_times").join(F.broadcast(unplaced)).withColumn("distance", F.lit(None).cast("double")))
     if exclude_self:
         pairs = pairs.where(F.col("pid") != F.col("tid"))
-    order = Window.partitionBy("pid").orderBy("distance", "tid")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-def _cell(left: float, low: float, side: float, depth: int) -> list[Column]:
+    pairs = pairs.withColumn("_times", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_times")))).drop("_times")
+    order = Window.partitionBy("pid").orderBy(F.asc_nulls_last("distance"), "tid")
+    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("pid", "tid", "distance", "rank")
+
+
+def _nearest_rows(wanted: int):
+    """Function of a group's points and targets: the ``wanted`` nearest of each point, and all as near as the last of them."""
+    def nearest(points: pd.DataFrame, targets: pd.DataFrame) -> pd.DataFrame:
+        targets = targets.drop_duplicates("_row")
+        x1, y1, x2, y2 = (targets[c].to_numpy() for c in ("x1", "y1", "x2", "y2"))
+        dx, dy = x2 - x1, y2 - y1
+        square = dx * dx + dy * dy
+        whole = np.where(square == 0, 1.0, square)
+        px, py, point, row = points["px"].to_numpy(), points["py"].to_numpy(), points["_point"].to_numpy(), targets["_row"].to_numpy()
+        out = []
+        step = max(1, BLOCK // max(1, len(row)))
+        for at in range(0, len(point) if len(row) else 0, step):
+            qx, qy = px[at:at + step, None], py[at:at + step, None]
+            if square.any():
+                share = np.where(square == 0, 0.0, ((qx - x1) * dx + (qy - y1) * dy) / whole)
+                share = np.minimum(np.maximum(share, 0.0), 1.0)
+                ox, oy = qx - (x1 + share * dx), qy - (y1 + share * dy)
+            else:
+                ox, oy = qx - x1, qy - y1
+            distance = np.sqrt(ox * ox + oy * oy)
+            last = np.partition(distance, wanted - 1, axis=1)[:, wanted - 1:wanted] if wanted < len(row) else np.inf
+            i, j = np.nonzero(distance <= last)
+            out.append((point[at + i], row[j], distance[i, j]))
+        columns = [np.concatenate([o[c] for o in out]) if out else np.empty(0, t) for c, t in enumerate(("int64", "int64", "float64"))]
+        return pd.DataFrame(dict(zip(("_point", "_row", "distance"), columns)))
+    return nearest
+
+
+def _cell(left: float, low: float, side: float, depth: int, x: str = "_mx", y: str = "_my") -> list[Column]:
     cells = 2 ** depth
     top = F.lit(cells - 1).cast("bigint")
     return [F.least(F.greatest(F.floor((F.col(c) - start) / side * cells), F.lit(0)), top).alias(name)
-            for c, start, name in (("_mx", left, "_ix"), ("_my", low, "_iy"))]
+            for c, start, name in ((x, left, "_ix"), (y, low, "_iy"))]
 
 
 def as_targets(points: DataFrame, tid: str, x: str, y: str) -> DataFrame:

@@ -262,3 +262,52 @@ def test_candidate_pairs_grow_with_the_names(spark, monkeypatch):
     names = spark.range(6000).select(F.substring(F.md5(F.col("id").cast("string")), 1, 16).alias("cand"))
     keys = names.select(F.concat(F.substring("cand", 1, 15), F.lit("z")).alias("key"))
     assert 6000 <= matching._indexed(keys, names, 0.9, True).count() < 1.1 * 6000
+
+
+def test_long_segments_meet_few_points(spark):
+    """Segments far longer than their distance from each other: every nearest distance is exact, few targets reach a point's cell."""
+    rng = np.random.default_rng(3)
+    ends = rng.uniform(0, 100, (1500, 2))
+    lines = np.c_[ends, ends + rng.uniform(-8, 8, (1500, 2))]
+    spots = np.r_[rng.uniform(-10, 110, (300, 2)), np.full((3, 2), 50.0)]
+    points = spark.createDataFrame([(f"p{i}", *map(float, p)) for i, p in enumerate(spots)], "pid string, px double, py double")
+    targets = spark.createDataFrame([(i, *map(float, t)) for i, t in enumerate(lines)], "tid bigint, x1 double, y1 double, x2 double, y2 double")
+    met = []
+    real = spatial._nearest_rows
+
+    def counted(wanted):
+        inner, seen = real(wanted), spark.sparkContext.accumulator(0)
+        met.append(seen)
+
+        def nearest(a, b):
+            seen.add(len(a) * len(b))
+            return inner(a, b)
+        return nearest
+
+    spatial._nearest_rows = counted
+    try:
+        got = spatial.k_nearest(points, targets, 2).toPandas().sort_values(["pid", "rank"])
+    finally:
+        spatial._nearest_rows = real
+    dx, dy = lines[:, 2] - lines[:, 0], lines[:, 3] - lines[:, 1]
+    for i, (x, y) in enumerate(spots):
+        t = np.clip(((x - lines[:, 0]) * dx + (y - lines[:, 1]) * dy) / (dx * dx + dy * dy), 0, 1)
+        want = np.sort(np.hypot(x - lines[:, 0] - t * dx, y - lines[:, 1] - t * dy))[:2]
+        assert np.allclose(got[got["pid"] == f"p{i}"]["distance"], want)
+    assert 0 < met[0].value < len(spots) * len(lines) / 4
+
+
+def test_neighbours_of_copies_and_crowds(spark, monkeypatch):
+    """Coincident, repeated and unplaced rows against all pairs; groups of points are cut."""
+    monkeypatch.setattr(spatial, "CROWD", 7)
+    monkeypatch.setattr(spatial, "BLOCK", 50)
+    rows = [(f"a{i:02d}", float(i % 3), float(i % 2)) for i in range(40)] + [("a01", 1.0, 1.0), ("a01", 1.0, 1.0), ("z", 9.0, 9.0)]
+    points = spark.createDataFrame(rows, "pid string, px double, py double")
+    targets = spatial.as_targets(points, "pid", "px", "py")
+    for k, self_out in ((1, False), (5, True)):
+        got = {}
+        for r in spatial.k_nearest(points, targets, k, self_out).orderBy("rank").collect():
+            got.setdefault(r["pid"], []).append((r["distance"], r["tid"]))
+        for pid in {r[0] for r in rows}:
+            every = sorted((float(np.hypot(p[1] - t[1], p[2] - t[2])), t[0]) for p in rows if p[0] == pid for t in rows if not (self_out and t[0] == pid))
+            assert got[pid] == every[:k]

@@ -86,6 +86,9 @@ def case_expansion(spark, sf):
 def linelist_defaults(spark, sf):
     lines = fx.table(spark, sf, "lineitem").select(F.col("l_shipdate").cast("date").alias("Date_Debut_Eruption"))
     full = linelist.complete_linelist(lines, default_area="inconnue")
+    # a number is a few bytes in a shuffle and far more in the set of a task: tasks follow the rows, not the bytes
+    tasks = max(1, -(-lines.count() // ranking.UNROLLED))
+    full = full.repartition(tasks, "Semaine_Epi", "Annee", "ID_Cas")
     return full.groupBy("Semaine_Epi", "Annee").agg(F.count(F.lit(1)).alias("n"), F.min("Date_Notification").alias("first_notified"),
                                                     F.countDistinct("ID_Cas").alias("n_ids"))
 

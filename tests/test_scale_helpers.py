@@ -27,6 +27,17 @@ def test_copies_are_unrolled_by_many_tasks(spark, monkeypatch):
     assert ids.agg(F.count(F.lit(1)), F.countDistinct("i"), F.min("i"), F.max("i")).first()[:] == (200_000, 200_000, 1, 200_000)
 
 
+def test_distinct_numbers_are_counted_by_many_tasks(spark, tmp_path, monkeypatch):
+    """No task counts more distinct numbers than its share, whatever their bytes."""
+    from panelcast.catalog.indicator_queries import linelist_defaults
+    monkeypatch.setattr(ranking, "UNROLLED", 1000)
+    spark.range(12_000).select(F.expr("timestamp '2020-01-01' + make_interval(0, 0, 0, CAST(id % 3 AS INT))").alias("l_shipdate")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    result = linelist_defaults(spark, str(tmp_path))
+    assert "REPARTITION_BY_NUM" in result._jdf.queryExecution().executedPlan().toString()
+    assert "(Semaine_Epi" in "".join(p for p in result._jdf.queryExecution().executedPlan().toString().split("hashpartitioning") if ", 12)" in p)
+    assert [(r["n"], r["n_ids"]) for r in result.collect()] == [(12_000, 12_000)]
+
+
 def test_rank_equals_sorting(spark):
     rng = np.random.default_rng(0)
     pdf = pd.DataFrame({"a": rng.integers(0, 50, 2000).astype(float), "b": np.arange(2000)})

@@ -275,8 +275,9 @@ def test_candidate_pairs_grow_with_the_names(spark, monkeypatch):
     assert 6000 <= matching._indexed(keys, names, 0.9, True).count() < 1.1 * 6000
 
 
-def test_long_segments_meet_few_points(spark):
+def test_long_segments_meet_few_points(spark, monkeypatch):
     """Segments far longer than their distance from each other: every nearest distance is exact, few targets reach a point's cell."""
+    monkeypatch.setattr(spatial, "HOME", 0)  # as deep as the targets
     rng = np.random.default_rng(3)
     ends = rng.uniform(0, 100, (1500, 2))
     lines = np.c_[ends, ends + rng.uniform(-8, 8, (1500, 2))]

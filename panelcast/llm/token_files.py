@@ -4,11 +4,13 @@ Documents are dealt to ranges of their key and sorted; each task encodes its ran
 writes one file of stripes.  Readers take stripes in parallel, skip stripes and row
 groups by the minima and maxima of the sorted key, and look single keys up through the
 Bloom filter.  A word between blanks is encoded once for each worker and remembered;
-no token of the tokenizer reaches over a blank.
+no token of the tokenizer reaches over a blank.  A word of letters is one piece to the
+tokenizer, so it goes to the tokenizer's model without its normaliser and splitter.
 """
 
 from __future__ import annotations
 
+import unicodedata
 import uuid
 import zlib
 from array import array
@@ -27,6 +29,13 @@ from .common import partitions
 END = 1
 #: Words that a worker remembers.
 REMEMBERED = 700_000
+#: ASCII signs; a run of them is one piece to the tokenizer, but where a letter follows.
+SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Latin, Greek and Cyrillic letters end here: normal form and case are the same in every release of Unicode.
+SETTLED = "\u0500"
+#: Letters that stand for bytes in the model: printable ones for themselves, all others for 256 and on.
+PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in PRINTED)}
 ORC = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "10000",
        "orc.stripe.size": str(64 << 20), "orc.dictionary.key.threshold": "0", "compression": "zstd"}
 
@@ -41,6 +50,7 @@ class Encoder:
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
         self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        self.piece = self.tokenizer.model.tokenize
 
     def cut(self, text: str) -> list[str]:
         """Words between blanks and line ends, which the tokenizer drops; ASCII texts without its marks are lower-cased first, as it does."""
@@ -50,29 +60,52 @@ class Encoder:
 
     @staticmethod
     def stem(word: str) -> str:
-        """The word without a final full stop or comma after a letter, in lower case if it is ASCII."""
-        if len(word) > 1 and word[-1] in ".," and word[-2].isalpha():
-            word = word[:-1]
-        return word.lower() if word.isascii() and "<|" not in word else word
+        """The word without signs after its last letter, in lower case if it is ASCII."""
+        if "<|" in word:
+            return word
+        stem = word.rstrip(SIGNS)
+        if not stem[-1:].isalpha():
+            stem = word
+        return stem.lower() if stem.isascii() else stem
+
+    def lone(self, word: str) -> bytes | None:
+        """Ids of a word of settled letters, as the tokenizer's normaliser spells it; None for other words."""
+        if not word.isalpha():
+            return None
+        if not word.isascii():
+            if max(word) >= SETTLED:
+                return None
+            word = "".join(map(str.lower, unicodedata.normalize("NFC", word)))  # letter by letter: a final sigma is like any other
+            if not word.isalpha():
+                return None
+            word = word.encode().decode("latin-1").translate(BYTES)
+        return array("I", [t.id for t in self.piece(word)]).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text, without the end id."""
-        cut = [self.cut(t) for t in texts]
-        new = set().union(*cut).difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {"": b""}
-            new = set().union(*cut)
-        # a full stop or comma after a letter is a token of its own, so words share what is before it
+        cut, known = [self.cut(t) for t in texts], self.known
+        new = set().union(*cut).difference(known)
+        if len(known) + len(new) > REMEMBERED:
+            self.known = known = {"": b""}
+            new = set().union(*cut).difference(known)
+        # signs after a letter are a piece of their own, so words share what is before them
         stems = {w: self.stem(w) for w in new}
-        missing = list(set(stems.values()).union(".,").difference(self.known))
-        for i in range(0, len(missing), 20_000):
-            part = missing[i:i + 20_000]
+        tails = {w[len(s):] for w, s in stems.items() if len(s) < len(w)}
+        missing, odd = tails.union(stems.values()).difference(known), []
+        for word in missing:
+            found = self.lone(word)
+            if found is None:
+                odd.append(word)
+            else:
+                known[word] = found
+        for i in range(0, len(odd), 20_000):
+            part = odd[i:i + 20_000]
             for word, found in zip(part, self.batch(part, add_special_tokens=False), strict=True):
-                self.known[word] = array("I", found.ids).tobytes()
+                known[word] = array("I", found.ids).tobytes()
         for word, stem in stems.items():
-            if word not in self.known:
-                self.known[word] = self.known[stem] + (self.known[word[-1]] if len(stem) < len(word) else b"")
-        get = self.known.__getitem__
+            if word not in known:
+                known[word] = known[stem] + known[word[len(stem):]]
+        get = known.__getitem__
         return [b"".join(map(get, words)) for words in cut]
 
 

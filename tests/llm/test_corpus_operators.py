@@ -282,6 +282,19 @@ def test_words_encode_like_texts(text):
     assert own == Tokenizer.from_file(WORD_BPE).encode(text, add_special_tokens=False).ids
 
 
+def test_words_of_letters_go_to_the_model():
+    """Words of Latin, Greek and Cyrillic letters skip the tokenizer's normaliser and splitter, with signs after them or without, and get the same ids."""
+    from tokenizers import Tokenizer
+    own, whole = token_files.Encoder(WORD_BPE), Tokenizer.from_file(WORD_BPE)
+    asked, batch = set(), own.batch
+    own.batch = lambda words, **k: asked.update(words) or batch(words, **k)
+    letters = [chr(c) for c in range(0x80, 0x500) if chr(c).isalpha()]
+    words = ["The", "house***", "straße.", "ÉTÉ!!", "ΟΔΟΣ", "ΣΑΣ,", "Дом?!", *letters, *(a + "o" + a for a in letters), *("É" + a for a in letters)]
+    texts = [" ".join(words), "don't. it's*** dogs' <|endoftext|>. a<|b|>. İx. cafe\u0301. x\u0338= 漢字! 3.5% --- a-b--", "THE House***\nthe"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert not asked & {"the", "house", "straße", "ÉTÉ", "ΟΔΟΣ", "ΣΑΣ", "Дом"}
+
+
 def test_shards(spark, odd, none):
     df, rows = odd
     out = sharding.interleaved_shards(df, shards=3).collect()

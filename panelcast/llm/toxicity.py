@@ -8,7 +8,9 @@ Channel: a letter may have been written as a look-alike digit or sign, repeated,
 set apart by signs or blanks.  The possible readings of a token form a lattice whose
 best path under the language model is found by Viterbi.  A token with one reading is
 that reading; every other token is decoded, and so is every run of pieces of up to three
-characters set apart by blanks or line ends.  Readings are kept in a bounded memory.
+characters set apart by blanks or line ends.  Readings are kept in a bounded memory; while
+documents are scored, the weights of tokens are kept instead, and a token that documents of
+one slice share is read once.
 
 Score: words and word beginnings of the restored text are features.  Each is weighed
 by the signed root of its likelihood ratio in labelled documents, so rare coincidences
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from ..session import materialise
-from .common import release
+from .common import release, sliced
 
 #: Labelled documents that the weights are learned from: at most about so many, chosen by a hash of the key.
 MAX_LABELLED = 20_000
@@ -41,6 +43,10 @@ MAX_LABELLED = 20_000
 MAX_FEATURES = 50_000
 #: Tokens whose reading a worker remembers.
 REMEMBERED = 300_000
+#: Tokens whose weight a worker remembers while it scores; it keeps no readings then.
+WEIGHED = 600_000
+#: Documents that are scored at a time.
+TOGETHER = 500
 
 # Letters that a sign may stand for.
 LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e"}
@@ -51,14 +57,26 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0xDF, 0x1
 OTHER = SIZE - 1
 CODE = np.array([OTHER * (chr(c).isalnum() and not chr(c).isdecimal()) for c in range(0x110000)], np.int64)
 CODE[[ord(c) for c in LETTERS]] = np.arange(1, len(LETTERS) + 1)
+
+
+class Codes(dict):
+    """Symbols of the characters met so far."""
+
+    def __missing__(self, c: str) -> int:
+        self[c] = code = int(CODE[ord(c)])
+        return code
+
+
+CODES = Codes()
 #: A token with more than one reading: a look-alike, a letter twice or more, or signs between letters.
 MARK = re.compile(r"[01345789@$!|+€]|([^\W\d_])\1|[^\W\d_][\W_]+[^\W\d_]", re.S)
 #: A letter twice or more.
 REPEATED = re.compile(r"(.)\1+", re.S)
 #: Signs that stand for no letter.
 PLAIN = ".,;:?\"'()[]{}<>/\\-_*~#%&=^`"
-#: Two or more pieces of up to three characters, set apart by any blanks.
+#: Two or more pieces of up to three characters, set apart by any blanks; and the same where a piece is one character, 1 if it is so short.
 SPACED = re.compile(r"(?<!\S)\S{1,3}(?:\s+\S{1,3})+(?!\S)")
+SHORT = re.compile("11+")
 #: Characters of the longest token or run whose reading is remembered.
 LONGEST = 200
 WORDS = re.compile(r"[^\W\d_]+")
@@ -92,26 +110,32 @@ class Model:
         self.rows = self.lm.tolist()
         self.memory: dict[str, tuple[str, ...]] = {}
         self.strength: dict[str, float] = {}
+        self.options: dict[tuple[str, int], list] = {}
         self.heads = {f[:4] for f in self.weights}  # the features of a word share its first four characters
 
     def readings(self, token: str) -> list[list[tuple[tuple[int, ...], float]]]:
         """For each run of one character its readings: (letters, log probability)."""
         out = []
         for c, same in itertools.groupby(token):
-            n = sum(1 for _ in same)
-            own = int(CODE[ord(c)])
-            if own:
-                options = [((own,), 0.0)] if n < 2 else [((own, own), 0.0), ((own,), TWICE)] if n < 3 else [((own,), AGAIN), ((own, own), AGAIN)]
-            else:
-                options = [((0,), BREAK)]
-                for letter in LOOKALIKES.get(c, ""):
-                    code = int(CODE[ord(letter)])
-                    options += [((code,) * k, READ) for k in range(1, min(n, 2) + 1)]
-                if not c.isalnum():
-                    options.append(((), CLOSE))
-            out.append(options)
+            key = c, min(len(list(same)), 3)  # three and more are alike
+            if key not in self.options:
+                self.options[key] = self.options_of(*key)
+            out.append(self.options[key])
         return out
 
+    @staticmethod
+    def options_of(c: str, n: int) -> list[tuple[tuple[int, ...], float]]:
+        """The readings of a character written n times."""
+        own = CODES[c]
+        if own:
+            return [((own,), 0.0)] if n < 2 else [((own, own), 0.0), ((own,), TWICE)] if n < 3 else [((own,), AGAIN), ((own, own), AGAIN)]
+        options: list = [((0,), BREAK)]
+        for letter in LOOKALIKES.get(c, ""):
+            options += [((CODES[letter],) * k, READ) for k in range(1, min(n, 2) + 1)]
+        if not c.isalnum():
+            options.append(((), CLOSE))
+        return options
+
     def decode(self, token: str) -> str:
         """The best reading of a lower-case token under the language model."""
         states = {(0, 0): (0.0, ())}
@@ -139,9 +163,9 @@ class Model:
         rows, out, done = self.rows, [], 0
         for run in REPEATED.finditer(word):
             start, stop = run.span()
-            c = int(CODE[ord(word[start])])
-            before = int(CODE[ord(word[start - 1])]) if start else 0
-            after = int(CODE[ord(word[stop])]) if stop < len(word) else 0
+            c = CODES[word[start]]
+            before = CODES[word[start - 1]] if start else 0
+            after = CODES[word[stop]] if stop < len(word) else 0
             twice, once = rows[before][c][c] + rows[c][c][after], rows[before][c][after]
             keep = twice >= once + TWICE if stop - start == 2 else twice > once
             out += [word[done:start], word[start] * (1 + keep)]
@@ -150,14 +174,14 @@ class Model:
 
     def closed(self, pieces: list[str]) -> str:
         """The best reading of pieces of letters without repeated ones: each blank between two parts words or is dropped, the only choice of the lattice."""
-        rows, codes = self.rows, CODE
+        rows, codes = self.rows, CODES
         states: list[tuple] = [(0, 0, 0.0, ())]
         for i, piece in enumerate(pieces):
             after: dict = {}
             for p, q, score, path in states:
                 for a, b, total, blank in ((q, 0, score + BREAK + rows[p][q][0], True), (p, q, score + CLOSE, False)) if i else ((p, q, score, False),):
                     for letter in piece:
-                        c = int(codes[ord(letter)])
+                        c = codes[letter]
                         total += rows[a][b][c]
                         a, b = b, c
                     if (a, b) not in after or after[a, b][0] < total:
@@ -181,11 +205,18 @@ class Model:
             return self.closed(pieces)
         return self.decode(token)
 
+    def read(self, token: str) -> list[str]:
+        """Words of the reading of a token or run."""
+        word = token.strip(PLAIN)
+        if word.isalpha():  # the only signs are around it
+            return [self.forked(word) if REPEATED.search(word) else word]
+        return WORDS.findall(self.reading(token))
+
     def words(self, token: str) -> tuple[str, ...]:
         """Words of the restored form of a lower-case token, or of a run of pieces with one blank between."""
         found = self.memory.get(token)
         if found is None:
-            found = tuple(WORDS.findall(self.reading(token)))
+            found = tuple(self.read(token))
             if len(token) <= LONGEST:
                 if len(self.memory) >= REMEMBERED:
                     self.memory.clear()
@@ -199,9 +230,10 @@ class Model:
 
     def tokens(self, text: str) -> set[str]:
         """Distinct tokens of a text, its spaced-out runs among them, their blanks made one."""
-        text = text.lower()
-        out = set(text.split())
-        out.update(" ".join(m[0].split()) for m in SPACED.finditer(text))
+        pieces = text.lower().split()
+        out = set(pieces)
+        short = "".join(["1" if len(p) < 4 else "0" for p in pieces])
+        out.update([" ".join(pieces[m.start():m.end()]) for m in SHORT.finditer(short)])
         return out
 
     def features(self, text: str) -> set[str]:
@@ -214,26 +246,34 @@ class Model:
         """The features of a text that have a weight."""
         return {f for t in self.tokens(text) for w in self.words(t) if (w + "$")[:4] in self.heads for f in features_of(w) if f in self.weights}
 
-    def evidence(self, text: str) -> float:
-        """The weight of the strongest feature, 0 without any."""
-        known, best = self.strength, 0.0
-        for t in self.tokens(text):
-            s = known.get(t)
-            if s is None:
-                s = 0.0
-                for w in self.words(t):
-                    if (w + "$")[:4] in self.heads:
-                        s = max(s, *(self.weights.get(f, 0.0) for f in features_of(w)))
-                if len(t) <= LONGEST:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[t] = s
-            if s > best:
-                best = s
+    def strongest(self, token: str) -> float:
+        """The weight of the strongest feature of a token, 0 without any."""
+        get, best = self.weights.get, 0.0
+        for w in self.read(token):
+            if (w[:4] if len(w) > 3 else w + "$") in self.heads:
+                best = max(best, get(w + "$", 0.0), get(w[:4], 0.0), get(w[:5], 0.0), get(w[:6], 0.0))
         return best
 
+    def evidence(self, texts: list[str]) -> list[float]:
+        """For each text the weight of its strongest feature, 0 without any."""
+        tokens, known = [self.tokens(t) for t in texts], self.strength
+        new = set().union(*tokens).difference(known)
+        if len(known) + len(new) > WEIGHED:
+            known.clear()
+            new = set().union(*tokens)
+        for t in new:
+            known[t] = self.strongest(t)
+        get = known.__getitem__
+        out = [max(map(get, own), default=0.0) for own in tokens]
+        for t in [t for t in new if len(t) > LONGEST]:
+            del known[t]
+        return out
+
+    def scores(self, texts: list[str]) -> list[float]:
+        return [1 / (1 + math.exp(-max(-60.0, min(60.0, self.slope * e + self.offset)))) for e in self.evidence(texts)]
+
     def score(self, text: str) -> float:
-        return 1 / (1 + math.exp(-max(-60.0, min(60.0, self.slope * self.evidence(text) + self.offset))))
+        return self.scores([text])[0]
 
 
 def features_of(word: str):
@@ -355,8 +395,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", score: str = "score
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(lm, weights, slope, offset)
-        for batch in batches:
-            s = np.array([own.score(t.as_py() or "") for t in batch.column(at)], float)
+        for batch in sliced(batches, text, TOGETHER):
+            s = np.array(own.scores([t or "" for t in batch.column(at).to_pylist()]), float)
             yield pa.record_batch([*batch.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*batch.schema.names, score, predicted])
         own = batch = None
         release()

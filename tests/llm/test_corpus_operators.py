@@ -391,6 +391,24 @@ def test_every_disguise_is_decoded(text):
     assert model.restore("hello foot egg there the loser") == "hello foot egg there the loser"
 
 
+def test_tokens_of_a_slice_are_read_once(monkeypatch):
+    """The evidence of texts is the greatest weight of their features; a token that they share is read once, however few are remembered."""
+    known = " ".join(["idiot clown moron trash hello there the thing stupid loser foot egg"] * 40)
+    weights = {"idiot$": 9.0, "moro": 5.0, "los$": 2.0, "stupi": 3.0, "trash": 1.0, "fo$": 4.0}
+    model = toxicity.Model(toxicity.language_model(toxicity.trigrams(known).astype(float)), weights, 1.0, -4.0)
+    texts = ["", "1d10t there", "the 1d10t, m0r0ns", "los. loser", "Stuppid!! t r a s h", "i d\x1ci\u00a0o\n\nt", "f o\u3000longer ab c", "tra$h " * 9, "m" + "o" * 300 + "rons", "foo fooo", "漢2 é"]
+    read, decode = [], model.decode
+    monkeypatch.setattr(model, "decode", lambda token: read.append(token) or decode(token))
+    monkeypatch.setattr(toxicity, "REMEMBERED", 1)
+    monkeypatch.setattr(toxicity, "WEIGHED", 1, raising=False)
+    got = model.evidence(texts * 3)
+    assert len(read) == len(set(read)) and "1d10t" in read and all(len(t) <= toxicity.LONGEST for t in model.strength)
+    assert got == [max((weights.get(f, 0.0) for f in model.features(t)), default=0.0) for t in texts] * 3 and len(set(got)) > 4
+    assert [model.score(t) for t in texts] == model.scores(texts)
+    for t in texts:
+        assert model.tokens(t) == set(t.lower().split()) | {" ".join(m[0].split()) for m in toxicity.SPACED.finditer(t.lower())}
+
+
 def test_letters_beyond_latin_1_stay():
     known = " ".join(["idiot clown moron дурак глупец 漢字仮名 œuvre ğüzel"] * 40)
     model = toxicity.Model(toxicity.language_model(toxicity.trigrams(known).astype(float)), {"дурак$": 9.0}, 1.0, -4.0)

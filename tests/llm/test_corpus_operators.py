@@ -295,6 +295,30 @@ def test_words_of_letters_go_to_the_model():
     assert not asked & {"the", "house", "straße", "ÉTÉ", "ΟΔΟΣ", "ΣΑΣ", "Дом"}
 
 
+def test_marks_of_letters_are_in_one_piece_with_signs_after_them():
+    """The normaliser turns some letters into a letter and a mark, which the splitter leaves with the signs that follow."""
+    from tokenizers import Tokenizer
+    texts = ["BİRİ!? İ. aİ", "\u0915\u0958.. \u0a59, \u0b5c!", "word.. word", "", "\n", "|<| <|endoftext|>!? A<|b|>!", "é!É! e\u0301! e!\u0301"]
+    own = token_files.Encoder(WORD_BPE).encode(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in own] == [Tokenizer.from_file(WORD_BPE).encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_words_are_looked_up_once_a_slice(monkeypatch):
+    """Arrow numbers the words of a slice: each piece that differs is asked for once, with any signs after it, also when the memory overflows."""
+    from tokenizers import Tokenizer
+    own, asked = token_files.Encoder(WORD_BPE), []
+    found = own.found
+    own.found = lambda pieces: asked.append(sorted(pieces)) or found(pieces)
+    texts = ["the house the house. " * 500, "The house!\nthe HOUSE, 42. " * 500, ""]
+    whole = [Tokenizer.from_file(WORD_BPE).encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == whole
+    assert asked == [["", "!", ",", ".", "42.", "house", "the"]]
+    monkeypatch.setattr(token_files, "REMEMBERED", 9)
+    for t in ("one two the", "three four", "the four, five", *texts):
+        assert np.frombuffer(own.encode([t])[0], "<u4").tolist() == Tokenizer.from_file(WORD_BPE).encode(t, add_special_tokens=False).ids
+        assert len(own.known) <= 9
+
+
 def test_shards(spark, odd, none):
     df, rows = odd
     out = sharding.interleaved_shards(df, shards=3).collect()
